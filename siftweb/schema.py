@@ -1,0 +1,90 @@
+"""Table shapes shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+PAGES = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("html", T.StringType()),
+])
+
+#: optional columns of a fetched page and the value they take when absent
+PAGE_DEFAULTS = {
+    "final_url": ("string", ""), "status": ("int", 0), "content_type": ("string", ""),
+    "json_text": ("string", None), "error": ("string", ""), "media_direct": ("boolean", False),
+}
+
+NETWORK_EVENTS = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    T.StructField("base_url", T.StringType()),
+    T.StructField("pos", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("method", T.StringType()),
+    T.StructField("resource_type", T.StringType()),
+    T.StructField("status", T.IntegerType()),
+    T.StructField("content_type", T.StringType()),
+    T.StructField("request_headers", T.MapType(T.StringType(), T.StringType())),
+])
+
+#: one media candidate; ``page_seq, priority, pos`` is its arrival order
+MEDIA = T.StructType([
+    T.StructField("page_seq", T.LongType()),
+    T.StructField("priority", T.IntegerType()),
+    T.StructField("pos", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("source_page", T.StringType()),
+    T.StructField("album", T.StringType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("index", T.LongType()),
+    T.StructField("ext", T.StringType()),
+    T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("width", T.LongType()),
+    T.StructField("height", T.LongType()),
+    T.StructField("size", T.LongType()),
+    T.StructField("duration", T.DoubleType()),
+    T.StructField("origin", T.StringType()),
+    T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+])
+
+CRAWLED_URLS = T.StructType([
+    T.StructField("task_id", T.LongType()),
+    T.StructField("url_hash", T.StringType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("file_path", T.StringType()),
+    T.StructField("crawled_at", T.TimestampType()),
+])
+
+MEDIA_DOWNLOADS = T.StructType([
+    T.StructField("url_hash", T.StringType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("file_path", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("downloaded_at", T.TimestampType()),
+])
+
+TASKS = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("start_url", T.StringType()),
+    T.StructField("max_depth", T.LongType()),
+    T.StructField("max_pages", T.LongType()),
+    T.StructField("same_domain", T.BooleanType()),
+    T.StructField("keyword", T.StringType()),
+    T.StructField("priority", T.LongType()),
+    T.StructField("depends_on", T.ArrayType(T.LongType())),
+    T.StructField("max_retries", T.LongType()),
+    T.StructField("retry_count", T.LongType()),
+    T.StructField("status", T.StringType()),
+])
+
+SELECTOR_SPEC = T.StructType([
+    T.StructField("selector", T.StringType()),
+    T.StructField("attr", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("require", T.StringType()),
+    T.StructField("upgrade", T.ArrayType(T.ArrayType(T.StringType()))),
+])
