@@ -8,6 +8,7 @@ from siftweb.catalog.inputs import (STRIP, load, pages, quoted, sql_canonical, s
                                     sql_rooted_links, sql_unescape)
 from siftweb.functions import fixed, html, urls
 from siftweb.operators import extract, filters
+from siftweb.scale import unnest
 
 TRACKED = r"[?&](?:utm_[a-z0-9_]*|gclid|fbclid|spm)="
 
@@ -47,7 +48,7 @@ def url_parts(spark, folder):
 
 def resolve_links(spark, folder):
     p = pages(spark, folder)
-    return (p.select("page_id", F.col("base_url"), F.explode(F.array_distinct(html.href_values(F.col("html")))).alias("href"))
+    return (unnest(p, ["page_id", "base_url"], F.array_distinct(html.href_values(F.col("html"))), "href")
             .select("page_id", "href", urls.resolve_url(F.col("base_url"), F.col("href")).alias("link"),
                     urls.join_url(F.col("base_url"), F.concat(F.lit("../x/./y"), F.lit("?q=1"))).alias("relative")))
 

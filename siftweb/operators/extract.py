@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftweb.functions import fixed, html, media, urls
+from siftweb.scale import unnest
 
 EMPTY_MAP = "map<string,string>"
 
@@ -19,7 +20,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     hrefs = F.array_distinct(html.href_values(F.col("html")))
     links = F.array_distinct(F.filter(F.transform(
         hrefs, lambda h: urls.join_url(F.col("base_url"), urls.trimmed(h))), lambda u: u.rlike("^https?://")))
-    return pages.select("page_id", "base_url", F.explode(links).alias("link"))
+    return unnest(pages, ["page_id", "base_url"], links, "link").drop("_pos")
 
 
 def _found(pattern: str, group: int = 1) -> Column:
@@ -55,7 +56,7 @@ def media_link_array() -> Column:
 
 
 def extract_media_links(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "base_url", F.explode(media_link_array()).alias("media_url"))
+    return unnest(pages, ["page_id", "base_url"], media_link_array(), "media_url").drop("_pos")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
 
 def extract_anchors(pages: DataFrame) -> DataFrame:
-    return (pages.select("page_id", "base_url", F.posexplode(html.anchors(F.col("html"))).alias("pos", "a"))
+    return (unnest(pages, ["page_id", "base_url"], html.anchors(F.col("html")), "a", "pos")
             .select("page_id", "base_url", "pos", F.col("a.href").alias("href"), F.col("a.text").alias("text"),
                     html.anchor_hint(F.col("a.text")).alias("hint")))
 
@@ -74,7 +75,7 @@ def site_links(pages: DataFrame) -> DataFrame:
     links = F.transform(hrefs, lambda h: urls.resolve_url(F.col("base_url"), h, keep_fragment=False))
     here = urls.host_of(F.col("base_url"))
     kept = F.filter(links, lambda u: (u != "") & ((here == "") | (urls.host_of(u) == "") | (urls.host_of(u) == here)))
-    return pages.select("page_id", "base_url", F.explode(F.array_distinct(kept)).alias("link"))
+    return unnest(pages, ["page_id", "base_url"], F.array_distinct(kept), "link").drop("_pos")
 
 
 # ---- media from markup -------------------------------------------------------
@@ -184,8 +185,8 @@ def extract_media_html(pages: DataFrame, upgrade: bool = True) -> DataFrame:
         e["value"]["upgraded_from"].alias("upgraded_from"), e["key"].alias("url"))), lambda e: media.is_media_kind(e["kind"])))
     listed = listed.withColumn("_items", ordered)
     mains = F.transform(F.filter("_items", lambda e: e["step"] == 0), lambda e: e["pos"])
-    return (listed.withColumn("_mains", mains).withColumn("_album", html.page_album(F.col("html")))
-            .select("page_id", "base_url", "_album", "_mains", F.posexplode("_items").alias("_seq", "m"))
+    listed = listed.withColumn("_mains", mains).withColumn("_album", html.page_album(F.col("html")))
+    return (unnest(listed, ["page_id", "base_url", "_album", "_mains"], "_items", "m", "_seq")
             .select(F.col("page_id").alias("page_seq"), F.lit(80).alias("priority"), F.col("_seq").cast("long").alias("pos"),
                     F.col("m.url").alias("url"), F.col("m.kind").alias("kind"), F.col("base_url").alias("source_page"),
                     F.col("_album").alias("album"), F.col("m.title").alias("title"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftweb.functions import urls
+from siftweb.scale import unnest
 
 SAMPLE_CAP = 100
 
@@ -121,7 +122,7 @@ def detail_links(pages: DataFrame, pattern: str = "") -> DataFrame:
         ok = link.rlike("^https?://") & ~has_media_ext(link) & ~link.rlike(DETAIL_EXCLUDE) & urls.bind(urls.host_of(link), near)
         return ok & link.contains(pattern) if pattern else ok
 
-    return pages.select("page_id", "base_url", F.posexplode(F.slice(F.filter(links, wanted), 1, DETAIL_CAP)).alias("pos", "link"))
+    return unnest(pages, ["page_id", "base_url"], F.slice(F.filter(links, wanted), 1, DETAIL_CAP), "link", "pos")
 
 
 def media_direct(pages: DataFrame, seeds: str = "") -> DataFrame:

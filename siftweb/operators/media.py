@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftweb.functions import fixed, urls
 from siftweb.operators import filters
-from siftweb.scale import lookup_by_key, number_all, number_in_groups
+from siftweb.scale import lookup_by_key, number_all, number_in_groups, unnest
 
 TEXT_FIELDS = ["kind", "source_page", "album", "title", "ext", "origin"]
 NUMBER_FIELDS = ["index", "width", "height", "size", "duration"]
@@ -61,7 +61,7 @@ def merge_items(df: DataFrame, keys: Sequence[str] = ("url_key",), order: str =
     if not maps:
         return merged
     entries = [F.transform(F.map_entries(F.col(c)), _tagged(c)) for c in maps]
-    pairs = (df.select(*keys, order, F.explode(F.concat(*entries)).alias("e"))
+    pairs = (unnest(df, [*keys, order], F.concat(*entries), "e")
              .groupBy(*keys, F.col("e.m").alias("m"), F.col("e.k").alias("k")).agg(F.min_by("e.v", order).alias("v")))
     # distinct header and attribute names per address are few
     packed = pairs.groupBy(*keys).agg(*[
@@ -237,7 +237,7 @@ def near_duplicate_pairs(hashes: DataFrame, key: str, digest: str, threshold: in
     turns into all pairs of its copies; the copies follow their hash (``members``). Zero never matches.
     """
     groups = hashes.filter(F.col(digest) != 0).groupBy(digest).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("copies"))
-    banded = groups.select("first_key", F.col(digest).alias("h"), "copies", F.explode(band_values(F.col(digest), threshold + 1)).alias("b")) \
+    banded = unnest(groups, ["first_key", F.col(digest).alias("h"), "copies"], band_values(F.col(digest), threshold + 1), "b") \
         .select("first_key", "h", "copies", "b.band", "b.slice")
     left = banded.select("band", "slice", F.col("first_key").alias("a_key"), F.col("h").alias("a_hash"), F.col("copies").alias("a_copies"))
     right = banded.select("band", "slice", F.col("first_key").alias("b_key"), F.col("h").alias("b_hash"), F.col("copies").alias("b_copies"))

@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 
 #: a table is broadcast only below this many rows, checked at build time
 BROADCAST_ROWS = 100_000
-#: a key with more rows than this is treated as hot; there are at most total/HOT_ROWS of them
+#: a key with more rows than this may be treated as hot
 HOT_ROWS = 1_000_000
+#: so many hot keys at most are broadcast
+HOT_KEYS = 1_000
+
+
+def unnest(df: DataFrame, keep: Sequence[str | Column], array: Column | str, value: str, pos: str = "_pos") -> DataFrame:
+    """One row per array element with its position.
+
+    The outer form plus a test on the generated position: with the plain form the optimizer adds a
+    size test on the array expression itself, which is then computed twice and copied down the plan.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -46,23 +57,32 @@ def number_all(df: DataFrame, order: Sequence[Column | str], block: Column, out:
     return number_in_groups(df.withColumn("_all", F.lit(0)), ["_all"], order, block, out).drop("_all")
 
 
+def _split_join(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, spread: Column) -> DataFrame:
+    values = [c for c in table.columns if c != key]
+    marked = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))),
+                       key, "left")
+    # rows of a hot key already have their values; a scattered stand-in key spreads them over the shuffle
+    marked = marked.withColumn("_join", F.when(F.col("_hot"), F.concat(F.lit("hot:"), F.xxhash64(spread).cast("string")))
+                               .otherwise(F.col(key).cast("string")))
+    cold = table.select(F.col(key).cast("string").alias("_join"), *values)
+    joined = marked.join(cold, "_join", "left")
+    for c in values:
+        joined = joined.withColumn(c, F.coalesce(F.col(f"_hot_{c}"), F.col(c)))
+    return joined.drop("_join", "_hot", *[f"_hot_{c}" for c in values])
+
+
 def lookup_by_key(rows: DataFrame, summary: DataFrame, key: str, size: str,
                   spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of many ``rows`` to a per-key ``summary`` that knows each key's row count.
 
-    Hot keys (``size`` above ``hot_rows``; at most total/hot_rows of them, and that many only when all
-    rows are hot) come from a broadcast; their rows take a scattered stand-in key in the shuffle join.
+    The HOT_KEYS largest keys above ``hot_rows`` are broadcast, which bounds that side; any further key
+    holds at most 1/HOT_KEYS of the rows and goes through the shuffle join.
     """
-    values = [c for c in summary.columns if c not in (key, size)]
-    hot = summary.filter(F.col(size) > hot_rows).select(
-        key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
-    cold = summary.filter(F.col(size) <= hot_rows).select(F.col(key).alias("_join"), *values)
-    if not fits_broadcast(hot):
-        raise ValueError("more hot keys than a broadcast may hold: raise hot_rows")
-    marked = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_join", F.when(F.col("_hot"), F.concat(F.lit("hot:"), F.xxhash64(spread).cast("string")))
-        .otherwise(F.col(key)))
-    joined = marked.join(cold, "_join", "left")
-    for c in values:
-        joined = joined.withColumn(c, F.coalesce(F.col(f"_hot_{c}"), F.col(c)))
-    return joined.drop("_join", "_hot", *[f"_hot_{c}" for c in values])
+    hot = summary.filter(F.col(size) > hot_rows).orderBy(F.col(size).desc(), key).limit(HOT_KEYS).drop(size)
+    return _split_join(rows, summary.drop(size), hot, key, spread)
+
+
+def join_by_hot_key(rows: DataFrame, table: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of ``rows`` to a ``table`` with one row per key; the hot keys are counted in ``rows``."""
+    top = rows.groupBy(key).count().filter(F.col("count") > hot_rows).orderBy(F.col("count").desc(), key).limit(HOT_KEYS)
+    return _split_join(rows, table, table.join(F.broadcast(top.select(key)), key, "left_semi"), key, spread)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftweb.functions.html import LINE_BREAKS, unescape
 from siftweb.functions.urls import trimmed
+from siftweb.scale import unnest
 from siftweb.schema import PAGE_DEFAULTS
 
 # --- fixed values: request headers worth forwarding to a download
@@ -63,7 +64,7 @@ def read_network_events(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_robots(files: DataFrame, site: str = "site", text: str = "text") -> DataFrame:
-    """Robots files -> one row per rule: site, agent, verb, path.
+    """Robots files -> one row per rule: site, agent, verb, path; ``group`` rows name the agents themselves.
 
     Consecutive ``User-agent`` lines share the rules below them. A file is one row, so its lines are
     folded in place and no shuffle is needed.
@@ -81,20 +82,23 @@ def read_robots(files: DataFrame, site: str = "site", text: str = "text") -> Dat
         is_rule = line["key"].isin("allow", "disallow")
         agents = (F.when(is_agent & acc["closed"], F.array(line["value"]))
                   .when(is_agent, F.array_append(acc["agents"], line["value"])).otherwise(acc["agents"]))
-        rules = F.when(is_rule & (F.size(acc["agents"]) > 0), F.array_append(acc["rules"], F.struct(
-            acc["agents"].alias("agents"), line["key"].alias("verb"), line["value"].alias("path")))).otherwise(acc["rules"])
+        rules = (F.when(is_rule & (F.size(acc["agents"]) > 0), F.array_append(acc["rules"], F.struct(
+                     acc["agents"].alias("agents"), line["key"].alias("verb"), line["value"].alias("path"))))
+                 .when(is_agent, F.array_append(acc["rules"], F.struct(
+                     F.array(line["value"]).alias("agents"), F.lit("group").alias("verb"), F.lit("").alias("path"))))
+                 .otherwise(acc["rules"]))
         return F.struct(agents.alias("agents"), F.when(is_agent, F.lit(False)).when(is_rule, F.lit(True))
                         .otherwise(acc["closed"]).alias("closed"), rules.alias("rules"))
 
     rules = F.aggregate(parsed, start, step)["rules"]
-    return (files.select(site, F.explode(rules).alias("r"))
+    return (unnest(files, [site], rules, "r")
             .select(site, F.explode("r.agents").alias("agent"), F.col("r.verb").alias("verb"), F.col("r.path").alias("path"))
-            .filter(F.col("path") != ""))
+            .filter((F.col("path") != "") | (F.col("verb") == "group")))
 
 
 def sitemap_locs(files: DataFrame, site: str = "site", url: str = "url", text: str = "text") -> DataFrame:
     locs = F.regexp_extract_all(F.col(text), F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
-    return (files.select(site, F.col(url).alias("map_url"), F.posexplode(locs).alias("pos", "raw"))
+    return (unnest(files, [site, F.col(url).alias("map_url")], locs, "raw", "pos")
             .select(site, "map_url", "pos", unescape(F.col("raw")).alias("loc")))
 
 

@@ -23,6 +23,9 @@ def connect(folder: str):
     return con
 
 
+TIMES: dict = {}
+
+
 def plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(round(value, 6))
@@ -37,12 +40,15 @@ def table(names, rows):
 
 
 def compare(spark_df, con, sql):
+    started = time.time()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     expected = table(names, cursor.fetchall())
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(names)}", 0
+    middle = time.time()
     got = table(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    TIMES.update(duck=middle - started, spark=time.time() - middle)
     if got == expected:
         return "", sum(got.values())
     lost, extra = list((expected - got).items()), list((got - expected).items())
@@ -72,6 +78,7 @@ def main(names, folder):
             problem, n = f"{type(exc).__name__}: {str(exc)[:900]}", 0
         failed += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} rows={n} {time.time() - started:.1f}s "
+              f"{' '.join(f'{k}={v:.1f}' for k, v in TIMES.items())} "
               f"{'' if name in oracle else '[rows only]'} {problem[:1500]}", flush=True)
     print("failed:", failed)
 
