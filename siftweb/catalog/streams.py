@@ -1,2 +1,216 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Streaming and source/sink queries, and the composed jobs. Scratch folders lie in the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from siftweb.catalog import media as media_catalog
+from siftweb.catalog import policy as policy_catalog
+from siftweb.catalog.inputs import load, pages, sql_page_text, sql_part
+from siftweb.functions import html
+from siftweb.operators import media, rules
+from siftweb.plans import jobs
+from siftweb.session import checkpoint_root
+from siftweb.sources import exports, tables
+from siftweb.sources import rules as rule_files
+from siftweb.streaming import jobs as streams
+
+
+def _scratch(spark) -> str:
+    return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+
+
+def _events(spark, folder):
+    schema = load(spark, folder, "events").schema
+    e = streams.read_event_stream(spark, folder, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    user = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id"))
+    return e.select("event_id", "ts", "event_type", "value", user.alias("user_id"))
+
+
+def stream_new_urls(spark, folder):
+    at = _scratch(spark)
+    named = _events(spark, folder).select(F.concat(F.lit("http://h"), F.col("user_id").cast("string"), F.lit(".example.com/"), "event_type").alias("url"))
+    streams.run_available(streams.new_urls(named), f"{at}/out", f"{at}/mark")
+    return spark.read.parquet(f"{at}/out").select("url", "url_hash")
+
+
+def stream_progress(spark, folder):
+    at = _scratch(spark)
+    e = _events(spark, folder).select(F.col("user_id").alias("task_id"), (F.col("event_type") == "view").cast("int").alias("media"), "ts")
+    streams.run_available(streams.progress(e), f"{at}/out", f"{at}/mark", "update")
+    return tables.current(spark, f"{at}/out", ["task_id"]).select("task_id", "pages", "media")
+
+
+def stream_rate(spark, folder):
+    at = _scratch(spark)
+    # the log is squeezed twentyfold so that the quota is broken at all
+    fast = F.timestamp_micros(F.floor(F.unix_micros("ts") / 20))
+    e = _events(spark, folder).select(fast.alias("ts"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("host"))
+    streams.run_available(streams.rate_windows(e, 4), f"{at}/out", f"{at}/mark", "update")
+    return tables.current(spark, f"{at}/out", ["host", "window_start"]).select("host", F.unix_seconds("window_start").alias("window_start"), "requests")
+
+
+def stream_media(spark, folder):
+    at = _scratch(spark)
+    e = _events(spark, folder)
+    log = e.select((F.col("event_id") % 50).alias("page_id"), F.lit("https://p.example.com/").alias("base_url"), F.col("event_id").alias("pos"),
+                   F.concat(F.lit("https://c.example.com/"), F.col("event_id").cast("string"), F.when(F.col("event_type") == "view", ".jpg").otherwise(".html")).alias("url"),
+                   F.lit("xhr").alias("resource_type"), F.when(F.col("event_id") % 4 == 0, 500).otherwise(200).alias("status"), F.lit("").alias("content_type"),
+                   F.create_map(F.lit("Referer"), F.lit("https://r.example.com/")).alias("request_headers"))
+    streams.run_available(streams.media_events(log), f"{at}/out", f"{at}/mark")
+    return spark.read.parquet(f"{at}/out").select("page_seq", "pos", "url", "kind")
+
+
+def export_roundtrip(spark, folder):
+    at = _scratch(spark)
+    p = pages(spark, folder).select("url", html.page_text(F.col("html")).alias("text"))
+    for fmt in ("csv", "json", "markdown"):
+        exports.export_crawl(p, f"{at}/{fmt}", fmt, ["domain", "url", "text"])
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(f"{at}/csv")
+    lines = spark.read.text(f"{at}/markdown").agg(F.count(F.lit(1)).alias("n")).scalar()
+    whole = spark.read.json(f"{at}/json").select("url", F.length("text").cast("long").alias("json_chars"))
+    return back.select("url", "domain", F.length("text").cast("long").alias("csv_chars")).join(whole, "url").withColumn("markdown_lines", lines)
+
+
+def export_media_rows(spark, folder):
+    items = media_catalog._items(spark, folder).withColumn("headers", F.when(F.length("title") > 3, F.create_map(F.lit("REFERER"), F.col("title")))
+                                                           .otherwise(F.create_map().cast("map<string,string>")))
+    return exports.media_rows(items, ["url", "index", "referer", "album"])
+
+
+def upsert_items(spark, folder):
+    """Two overlapping writes, the second winning, then the ordered read of one task."""
+    at = _scratch(spark)
+    e = load(spark, folder, "events").select((F.col("user_id") % 3).alias("task_id"), F.concat(F.lit("http://h/"), (F.col("event_id") % 4000).cast("string")).alias("url"),
+                                             F.col("event_type").alias("kind"), (F.col("event_id") % 4000).alias("index"), F.col("event_id"), F.col("user_id"))
+    first = e.filter(F.col("event_id") < 4000)
+    tables.upsert_media_items(first.withColumn("album", F.lit("old")), at, 1)
+    tables.upsert_media_items(first.filter(F.col("event_id") % 2 == 0).withColumn("album", F.lit("new")), at, 2)
+    return tables.read_media_items(spark, at, 1).select("url", "kind", "album", "index")
+
+
+def crawled_once(spark, folder):
+    at = _scratch(spark)
+    e = load(spark, folder, "orders").select((F.col("o_custkey") % 5).alias("task_id"), F.concat(F.lit("http://h/"), (F.col("o_orderkey") % 3000).cast("string")).alias("url"),
+                                             F.col("o_orderstatus").alias("status"), "o_orderkey")
+    first = e.filter(F.col("o_orderkey") < 3000)
+    tables.record_crawled(first.withColumn("status", F.lit("first")), at, 1)
+    tables.record_crawled(e.filter(F.col("o_orderkey") >= 3000).withColumn("status", F.lit("later")), at, 2)
+    return tables.current(spark, at, ["task_id", "url_hash"], first=True).groupBy("task_id", "status").agg(F.count(F.lit(1)).alias("urls"))
+
+
+def resumed_tasks(spark, folder):
+    at = _scratch(spark)
+    o = load(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("paused").alias("status"))
+    tables.append(o, at, 1)
+    tables.append(o.filter(F.col("id") % 3 == 0).withColumn("status", F.lit("completed")), at, 2)
+    return tables.resume_tasks(spark, at).select("id", "status")
+
+
+def site_rules(spark, folder):
+    """Rules written out from the supplier table, read back, matched with the pages."""
+    at = _scratch(spark)
+    s = load(spark, folder, "supplier")
+    k = F.col("s_suppkey")
+    domain = F.when(k % 4 == 0, F.array(F.lit("example.org"))).when(k % 4 == 1, F.array(F.lit("*.example.com"), F.lit("nowhere.example"))).otherwise(F.array().cast("array<string>"))
+    expression = F.when(k % 4 == 2, F.concat(F.lit("/"), (k % 10).cast("string"), F.lit(r"\d*$"))).when(k % 4 == 1, "/fr/").otherwise("")
+    spec = F.struct(F.when(k % 5 == 0, "").otherwise("article h1").alias("selector"), F.lit("text").alias("attr"))
+    rule = s.select(F.concat(F.lit("r"), k.cast("string")).alias("id"), (k % 7).cast("int").alias("priority"),
+                    F.struct(domain.alias("domain"), expression.alias("url_regex"), F.when(k % 3 == 0, "page=").otherwise("").alias("exclude_url_regex")).alias("match"), F.array(spec).alias("media"),
+                    F.when(k % 2 == 0, F.struct(F.when(k % 6 == 0, "odd").otherwise("page_param").alias("strategy"), F.lit("p").alias("param"))).alias("pagination"))
+    rule.write.json(at)
+    return rule_files.read_site_rules(spark, [at])
+
+
+def rule_matches(spark, folder):
+    return rules.match_rules(pages(spark, folder), site_rules(spark, folder)).select("page_id", "rule_id", F.col("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def rule_problems(spark, folder):
+    return rule_files.validate_rules(site_rules(spark, folder))
+
+
+def rule_pages(spark, folder):
+    return rules.page_rule_for(pages(spark, folder), site_rules(spark, folder)).select("page_id", "rule_id", "strategy")
+
+
+def rule_media(spark, folder):
+    """Media through selectors and expressions on the gallery pages of the part table."""
+    g = media_catalog._part_pages(spark, folder)
+    at = _scratch(spark)
+    region = load(spark, folder, "region").filter(F.col("r_regionkey") == 0)
+    made = region.select(F.lit("shop").alias("id"), F.struct(F.array(F.lit("example.com")).alias("domain")).alias("match"), F.array(
+        F.struct(F.lit("body img[alt]").alias("selector"), F.lit("src").alias("attr"), F.lit("").alias("require"), F.array(F.array(F.lit("/thumb/"), F.lit("/full/"))).alias("upgrade")),
+        F.struct(F.lit("img").alias("selector"), F.lit("srcset").alias("attr"), F.lit("s\\d").alias("require"), F.array().cast("array<array<string>>").alias("upgrade"))).alias("media"),
+        F.array(F.struct(F.lit(r'u="([^"]+)"').alias("pattern"), F.lit("hls").alias("kind"))).alias("regex"))
+    made.write.json(at)
+    found = rules.extract_media_rules(g, rule_files.read_site_rules(spark, [at]))
+    return found.select(F.col("page_seq").alias("page_id"), "url", "kind", F.col("index").alias("doc_index"), "origin")
+
+
+def inventory_job(spark, folder):
+    out = jobs.media_inventory(media_catalog._part_pages(spark, folder), media.MediaConfig(kinds=("image", "audio"), block=("/bg",)))
+    return out["stats"]
+
+
+def screening_job(spark, folder):
+    """Site home pages linking to policy pages that hold the documents' lines."""
+    d = load(spark, folder, "documents")
+    host = F.concat(F.lit("https://d"), F.col("doc_id").cast("string"), F.lit(".example.com/"))
+    phrase = F.element_at(F.array(*[F.lit(p) for p in policy_catalog.PHRASES]), (F.col("doc_id") % len(policy_catalog.PHRASES) + 1).cast("int"))
+    home = d.select((F.col("doc_id") * 2).alias("page_id"), host.alias("url"), F.lit('<html><body><a href="/terms">Terms of use</a></body></html>').alias("html"))
+    terms = d.select((F.col("doc_id") * 2 + 1).alias("page_id"), F.concat(host, F.lit("terms")).alias("url"), F.concat(
+        F.lit("<html><head><title>T</title></head><body><p>"), phrase, F.lit(" and more words to make the line long enough.</p><p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p></body></html>")).alias("html"))
+    from siftweb.sources.pages import as_pages
+
+    reports = jobs.policy_screen(as_pages(home.unionByName(terms)), "2024-01-01 00:00:00")["reports"]
+    return reports.select("site", "start_url", F.size("pages").cast("long").alias("pages"), (F.size("skipped") > 0).alias("has_skipped"), F.size("stats").cast("long").alias("categories"))
+
+
+QUERIES = {
+    "stream_new_urls": stream_new_urls, "stream_progress": stream_progress, "stream_rate": stream_rate, "stream_media": stream_media,
+    "export_roundtrip": export_roundtrip, "export_media": export_media_rows, "upsert_items": upsert_items, "crawled_once": crawled_once,
+    "resumed_tasks": resumed_tasks, "rule_matches": rule_matches, "rule_problems": rule_problems, "rule_pages": rule_pages, "rule_media": rule_media,
+    "inventory_job": inventory_job, "screening_job": screening_job,
+}
+
+_EV = "ev AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS u FROM events)"
+_RULE = f"""rule AS (SELECT 'r' || s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 50 ELSE s_suppkey % 7 END AS priority, s_suppkey % 4 AS k, s_suppkey AS n,
+      CASE s_suppkey % 4 WHEN 2 THEN '/' || s_suppkey % 10 || '\\d*$' WHEN 1 THEN '/fr/' ELSE '' END AS rx, s_suppkey % 3 = 0 AS ex FROM supplier),
+    pg AS (SELECT page_id, url, lower(split_part({sql_part('url', 2)}, ':', 1)) AS host FROM pages),
+    hit AS (SELECT page_id, id, priority, n, CASE WHEN k = 0 AND (host = 'example.org' OR host LIKE '%.example.org') THEN 0.9
+        WHEN k = 1 AND host LIKE '%.example.com' AND contains(url, '/fr/') THEN 1.0 WHEN k = 2 AND regexp_matches(url, rx) THEN 0.85 ELSE 0 END::DOUBLE AS score
+      FROM rule, pg WHERE NOT (ex AND contains(url, 'page='))),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, priority, id) AS rank FROM hit WHERE score > 0)"""
+
+SQL = {
+    "stream_new_urls": f"WITH {_EV} SELECT DISTINCT 'http://h' || u || '.example.com/' || event_type AS url, sha256('http://h' || u || '.example.com/' || event_type) AS url_hash FROM ev",
+    "stream_progress": f"WITH {_EV} SELECT u AS task_id, count(*) AS pages, count(*) FILTER (event_type = 'view') AS media FROM ev GROUP BY 1",
+    "stream_rate": f"""WITH {_EV}, l AS (SELECT 'u' || u % 10 AS host, epoch_us(ts) // 20 AS t FROM ev),
+        w AS (SELECT host, (t // 5000000 - k) * 5 AS window_start FROM l, range(12) r(k))
+        SELECT host, window_start, count(*) AS requests FROM w GROUP BY 1, 2 HAVING count(*) > 4""",
+    "stream_media": """SELECT event_id % 50 AS page_seq, event_id AS pos, 'https://c.example.com/' || event_id || '.jpg' AS url, 'image' AS kind
+        FROM events WHERE event_type = 'view' AND event_id % 4 <> 0""",
+    "export_roundtrip": f"""SELECT url, {sql_part('url', 2)} AS domain, length({sql_page_text()}) AS csv_chars, length({sql_page_text()}) AS json_chars,
+        (SELECT count(*) FROM pages) AS markdown_lines FROM pages""",
+    "export_media": f"WITH {media_catalog._CAND} SELECT url, \"index\", CASE WHEN length(title) > 3 THEN title ELSE source_page END AS referer, album FROM numbered",
+    "upsert_items": """SELECT 'http://h/' || event_id AS url, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END AS album, event_id AS "index"
+        FROM events WHERE event_id < 4000 AND user_id % 3 = 1""",
+    "crawled_once": """WITH e AS (SELECT o_custkey % 5 AS task_id, o_orderkey % 3000 AS u, min(CASE WHEN o_orderkey < 3000 THEN 0 ELSE 1 END) AS n FROM orders GROUP BY 1, 2)
+        SELECT task_id, CASE n WHEN 0 THEN 'first' ELSE 'later' END AS status, count(*) AS urls FROM e GROUP BY 1, 2""",
+    "resumed_tasks": "SELECT o_orderkey AS id, 'running' AS status FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0",
+    "rule_matches": f"WITH {_RULE} SELECT page_id, id AS rule_id, score, rank FROM ranked",
+    "rule_problems": f"""WITH {_RULE} SELECT id, 'match 至少需要 domain 或 url_regex 之一' AS problem FROM rule WHERE k = 3
+        UNION ALL SELECT id, 'pagination.strategy 非法：odd' FROM rule WHERE n % 6 = 0 UNION ALL SELECT id, 'media[0] 缺少 selector' FROM rule WHERE n % 5 = 0""",
+    "rule_pages": f"""WITH {_RULE} SELECT page_id, arg_min(id, rank) AS rule_id, arg_min(CASE WHEN n % 6 = 0 THEN 'odd' ELSE 'page_param' END, rank) AS strategy
+        FROM ranked WHERE n % 2 = 0 GROUP BY 1""",
+    "rule_media": f"""
+        WITH p AS (SELECT p_partkey AS k, {media_catalog._PART_URL} AS u, p_size % 6 AS n FROM part),
+        c AS (SELECT k, 0 AS a, u AS url FROM p WHERE n <> 3 UNION ALL SELECT k, 1, replace(u, '/thumb/', '/full/') FROM p WHERE n = 0
+              UNION ALL SELECT k, 2, 'https://shop.example.com/d/s' || k || '.png' FROM p
+              UNION ALL SELECT k, 3, 'https://cdn.example.net/' || k || '.m3u8?k=1' FROM p)
+        SELECT k AS page_id, url, CASE WHEN a = 3 THEN 'hls' ELSE 'image' END AS kind, row_number() OVER (PARTITION BY k ORDER BY a) AS doc_index, 'rule:shop' AS origin FROM c""",
+    "screening_job": """SELECT 'd' || doc_id || '.example.com' AS site, 'https://d' || doc_id || '.example.com/' AS start_url, 1 AS pages, true AS has_skipped, 6 AS categories FROM documents""",
+}
