@@ -8,6 +8,7 @@ from siftweb.catalog.inputs import load, quoted, sql_canonical, sql_host, sql_pa
 from siftweb.functions import fixed, html, media, urls
 from siftweb.operators import extract
 from siftweb.operators import media as ops
+from siftweb.session import cut_lineage
 from siftweb.sources.pages import as_pages
 
 CONFIG = ops.MediaConfig(kinds=("image", "video", "audio"), min_width=20, min_size=50, max_size=40_000, max_count=400,
@@ -47,7 +48,7 @@ def _labelled(spark, folder):
 
 
 def _items(spark, folder):
-    return ops.kept_items(_labelled(spark, folder), block=F.floor(F.col("arrival") / EVENT_BLOCK))
+    return ops.kept_items(cut_lineage(_labelled(spark, folder)), block=F.floor(F.col("arrival") / EVENT_BLOCK))
 
 
 def media_labels(spark, folder):

@@ -110,17 +110,17 @@ def resumed_tasks(spark, folder):
 
 
 def site_rules(spark, folder):
-    """Rules written out from the supplier table, read back, matched with the pages."""
+    """A rule file per nation, read back, matched with the pages."""
     at = _scratch(spark)
-    s = load(spark, folder, "supplier")
-    k = F.col("s_suppkey")
+    s = load(spark, folder, "nation")
+    k = F.col("n_nationkey")
     domain = F.when(k % 4 == 0, F.array(F.lit("example.org"))).when(k % 4 == 1, F.array(F.lit("*.example.com"), F.lit("nowhere.example"))).otherwise(F.array().cast("array<string>"))
     expression = F.when(k % 4 == 2, F.concat(F.lit("/"), (k % 10).cast("string"), F.lit(r"\d*$"))).when(k % 4 == 1, "/fr/").otherwise("")
     spec = F.struct(F.when(k % 5 == 0, "").otherwise("article h1").alias("selector"), F.lit("text").alias("attr"))
     rule = s.select(F.concat(F.lit("r"), k.cast("string")).alias("id"), (k % 7).cast("int").alias("priority"),
                     F.struct(domain.alias("domain"), expression.alias("url_regex"), F.when(k % 3 == 0, "page=").otherwise("").alias("exclude_url_regex")).alias("match"), F.array(spec).alias("media"),
                     F.when(k % 2 == 0, F.struct(F.when(k % 6 == 0, "odd").otherwise("page_param").alias("strategy"), F.lit("p").alias("param"))).alias("pagination"))
-    rule.write.json(at)
+    rule.write.option("maxRecordsPerFile", 1).json(at)
     return rule_files.read_site_rules(spark, [at])
 
 
@@ -177,8 +177,8 @@ QUERIES = {
 }
 
 _EV = "ev AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS u FROM events)"
-_RULE = f"""rule AS (SELECT 'r' || s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 50 ELSE s_suppkey % 7 END AS priority, s_suppkey % 4 AS k, s_suppkey AS n,
-      CASE s_suppkey % 4 WHEN 2 THEN '/' || s_suppkey % 10 || '\\d*$' WHEN 1 THEN '/fr/' ELSE '' END AS rx, s_suppkey % 3 = 0 AS ex FROM supplier),
+_RULE = f"""rule AS (SELECT 'r' || n_nationkey AS id, CASE WHEN n_nationkey % 7 = 0 THEN 50 ELSE n_nationkey % 7 END AS priority, n_nationkey % 4 AS k, n_nationkey AS n,
+      CASE n_nationkey % 4 WHEN 2 THEN '/' || n_nationkey % 10 || '\\d*$' WHEN 1 THEN '/fr/' ELSE '' END AS rx, n_nationkey % 3 = 0 AS ex FROM nation),
     pg AS (SELECT page_id, url, lower(split_part({sql_part('url', 2)}, ':', 1)) AS host FROM pages),
     hit AS (SELECT page_id, id, priority, n, CASE WHEN k = 0 AND (host = 'example.org' OR host LIKE '%.example.org') THEN 0.9
         WHEN k = 1 AND host LIKE '%.example.com' AND contains(url, '/fr/') THEN 1.0 WHEN k = 2 AND regexp_matches(url, rx) THEN 0.85 ELSE 0 END::DOUBLE AS score

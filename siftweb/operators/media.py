@@ -94,9 +94,11 @@ def label_media(candidates: DataFrame, config: MediaConfig, order: str = "arriva
     and belongs to no kept address is ``truncated``.
     """
     base = candidates if "url_key" in candidates.columns else candidates.withColumn("url_key", urls.url_key(F.col("url")))
-    early = F.when(filters.media_kind_reason(config.kinds, config.allow_svg) != "",
-                   filters.media_kind_reason(config.kinds, config.allow_svg)) \
-        .when(filters.media_block_reason(config.block) != "", "blocked").otherwise("")
+    blocked = F.lit(False)
+    for pattern in filters.usable_patterns(config.block):
+        blocked = blocked | F.col("url").rlike(pattern)
+    early = urls.bind(filters.media_kind_reason(config.kinds, config.allow_svg),
+                      lambda kind: F.when(kind != "", kind).when(blocked, "blocked").otherwise(""))
     late = filters.media_quality_reason(config.min_width, config.min_height, config.min_size, config.max_size)
     judged = base.withColumn("_early", early).withColumn("_late", late)
     passing = (F.col("_early") == "") & (F.col("_late") == "")
@@ -137,7 +139,12 @@ def default_album(hint: str | None = None) -> Column:
 
 
 def kept_items(labelled: DataFrame, order: str = "arrival", block: Column | None = None, hint: str | None = None) -> DataFrame:
-    """Kept rows with their duplicates merged in, albums assigned and items numbered per album."""
+    """Kept rows with their duplicates merged in, albums assigned and items numbered per album.
+
+    The merged items are checkpointed because numbering reads them twice; ``labelled`` is read twice too.
+    """
+    from siftweb.session import cut_lineage
+
     part = labelled.filter(F.col("label").isin("kept", "duplicate"))
     is_kept = F.col("label") == "kept"
     # album and document index are settled by the kept row before anything merges into it
@@ -145,7 +152,7 @@ def kept_items(labelled: DataFrame, order: str = "arrival", block: Column | None
     if {"index", "extra"} <= set(part.columns):
         noted = F.map_concat(F.create_map(F.lit("doc_index"), F.col("index").cast("string")), F.col("extra"))
         part = part.withColumn("extra", F.when(is_kept & (F.col("index") != 0), noted).otherwise(F.col("extra")))
-    merged = merge_items(part, ["url_key"], order).drop("index")
+    merged = cut_lineage(merge_items(part, ["url_key"], order).drop("index"))
     span = F.floor(F.col(f"{order}.page_seq") / PAGES_PER_BLOCK) if block is None else block
     return number_in_groups(merged, ["album"], [order], span, "index")
 

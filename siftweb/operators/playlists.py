@@ -78,8 +78,10 @@ def hls_segments(lines: DataFrame, key: str) -> DataFrame:
 
 
 def parse_hls(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> tuple[DataFrame, DataFrame]:
-    """(summary, segments of the usable playlists)."""
-    lines = playlist_lines(playlists, key, text, url)
+    """(summary, segments of the usable playlists); the lines are cut once and read by both."""
+    from siftweb.session import cut_lineage
+
+    lines = cut_lineage(playlist_lines(playlists, key, text, url))
     summary = hls_summary(lines, key)
     return summary, hls_segments(lines, key).join(summary.filter(F.col("error") == "").select(key), key, "left_semi")
 

@@ -29,7 +29,7 @@ def media_inventory(pages: DataFrame, config: media.MediaConfig, site_rules: Dat
     sources.append(answers.withColumn("pos", F.aggregate("path", F.lit(0).cast("long"), lambda acc, i: acc * 1000 + i)).drop("path"))
     # merged once, read by the labels, the items and the counters
     candidates = cut_lineage(media.union_sources(*sources))
-    labelled = media.label_media(candidates, config)
+    labelled = cut_lineage(media.label_media(candidates, config))
     items = media.kept_items(labelled)
     named = items.withColumn("file_name", urls.media_filename(
         F.col("album"), F.col("title"), F.col("index"), F.col("kind"), F.when(F.col("ext") != "", F.col("ext")).otherwise(urls.ext_of(F.col("url"))),
