@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftweb.functions import fixed
+from siftweb.scale import spread
 from siftweb.sources.pages import as_pages
 
 
+#: tables whose rows carry heavy expressions
+HEAVY = {"documents", "pages", "conversations", "lineitem", "events", "part"}
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(table) if name in HEAVY else table
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftweb.functions import fixed
-from siftweb.functions.urls import ext_of, trimmed
+from siftweb.functions.urls import bind, ext_of, trimmed
 
 _BY_KIND = [
     ("image", fixed.IMAGE_EXTS), ("video", fixed.VIDEO_EXTS), ("audio", fixed.AUDIO_EXTS),
@@ -17,11 +17,13 @@ MEDIA_EXT = r"(?i)\.(?:%s)(?:[?#]|$)" % "|".join(
 
 
 def kind_by_ext(ext: Column) -> Column:
-    low = F.lower(F.coalesce(ext, F.lit("")))
-    out = None
-    for kind, exts in _BY_KIND:
-        out = F.when(low.isin(exts), kind) if out is None else out.when(low.isin(exts), kind)
-    return out.otherwise("other")
+    def pick(low: Column) -> Column:
+        out = None
+        for kind, exts in _BY_KIND:
+            out = F.when(low.isin(exts), kind) if out is None else out.when(low.isin(exts), kind)
+        return out.otherwise("other")
+
+    return bind(F.lower(F.coalesce(ext, F.lit(""))), pick)
 
 
 def _plain_type(content_type: Column) -> Column:
@@ -30,17 +32,16 @@ def _plain_type(content_type: Column) -> Column:
 
 def kind_by_content_type(content_type: Column) -> Column:
     """NULL when the type says nothing."""
-    ct = _plain_type(content_type)
-    document = ct.startswith("text/")
-    for word in fixed.DOCUMENT_CT_WORDS:
-        document = document | ct.contains(word)
-    return (F.when(ct == "", F.lit(None).cast("string"))
-            .when(ct.isin(fixed.HLS_CONTENT_TYPES), "hls")
-            .when(ct.isin(fixed.DASH_CONTENT_TYPES), "dash")
-            .when(ct.startswith("image/"), "image")
-            .when(ct.startswith("video/"), "video")
-            .when(ct.startswith("audio/"), "audio")
-            .when(document, "document"))
+    def pick(ct: Column) -> Column:
+        return (F.when(ct == "", F.lit(None).cast("string"))
+                .when(ct.isin(fixed.HLS_CONTENT_TYPES), "hls")
+                .when(ct.isin(fixed.DASH_CONTENT_TYPES), "dash")
+                .when(ct.startswith("image/"), "image")
+                .when(ct.startswith("video/"), "video")
+                .when(ct.startswith("audio/"), "audio")
+                .when(ct.startswith("text/") | ct.rlike("|".join(fixed.DOCUMENT_CT_WORDS)), "document"))
+
+    return bind(_plain_type(content_type), pick)
 
 
 def is_media_kind(kind: Column) -> Column:
@@ -56,20 +57,25 @@ def kind_of(url: Column, content_type: Column | None = None) -> Column:
     by_url = kind_by_ext(ext_of(url))
     if content_type is None:
         return by_url
-    by_type = kind_by_content_type(content_type)
-    return (F.when(by_type.isNull(), by_url)
-            .when((by_type == "document") & is_media_kind(by_url), by_url)
-            .otherwise(by_type))
+
+    def settle(k: Column) -> Column:
+        return (F.when(k["type"].isNull(), k["url"])
+                .when((k["type"] == "document") & is_media_kind(k["url"]), k["url"])
+                .otherwise(k["type"]))
+
+    return bind(F.struct(kind_by_content_type(content_type).alias("type"), by_url.alias("url")), settle)
 
 
 def guess_extension(content_type: Column) -> Column:
-    ct = _plain_type(content_type)
-    main = F.substring_index(ct, "/", 1)
-    sub = F.regexp_replace(ct, "^[^/]*/", "")
-    out = F.when(~ct.contains("/") | ~main.isin("image", "video", "audio", "application", "text"), ".bin")
-    for name, ext in fixed.SUBTYPE_EXT.items():
-        out = out.when(sub == name, f".{ext}")
-    return out.otherwise(F.concat(F.lit("."), sub))
+    def pick(ct: Column) -> Column:
+        main = F.substring_index(ct, "/", 1)
+        sub = F.regexp_replace(ct, "^[^/]*/", "")
+        out = F.when(~ct.contains("/") | ~main.isin("image", "video", "audio", "application", "text"), ".bin")
+        for name, ext in fixed.SUBTYPE_EXT.items():
+            out = out.when(ct.endswith(f"/{name}") & (sub == name), f".{ext}")
+        return out.otherwise(F.concat(F.lit("."), sub))
+
+    return bind(_plain_type(content_type), pick)
 
 
 def has_media_ext(url: Column) -> Column:
@@ -78,14 +84,15 @@ def has_media_ext(url: Column) -> Column:
 
 def event_kind(url: Column, content_type: Column, resource_type: Column) -> Column:
     """Kind of a logged request, '' when it is no media."""
-    kind = kind_of(url, content_type)
-    by_type = kind_by_content_type(content_type)
-    typed = is_media_kind(F.coalesce(by_type, F.lit("")))
-    res = F.lower(F.coalesce(resource_type, F.lit("")))
-    return (F.when(is_media_kind(kind), kind)
-            .when(res == "image", "image")
-            .when(res == "media", F.when(typed, by_type).otherwise("video"))
-            .when(res.isin(fixed.SKIPPED_RESOURCE_TYPES), "")
-            .when(~has_media_ext(url), "")
-            .when(typed, by_type)
-            .otherwise(kind_of(url)))
+    def settle(k: Column) -> Column:
+        typed = is_media_kind(F.coalesce(k["type"], F.lit("")))
+        return (F.when(is_media_kind(k["kind"]), k["kind"])
+                .when(k["res"] == "image", "image")
+                .when(k["res"] == "media", F.when(typed, k["type"]).otherwise("video"))
+                .when(k["res"].isin(fixed.SKIPPED_RESOURCE_TYPES), "")
+                .when(~has_media_ext(url), "")
+                .when(typed, k["type"])
+                .otherwise(kind_of(url)))
+
+    return bind(F.struct(kind_of(url, content_type).alias("kind"), kind_by_content_type(content_type).alias("type"),
+                         F.lower(F.coalesce(resource_type, F.lit(""))).alias("res")), settle)

@@ -147,24 +147,28 @@ def _with_query(head: Column, query: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Address used for media identity: tracking parameters, fragment and default port dropped."""
-    raw = trimmed(F.coalesce(url, F.lit("")))
-    netloc, scheme, host = url_domain(raw), scheme_of(raw), host_of(raw)
-    user_info = F.when(netloc.contains("@"), F.regexp_replace(netloc, r"@[^@]*$", "")).otherwise("")
-    user = F.substring_index(user_info, ":", 1)
-    password = F.when(user_info.contains(":"), F.regexp_replace(user_info, r"^[^:]*:", "")).otherwise("")
-    auth = F.when(user == "", "").when(password == "", F.concat(user, F.lit("@"))) \
-        .otherwise(F.concat(user, F.lit(":"), password, F.lit("@")))
-    port = port_of(raw)
-    port_text = F.when(port.isNull() | (port == 0) | ((scheme == "http") & (port == 80))
-                       | ((scheme == "https") & (port == 443)), "") \
-        .otherwise(F.concat(F.lit(":"), port.cast("string")))
-    bad_port = F.substring_index(netloc, "@", -1).rlike(r":[^\]]*[^\d\]]|:\d{6,}$") & ~netloc.contains("[")
-    bad_port = bad_port | (netloc.rlike(r":\d{5}$") & port.isNull())
-    kept = F.array_sort(F.filter(query_pairs(query_of(raw)), lambda p: ~is_tracking(p["k"])))
-    head = F.concat(F.when(scheme != "", F.concat(scheme, F.lit("://"))).otherwise("//"),
-                    auth, host, port_text, path_of(raw))
-    query = F.when(query_of(raw) == "", "").otherwise(encode_pairs(kept))
-    return F.when((host == "") | bad_port, raw).otherwise(_with_query(head, query))
+    def rebuild(raw: Column, p: Column) -> Column:
+        place = F.substring_index(p["netloc"], "@", -1)
+        host = F.lower(F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.substring_index(place, ":", 1)))
+        user_info = F.when(p["netloc"].contains("@"), F.regexp_replace(p["netloc"], r"@[^@]*$", "")).otherwise("")
+        port = F.when(place.contains(":"), F.regexp_extract(place, r":(\d{1,5})$", 1)).otherwise("")
+
+        def assemble(s: Column) -> Column:
+            user = F.substring_index(s["info"], ":", 1)
+            secret = F.when(s["info"].contains(":"), F.regexp_replace(s["info"], r"^[^:]*:", "")).otherwise("")
+            auth = F.when(user == "", "").when(secret == "", F.concat(user, F.lit("@"))).otherwise(F.concat(user, F.lit(":"), secret, F.lit("@")))
+            number = F.when(s["port"] != "", s["port"].cast("int"))
+            usual = number.isNull() | (number == 0) | ((p["scheme"] == "http") & (number == 80)) | ((p["scheme"] == "https") & (number == 443))
+            port_text = F.when(usual, "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+            odd = place.contains(":") & ((~place.contains("[") & place.rlike(r":[^\]]*[^\d\]]|:\d{6,}$")) | (number > 65535))
+            kept = F.array_sort(F.filter(query_pairs(p["query"]), lambda q: ~is_tracking(q["k"])))
+            query = F.when(p["query"] == "", "").otherwise(bind(encode_pairs(kept), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+            head = F.concat(F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit("://"))).otherwise("//"), auth, s["host"], port_text, p["path"])
+            return F.when((s["host"] == "") | odd, raw).otherwise(F.concat(head, query))
+
+        return bind(F.struct(host.alias("host"), user_info.alias("info"), port.alias("port")), assemble)
+
+    return bind(trimmed(F.coalesce(url, F.lit(""))), lambda raw: bind(_parts(raw), lambda p: rebuild(raw, p)))
 
 
 def url_hash_raw(url: Column) -> Column:

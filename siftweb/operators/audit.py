@@ -139,13 +139,14 @@ def download_verdict(df: DataFrame) -> DataFrame:
 
     The first rule that applies decides.
     """
-    by_url = media.kind_of(F.col("url"))
-    by_url = F.when(by_url.isin(fixed.STREAM_KINDS), "video").otherwise(by_url)
+    staged = df.withColumn("_by_url", media.kind_of(F.col("url"))).withColumn("_ct", F.lower(urls.trimmed(
+        F.substring_index(F.coalesce(F.col("content_type"), F.lit("")), ";", 1))))
+    staged = staged.withColumn("_typed", media.kind_by_content_type(F.col("_ct")))
+    by_url = F.when(F.col("_by_url").isin(fixed.STREAM_KINDS), "video").otherwise(F.col("_by_url"))
     item = F.coalesce(F.col("item_kind"), F.lit(""))
     url_type = F.when((by_url == "other") & (item != ""), F.when(item.isin(fixed.STREAM_KINDS), "video").otherwise(item)).otherwise(by_url)
-    ct = F.lower(urls.trimmed(F.substring_index(F.coalesce(F.col("content_type"), F.lit("")), ";", 1)))
-    typed = media.kind_by_content_type(ct)
-    typed = F.when(typed.isin(fixed.STREAM_KINDS), "video").otherwise(typed)
+    ct = F.col("_ct")
+    typed = F.when(F.col("_typed").isin(fixed.STREAM_KINDS), "video").otherwise(F.col("_typed"))
     page = url_type.isin("video", "image", "audio") & (ct.startswith("text/") | ct.isin("application/json", "application/xml"))
     note = (F.when(page, F.concat(F.lit("返回 "), ct, F.lit(" 页面而非媒体文件（可能被拦截或链接失效）")))
             .when(~F.col("status").isin(200, 206), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
@@ -155,7 +156,8 @@ def download_verdict(df: DataFrame) -> DataFrame:
             .when(F.coalesce(F.col("expected_md5"), F.lit("")).isin("") == F.lit(False),
                   F.when(F.lower("expected_md5") != F.lower("md5"), "MD5校验失败")))
     note = F.coalesce(note, F.when(F.coalesce(F.col("problem"), F.lit("")) != "", F.concat(F.lit(FILTERED), F.col("problem"))), F.lit(""))
-    return df.withColumn("resource_type", F.coalesce(typed, url_type)).withColumn("note", note).withColumn("ok", F.col("note") == "")
+    judged = staged.withColumns({"resource_type": F.coalesce(typed, url_type), "note": note}).drop("_by_url", "_ct", "_typed")
+    return judged.withColumn("ok", F.col("note") == "")
 
 
 def is_filtered(note: Column) -> Column:

@@ -24,6 +24,12 @@ def unnest(df: DataFrame, keep: Sequence[str | Column], array: Column | str, val
     return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan with fewer splits than cores; a larger scan is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the table has at most ``max_rows`` rows (reads no more than that plus one)."""
     return df.limit(max_rows + 1).count() <= max_rows
