@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from siftweb.catalog.inputs import load, pages, quoted, sql_host, sql_part
@@ -162,8 +164,20 @@ for _c in lexicon.CATEGORIES:
             _seq += 1
             _marks = lexicon.markers_of(_t)
             _TERM_ROWS.append(f"('{_c}', {_seq}, '{_t}', {_w}, [{quoted(_marks)}]::VARCHAR[])")
+
+
+def _guarded(pattern: str) -> str:
+    """A cheap test on the words a pattern starts with, in front of the pattern itself."""
+    lead = re.match(r"(?:\(\?i\))?\(\?:([^()\\\[]+)\)", pattern)
+    test = f"regexp_matches(text, '{pattern}')"
+    if not lead:
+        return test
+    words = " OR ".join(f"contains(low, '{w}')" for w in lead.group(1).split("|"))
+    return f"CASE WHEN {words} THEN {test} ELSE false END"
+
+
 _PATTERN_SQL = " ".join(
-    f"UNION ALL SELECT uid, '{c}', {i - 100}, '{label}', {w} FROM clause WHERE regexp_matches(text, '{p}')" for c in lexicon.CATEGORIES for i, (p, w, label) in enumerate(lexicon.PATTERNS[c]))
+    f"UNION ALL SELECT uid, '{c}', {i - 100}, '{label}', {w} FROM clause WHERE {_guarded(p)}" for c in lexicon.CATEGORIES for i, (p, w, label) in enumerate(lexicon.PATTERNS[c]))
 _DOC_PHRASE = "[" + quoted(PHRASES) + "]"
 
 
