@@ -192,7 +192,8 @@ _HITS = f"""
            doc_id || ':' || n AS uid, left(line, 200) || ' ' || {_DOC_PHRASE}[((doc_id + n) % 12)::INT + 1] AS text FROM raw),
   clause AS MATERIALIZED (SELECT *, lower(text) AS low, @FLAGS@ FROM cl),
   terms(category, seq, term, weight, markers) AS (VALUES {", ".join(_TERM_ROWS)}),
-  found AS (SELECT uid, category, seq, term AS label, weight FROM clause, terms WHERE contains(low, term) AND (len(markers) = 0 OR
+  cand AS MATERIALIZED (SELECT uid, low, category, seq, term, weight, markers FROM clause, terms WHERE contains(low, term)),
+  found AS (SELECT uid, category, seq, term AS label, weight FROM cand WHERE (len(markers) = 0 OR
               len(list_filter(range(1, length(low) - length(term) + 2), lambda i: substr(low, i, length(term)) = term AND
                 len(list_filter(markers, lambda m: contains(substr(low, greatest(i - 14, 1), i + length(term) + 14 - greatest(i - 14, 1)), m))) = 0)) > 0)
             {_PATTERN_SQL}),
