@@ -121,13 +121,13 @@ def _cut(path: str, end_id: int, keep_blank: bool, capacity: int, with_ids: bool
     def run(batches):
         from pyspark import TaskContext
 
-        encode, shard = encoder(path, keep_blank), TaskContext.get().partitionId()
+        encode, shard = encoder(path, keep_blank).encode_all, TaskContext.get().partitionId()
         end, ranks = np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             ids: list[bytes] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()):
-                own = encode(text) + end
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("_text").to_pylist())):
+                own += end
                 n = len(own) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -34,10 +34,10 @@ def _encode(path: str, end_id: int, keep_blank: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, shard, start = encoder(path, keep_blank), TaskContext.get().partitionId(), 0
+        encode, shard, start = encoder(path, keep_blank).encode_all, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            parts = [encode(text) + end for text in batch.column("text").to_pylist()]
+            parts = [ids + end for ids in encode(batch.column("text").to_pylist())]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32)))

@@ -7,46 +7,24 @@ import re
 
 import numpy as np
 
-#: pieces remembered per generation and Python worker, and the longest piece that is remembered
+#: pieces remembered per generation and Python worker (two generations at most), and the longest piece that is remembered
 REMEMBERED = 500_000
 LONGEST = 48
+#: characters of text whose pieces are looked up together
+TOGETHER = 400_000
 
-_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-
-
-def _words(text: str) -> list[str]:
-    """Cut at single blanks between non-blank characters; the plain split does that for ordinary prose."""
-    odd = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text)
-    return _BETWEEN_WORDS.split(text) if odd else text.split(" ")
-
-
-class _Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; two generations bound the memory."""
 
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self._encode, self._lead, self._old = encode, lead, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self._old.get(piece)
-        if found is None:
-            found = self._encode(self._lead + piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self._old = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class Encoder:
-    """Encodes a text exactly as one call of the library would, piece by piece.
+    """Encodes texts exactly as one call of the library for each would, piece by piece.
 
-    A text may be cut at a single blank between two non-blank characters without changing any id if no
-    match of the tokenizer's splitting pattern can span that place. That holds for patterns in which a
-    blank only ever leads a match (``keep_blank``: byte-level BPE; the blank goes to the next piece) and
-    for tokenizers that drop white space. Strings that look like special tokens are ordinary text.
+    A text may be cut where no match of the tokenizer's splitting pattern can span the place; no id changes then.
+    ``keep_blank`` (byte-level BPE): matches hold a blank only as their first character, so a single blank between
+    words starts a piece, and a single line end between words is a match of its own. Otherwise the tokenizer
+    drops white space, and every blank or line end separates. New pieces are encoded in one call, with a mark between
+    them whose id occurs nowhere else. Strings that look like special tokens are ordinary text.
     """
 
     def __init__(self, path: str, keep_blank: bool):
@@ -55,17 +33,85 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._cut = _words if keep_blank else (lambda text: text.split(" "))
-        self._rest = _Pieces(self._ids, " " if keep_blank else "")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self._keep_blank = keep_blank
+        self._mark = "\n" if keep_blank else " \0 "
+        mark = self._ids(self._mark)
+        self._mark_id = int(mark[0]) if len(mark) == 1 else None
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Pieces, or None for a text with white space that needs the library's own eye.
+
+        With ``keep_blank`` the first piece of every line starts with a line end, the others lack their blank.
+        """
+        if not self._keep_blank:
+            return text.replace("\n", " ").split(" ")
+        odd = ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
+               or _OTHER_SPACE.search(text))
+        return None if odd else ("\n" + text.replace("\n", " \n")).split(" ")
+
+    def _spelled(self, piece: str) -> str:
+        """A piece as it stands behind a mark."""
+        return piece if not self._keep_blank or piece[:1] == "\n" else " " + piece
+
+    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
+        apart = [p for p in pieces if self._mark_id is None or len(p) > LONGEST or "\0" in p]
+        found = {p: self._alone(p) for p in apart}
+        together = [p for p in pieces if p not in found] if apart else pieces
+        if not together:
+            return found
+        if self._keep_blank:
+            ids = self._ids("".join([p if p[:1] == "\n" else "\n " + p for p in together]))
+            marks = np.flatnonzero(ids == self._mark_id)
+            starts = marks + np.array([p[:1] != "\n" for p in together]) if len(marks) == len(together) else None
+            ends = np.append(marks[1:], len(ids))
+        else:
+            ids = self._ids(self._mark.join(["", *together]))
+            marks = np.flatnonzero(ids == self._mark_id)
+            starts, ends = (marks + 1, np.append(marks[1:], len(ids))) if len(marks) == len(together) else (None, None)
+        if starts is None:
+            return found | {p: self._alone(p) for p in together}
+        raw = ids.tobytes()
+        for piece, start, end in zip(together, (starts * 4).tolist(), (ends * 4).tolist()):
+            found[piece] = raw[start:end]
+        return found
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = self._cut(text)
-        return self._ids(pieces[0]) + b"".join(map(self._rest.__getitem__, pieces[1:]))
+    def _alone(self, piece: str) -> bytes:
+        return self._ids(self._spelled(piece)).tobytes()
+
+    def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
+        new = pieces.difference(self._young)
+        known = {p: self._young[p] for p in pieces if p not in new} if new else {p: self._young[p] for p in pieces}
+        if new:
+            old = {p: self._old[p] for p in new if p in self._old}
+            fresh = old | self._encode_new([p for p in new if p not in old])
+            known |= fresh
+            if len(self._young) > REMEMBERED:
+                self._old, self._young = self._young, {}
+            self._young.update((p, v) for p, v in fresh.items() if len(p) <= LONGEST)
+        return known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            cut = [self._cut(t) if t else [] for t in texts[at:end]]
+            known = self._look_up(set().union(*[c for c in cut if c]))
+            get = known.__getitem__
+            skip = 4 if self._keep_blank else 0  # the line end put before the text
+            for text, pieces in zip(texts[at:end], cut):
+                out.append(self._ids(text).tobytes() if pieces is None else b"".join(map(get, pieces))[skip:])
+            at = end
+        return out
 
 
 _encoders: dict = {}
