@@ -9,8 +9,9 @@ from siftweb.llm.packing import op9_packing
 from siftweb.llm.pii import op4_pii
 from siftweb.llm.quality import op5_quality
 from siftweb.llm.token_store import op2_token_store
+from siftweb.llm.url_rules import op1_url_rules
 
-QUERIES = {q.__name__: q for q in (op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op7_near_dedup, op9_packing, op10_fingerprints)}
+QUERIES = {q.__name__: q for q in (op1_url_rules, op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op7_near_dedup, op9_packing, op10_fingerprints)}
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": r"""

@@ -15,6 +15,18 @@ TOGETHER = 400_000
 
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: a word of western letters, with or without a mark behind it: two matches of either tokenizer's splitting pattern
+_PLAIN = re.compile(r"(\n?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for the characters from 256 on, in order."""
+    hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
+_BLANK = " ".translate(_BYTES)
 
 
 class Encoder:
@@ -24,7 +36,7 @@ class Encoder:
     ``keep_blank`` (byte-level BPE): matches hold a blank only as their first character, so a single blank between
     words starts a piece, and a single line end between words is a match of its own. Otherwise the tokenizer
     drops white space, and every blank or line end separates. New pieces are encoded in one call, with a mark between
-    them whose id occurs nowhere else. Strings that look like special tokens are ordinary text.
+    them whose id occurs nowhere else; plain words go straight to the library's merge model. Strings that look like special tokens are ordinary text.
     """
 
     def __init__(self, path: str, keep_blank: bool):
@@ -36,6 +48,7 @@ class Encoder:
         self._keep_blank = keep_blank
         self._mark = "\n" if keep_blank else " \0 "
         mark = self._ids(self._mark)
+        self._merge = self._tokenizer.model.tokenize
         self._mark_id = int(mark[0]) if len(mark) == 1 else None
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -58,9 +71,41 @@ class Encoder:
         """A piece as it stands behind a mark."""
         return piece if not self._keep_blank or piece[:1] == "\n" else " " + piece
 
+    def _plain(self, word: str) -> list[int]:
+        """Ids of one match of the splitting pattern that isn't plain ASCII letters."""
+        return [t.id for t in self._merge(word.encode().decode("latin-1").translate(_BYTES))]
+
+    def _encode_plain(self, pieces: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of the plain words among the pieces, and the other pieces."""
+        others, plain, ids, ends = [], [], [], [0]
+        keep_blank, merge, match = self._keep_blank, self._merge, _PLAIN.fullmatch
+        feed_ids = self._ids("\n").tolist() if keep_blank else []
+        marks = {m: self._plain(m) for m in ".,"}
+        for piece in pieces:
+            found = match(piece)
+            if not found:
+                others.append(piece)
+                continue
+            feed, word, mark = found.groups()
+            if not keep_blank:
+                word = word.lower()
+            if feed:
+                ids += feed_ids
+            if word.isascii():
+                ids += [t.id for t in merge(_BLANK + word if keep_blank and not feed else word)]
+            else:
+                ids += self._plain(" " + word if keep_blank and not feed else word)
+            if mark:
+                ids += marks[mark]
+            plain.append(piece)
+            ends.append(len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return {p: raw[4 * a:4 * b] for p, a, b in zip(plain, ends, ends[1:])}, others
+
     def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
+        found, pieces = self._encode_plain(pieces)
         apart = [p for p in pieces if self._mark_id is None or len(p) > LONGEST or "\0" in p]
-        found = {p: self._alone(p) for p in apart}
+        found |= {p: self._alone(p) for p in apart}
         together = [p for p in pieces if p not in found] if apart else pieces
         if not together:
             return found
@@ -83,17 +128,20 @@ class Encoder:
     def _alone(self, piece: str) -> bytes:
         return self._ids(self._spelled(piece)).tobytes()
 
-    def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Make the young generation hold all ``pieces``; returns those too long to stay."""
+        if len(self._young) > REMEMBERED:
+            self._old, self._young = self._young, {}
         new = pieces.difference(self._young)
-        known = {p: self._young[p] for p in pieces if p not in new} if new else {p: self._young[p] for p in pieces}
-        if new:
-            old = {p: self._old[p] for p in new if p in self._old}
-            fresh = old | self._encode_new([p for p in new if p not in old])
-            known |= fresh
-            if len(self._young) > REMEMBERED:
-                self._old, self._young = self._young, {}
-            self._young.update((p, v) for p, v in fresh.items() if len(p) <= LONGEST)
-        return known
+        if not new:
+            return []
+        if self._old:
+            back = new.intersection(self._old)
+            self._young.update([(p, self._old[p]) for p in back])
+            new -= back
+        fresh = self._encode_new(list(new))
+        self._young.update(fresh)
+        return [p for p in fresh if len(p) > LONGEST]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
@@ -105,11 +153,13 @@ class Encoder:
                 size += len(texts[end])
                 end += 1
             cut = [self._cut(t) if t else [] for t in texts[at:end]]
-            known = self._look_up(set().union(*[c for c in cut if c]))
-            get = known.__getitem__
+            long = self._learn(set().union(*[c for c in cut if c]))
+            get = self._young.__getitem__
             skip = 4 if self._keep_blank else 0  # the line end put before the text
             for text, pieces in zip(texts[at:end], cut):
                 out.append(self._ids(text).tobytes() if pieces is None else b"".join(map(get, pieces))[skip:])
+            for piece in long:
+                del self._young[piece]
             at = end
         return out
 
