@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftweb.llm import exact_dedup, quality
+from siftweb.llm import exact_dedup, mixing, near_dedup, packing, quality
 from siftweb.llm.common import read
 
 
@@ -18,9 +18,30 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality", good_quality), ("exact dedup", without_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies."""
+    return near_dedup.drop_near(docs)
 
-#: no stage after the first can be told in SQL without the classifier's decisions
+
+#: shares of the mixture; plain text keeps its amount, which fixes the others, and no document comes twice
+WEIGHTS = {"plain": 0.98, "toxic": 0.02}
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that bring the domains to WEIGHTS."""
+    return mixing.mix(docs, read(spark, sf_dir, "labels"), WEIGHTS, hold="plain", most=1.0)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+STAGES = [("quality", good_quality), ("exact dedup", without_copies), ("near dedup", without_near_copies), ("mixing", to_target_weights), ("packing", packed)]
+
+#: classifiers, signatures and packing have no SQL counterpart; every stage is tested against a plain version
 ORACLE_SQL = None
 
 

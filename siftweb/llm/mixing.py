@@ -104,7 +104,7 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float], hold: str | None =
         moved = rate * F.lit(1 - step * PULL) + F.lit(step * PULL) - sum((F.lit(float(step * pull[i])) * p[i] for i in range(1, k)), F.lit(float(step * pull[0])) * p[0])
         rate = F.greatest(moved, F.lit(0.0)) if most is None else F.least(F.greatest(moved, F.lit(0.0)), F.lit(float(most)))
         before, totals, done = totals, _totals(rows, rate), done + 1
-        if np.abs(totals - before).max() <= 1e-9 * everything:
+        if np.abs(totals - before).max() <= 0.01 * MISS * everything:
             break
     return rows.withColumn("rate", rate), {"targets": dict(zip(DOMAINS, targets)), "totals": dict(zip(DOMAINS, totals)), "steps": done}
 

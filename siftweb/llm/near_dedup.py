@@ -14,9 +14,6 @@ WORDS, LINK = 5, 75
 #: bands and ranks per band: a pair of similarity 0.75 shares no band with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6
 BANDS, ROWS = 32, 4
 RANKS = BANDS * ROWS
-#: signatures that agree in fewer ranks than this share aren't verified after the first round; at similarity 0.75
-#: the share falls below it with a probability under 1e-8
-LEAST_AGREEMENT = 0.5
 
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -117,32 +114,62 @@ def _with_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "elements"])
 
 
-def _confirm(batches):
+def _meet(batches):
     for batch in batches:
-        good = []
+        sizes_a, sizes_b, common, added = [], [], [], []
         for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
             a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            shared = 0
-            if 100 * min(len(a), len(b)) >= LINK * max(len(a), len(b)):
-                where = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                shared = int((a[where] == b).sum())
-            good.append(100 * shared >= LINK * (len(a) + len(b) - shared))
-        chosen = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-        yield chosen
-
-
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough. Only texts of documents in pairs are read again.
-
-    The identifiers are a written table, so Spark knows its size and broadcasts it only below its own limit.
+            inside = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+            shared = int(inside.sum())
+            needed = max(1, -(-(3 * len(b) - 4 * shared) // 4))
+            sizes_a.append(len(a))
+            sizes_b.append(len(b))
+            common.append(shared)
+            added.append(b[~inside][:max(0, len(b) - shared - needed + 1)].view(np.int64))
+        a, b, n = (np.array(x, np.int64) for x in (sizes_a, sizes_b, common))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(b), pa.array(n), pa.array(100 * n >= LINK * (a + b - n)),
+                                          pa.array(added, pa.list_(pa.int64()))], ["a", "b", "n", "shared", "linked", "added"])
+
+
+def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of doc_ids on their full shingle sets: size of b, shared shingles, whether they are linked, and ``added``.
+
+    ``added`` are the shingles of b that a lacks, in ascending order and without the last ones that a further link of b,
+    one that no shingle of a explains, can do without (see ``_across``). Only texts of documents in pairs are read again; their
+    identifiers are a written table, so Spark knows its size and broadcasts it only below its own limit.
     """
     pairs = keep(pairs, "pairs")
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text")).join(ids, "doc_id", "left_semi")
-    sets = keep(texts.mapInArrow(_with_sets, "doc_id long, elements binary"), "sets").dropDuplicates(["doc_id"])
+    sets = keep(texts.mapInArrow(_with_sets, "doc_id long, elements binary"), "elements").dropDuplicates(["doc_id"])
     met = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("set_b")), "b")
            .join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("set_a")), "a"))
-    return met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
+    return keep(met.select("a", "b", "set_a", "set_b").mapInArrow(_meet, "a long, b long, n long, shared long, linked boolean, added array<long>"), "met")
+
+
+def _across(met: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one hub, in different components, that may still be linked; no other pair can be.
+
+    Let x and y have n and m shingles, of which c and d are the hub's. They share at most min(c, d) shingles of the hub and
+    some added ones, and a link needs 3/7 (n + m) shared shingles in all. As members linked to the hub are in one component,
+    x isn't linked to it. Either min(c, d) alone suffices: then x, mostly inside the hub, has c >= 3/4 n, and m lies between
+    3/4 n and 7/3 c - n. Or they share added shingles, at least 3/4 n - c of them, hence one of those that ``compare``
+    leaves in ``added`` on either side. Both are equi joins; keys that only one component has are left out first.
+    """
+    member = met.select(F.col("a").alias("hub"), F.col("b").alias("x"), "n", "shared", "linked", "added").join(
+        label.select(F.col("u").alias("x"), F.col("v").alias("low")), "x", "left").withColumn("low", F.coalesce("low", "x"))
+    mixed = member.groupBy("hub").agg(F.min("low").alias("p"), F.max("low").alias("q")).filter("p <> q").select("hub")
+    member = keep(member.join(mixed, "hub", "left_semi"), "members")
+    other = member.select("hub", F.col("x").alias("y"), F.col("n").alias("m"), F.col("shared").alias("d"), F.col("low").alias("low_y"))
+    inside = member.filter("NOT linked AND 4 * shared >= 3 * n").select(
+        "hub", "x", "n", "shared", "low", F.explode(F.sequence(F.expr("(3 * n + 3) div 4"), F.expr("(7 * shared) div 3 - n"))).alias("m"))
+    contained = inside.join(other, ["hub", "m"]).filter("low <> low_y AND 3 * (n + m) <= 7 * least(shared, d)").select("x", "y")
+    each = member.select("hub", "x", "low", "linked", F.explode("added").alias("shingle"))
+    open_ = each.groupBy("hub", "shingle").agg(F.min("low").alias("p"), F.max("low").alias("q")).filter("p <> q").select("hub", "shingle")
+    each = keep(each.join(open_, ["hub", "shingle"], "left_semi"), "added")
+    sharing = each.filter("NOT linked").select("hub", "shingle", "x", "low").join(
+        each.select("hub", "shingle", F.col("x").alias("y"), F.col("low").alias("low_y")), ["hub", "shingle"]).filter("low <> low_y").select("x", "y")
+    return contained.unionByName(sharing).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _forest(batches):
@@ -196,27 +223,23 @@ def classes(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result; other columns are ignored.
 
     1. One pass over the texts writes set identifiers and signatures; equal sets are represented by their least doc_id.
-    2. In every bucket of a band, members are paired with one hub only, another hub in every bucket; confirmed on full sets.
-    3. What can still be missing are links between different components that share a bucket. Those members, and no
-       others, are paired across components if their signatures agree in LEAST_AGREEMENT of the ranks, and confirmed too.
+    2. In every bucket of a band, members are compared with one hub only, on full sets: with the member that meets most others
+       over all its buckets, which is near the middle of a group of copies.
+    3. Members of one hub that are in different components may be linked too. What they share with the hub and what
+       they add to it rule out almost all such pairs; the others are compared on full sets.
     """
     sketches = keep(sketch(docs), "sketches")
     filled = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = keep(filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "sets")
     bands = reps.select("rep", "signature").mapInArrow(_bands, "bucket long, rep long")
-    picked = F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), F.col("rep").alias("hub")))["hub"]
-    hubs = bands.groupBy("bucket").agg(picked.alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = keep(bands.join(hubs, "bucket"), "buckets")
-    first = keep(confirm(members.filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(),
-                         docs), "links")
-    label = components(first).select(F.col("u").alias("rep"), F.col("v").alias("low"))
-    named = members.filter("members > 2").select("bucket", "rep", "hub").join(label, "rep", "left").withColumn("low", F.coalesce("low", "rep"))
-    split = named.groupBy("bucket").agg(F.min("low").alias("x"), F.max("low").alias("y")).filter("x <> y").select("bucket")
-    open_ = keep(named.join(split, "bucket", "left_semi").filter("rep <> hub").join(reps.select("rep", "signature"), "rep"), "open")
-    left, right = (open_.select("bucket", F.col("rep").alias(i), F.col("low").alias(f"low_{i}"), F.col("signature").alias(f"sign_{i}")) for i in "ab")
-    across = left.join(right, "bucket").filter(
-        (F.col("low_a") < F.col("low_b")) & (_agreement(F.col("sign_a"), F.col("sign_b")) >= LEAST_AGREEMENT * RANKS))
-    second = confirm(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs)
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = keep(bands.join(sizes, "bucket"), "buckets")
+    meets = members.groupBy("rep").agg(F.sum("members").alias("meets"))
+    hubs = members.join(meets, "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low")))["low"].alias("low"))
+    pairs = members.select("bucket", "rep").join(hubs.select("bucket", (-F.col("low")).alias("hub")), "bucket").filter("rep <> hub")
+    met = compare(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), docs)
+    first = met.filter("linked").select("a", "b")
+    second = compare(_across(met, components(first)), docs).filter("linked").select("a", "b")
     final = components(first.unionByName(second)).select(F.col("u").alias("rep"), F.col("v").alias("low"))
     own = reps.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("low", "rep").alias("_low"))
     linked = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(own, "set_id").select("doc_id", "n_shingles", "_low")
@@ -224,12 +247,6 @@ def classes(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("_low").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("_low")).alias("kept"))
 
 
-def _agreement(a, b):
-    """Equal ranks of two signatures, counted word by word."""
-    ranks = F.sequence(F.lit(0), F.lit(RANKS - 1))
-    return F.aggregate(ranks, F.lit(0), lambda n, i: n + F.when(F.substring(a, 1 + 4 * i, 4) == F.substring(b, 1 + 4 * i, 4), 1).otherwise(0))
-
-
 def drop_near(docs: DataFrame) -> DataFrame:
     """One row of every group of linked documents, the one with the least doc_id, with the columns of ``docs``."""
     kept = classes(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()

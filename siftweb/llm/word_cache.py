@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from operator import attrgetter
 
 import numpy as np
 
@@ -27,6 +28,7 @@ def _byte_letters() -> dict[int, int]:
 
 _BYTES = _byte_letters()
 _BLANK = " ".translate(_BYTES)
+id_of = attrgetter("id")
 
 
 class Encoder:
@@ -35,7 +37,7 @@ class Encoder:
     A text may be cut where no match of the tokenizer's splitting pattern can span the place; no id changes then.
     ``keep_blank`` (byte-level BPE): matches hold a blank only as their first character, so a single blank between
     words starts a piece, and a single line end between words is a match of its own. Otherwise the tokenizer
-    drops white space, and every blank or line end separates. New pieces are encoded in one call, with a mark between
+    drops white space, and every blank or line end separates; where it also ignores case, ASCII texts are lower-cased first. New pieces are encoded in one call, with a mark between
     them whose id occurs nowhere else; plain words go straight to the library's merge model. Strings that look like special tokens are ordinary text.
     """
 
@@ -49,6 +51,7 @@ class Encoder:
         self._mark = "\n" if keep_blank else " \0 "
         mark = self._ids(self._mark)
         self._merge = self._tokenizer.model.tokenize
+        self._lower = str.lower if self._ids("A").tobytes() == self._ids("a").tobytes() else str
         self._mark_id = int(mark[0]) if len(mark) == 1 else None
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -62,7 +65,7 @@ class Encoder:
         With ``keep_blank`` the first piece of every line starts with a line end, the others lack their blank.
         """
         if not self._keep_blank:
-            return text.replace("\n", " ").split(" ")
+            return (self._lower(text) if text.isascii() else text).replace("\n", " ").split(" ")
         odd = ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
                or _OTHER_SPACE.search(text))
         return None if odd else ("\n" + text.replace("\n", " \n")).split(" ")
@@ -81,18 +84,23 @@ class Encoder:
         keep_blank, merge, match = self._keep_blank, self._merge, _PLAIN.fullmatch
         feed_ids = self._ids("\n").tolist() if keep_blank else []
         marks = {m: self._plain(m) for m in ".,"}
+        lead, lower = _BLANK if keep_blank else "", self._lower
         for piece in pieces:
+            if piece.isascii() and piece.isalpha():
+                ids += map(id_of, merge(lead + lower(piece)))
+                plain.append(piece)
+                ends.append(len(ids))
+                continue
             found = match(piece)
             if not found:
                 others.append(piece)
                 continue
             feed, word, mark = found.groups()
-            if not keep_blank:
-                word = word.lower()
+            word = lower(word)
             if feed:
                 ids += feed_ids
             if word.isascii():
-                ids += [t.id for t in merge(_BLANK + word if keep_blank and not feed else word)]
+                ids += map(id_of, merge(word if feed else lead + word))
             else:
                 ids += self._plain(" " + word if keep_blank and not feed else word)
             if mark:
@@ -136,9 +144,9 @@ class Encoder:
         if not new:
             return []
         if self._old:
-            back = new.intersection(self._old)
-            self._young.update([(p, self._old[p]) for p in back])
-            new -= back
+            back = {p: self._old[p] for p in new if p in self._old}
+            self._young.update(back)
+            new.difference_update(back)
         fresh = self._encode_new(list(new))
         self._young.update(fresh)
         return [p for p in fresh if len(p) > LONGEST]
