@@ -62,7 +62,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*([shards] if shards else []), *order).sortWithinPartitions(*order)
     (dealt.mapInArrow(_encode(tokenizer, end_id, keep_blank), _ENCODED)
-     .write.option("compression", "zstd")
+     .write.option("compression", "snappy")
      .option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.enable.dictionary", "false")
      .option("parquet.enable.dictionary#ids.list.element", "true")
