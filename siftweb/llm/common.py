@@ -28,13 +28,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a written folder when it ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: ends the lineage there.
 
     Written tables survive lost executors and, unlike checkpoints, are compressed and read by column.
+    They go when the driver ends.
     """
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

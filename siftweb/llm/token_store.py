@@ -103,8 +103,9 @@ def op2_token_store(spark: SparkSession, folder: str) -> DataFrame:
     """Encode all documents, write the token files, read them back and digest what was read."""
     import public_tokenizers
 
-    from siftweb.llm.common import read
+    from siftweb.llm.common import drop_at_end, read
 
     out = shared_folder(spark, "tokens")
     write_tokens(read(spark, folder, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+    drop_at_end(spark, out)
     return digest(read_tokens(spark, out))
