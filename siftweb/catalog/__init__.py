@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pages", "media", "risk", "policy", "graphs", "audit", "streams"]
+MODULES = ["pages", "media", "risk", "policy", "graphs", "audit", "streams", "jobs"]
 
 
 def _collect(attribute: str) -> dict:

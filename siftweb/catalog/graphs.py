@@ -10,14 +10,10 @@ from siftweb.functions import urls
 from siftweb.operators import books, graph
 from siftweb.operators import media as ops
 
-BUCKETS = 700
-
-
 def _edges(spark, folder):
-    li = load(spark, folder, "lineitem")
-    name = lambda c, k: F.concat(F.lit("http://s"), ((c * k) % BUCKETS).cast("string"), F.lit(".example.com/"))
-    return li.select(name(F.col("l_orderkey"), 1).alias("src"), name(F.col("l_partkey"), 7).alias("dst"), "l_quantity") \
-        .filter(F.col("l_quantity") < 3).select("src", "dst").distinct()
+    """Every order links to the orders numbered like its parts."""
+    name = lambda c: F.concat(F.lit("http://s"), F.col(c).cast("string"), F.lit(".example.com/"))
+    return load(spark, folder, "lineitem").select(name("l_orderkey").alias("src"), name("l_partkey").alias("dst")).distinct()
 
 
 def _seeds(spark, folder):
@@ -33,7 +29,7 @@ def bfs_budget(spark, folder):
 
 
 def media_frontier(spark, folder):
-    e = _edges(spark, folder).withColumn("paging", F.crc32("dst") % 10 == 0)
+    e = _edges(spark, folder).withColumn("paging", F.endswith("dst", F.lit("0.example.com/")))
     out = graph.media_frontier(e.filter(~F.col("paging")), e.filter("paging"), _seeds(spark, folder), 2, hard_cap=0)
     return out.select("url", F.col("depth").cast("long").alias("depth"))
 
@@ -88,7 +84,7 @@ def book_meta(spark, folder):
 def paginate(spark, folder):
     p = pages(spark, folder).withColumn("html", F.concat("html", F.lit('<a href="/next/2?x=1#f">Next page</a><a rel="next" href="?page=9">x</a>')))
     plain = pages(spark, folder).withColumn("page_id", F.col("page_id") + 1_000_000)
-    return graph.next_pages(p.unionByName(plain)).select("page_id", F.col("rank").cast("long").alias("rank"), "next_url")
+    return graph.next_pages(p.unionByName(plain), most=2).select("page_id", F.col("rank").cast("long").alias("rank"), "next_url")
 
 
 def book_pages(spark, folder):
@@ -145,20 +141,22 @@ def diff_hash(spark, folder):
     return _hashes(spark, folder).select("vec_id", F.col("h").alias("hash"))
 
 
-COARSE = 0xFFFFFF
+COPY = 1_000_000
 
 
-def _coarse(spark, folder):
-    """The low 24 bits: near pairs and exact copies occur."""
-    return _hashes(spark, folder).select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.lit(77)).otherwise(F.col("h").bitwiseAND(F.lit(COARSE))).cast("long").alias("h"))
+def _copied(spark, folder):
+    """Whole hashes; a third are one hot value, and every row has a copy with up to two bits turned over."""
+    own = _hashes(spark, folder).select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.lit(77).cast("long")).otherwise(F.col("h")).alias("h"))
+    bit = lambda k: F.expr(f"shiftleft(1L, CAST(vec_id % {k} AS INT))")
+    return own.unionByName(own.select((F.col("vec_id") + COPY).alias("vec_id"), F.col("h").bitwiseXOR(bit(53)).bitwiseXOR(bit(47)).alias("h")))
 
 
 def near_pairs(spark, folder):
-    return ops.near_duplicate_pairs(_coarse(spark, folder), "vec_id", "h", 3).select("a_key", "b_key", "a_copies", "b_copies", "distance")
+    return ops.near_duplicate_pairs(_copied(spark, folder), "vec_id", "h", 3).select("a_key", "b_key", "a_copies", "b_copies", "distance")
 
 
 def near_groups(spark, folder):
-    return ops.perceptual_groups(_coarse(spark, folder).withColumn("at", F.col("vec_id")), "vec_id", "h", "at", 3).select("vec_id", "keeper_order")
+    return ops.perceptual_groups(_copied(spark, folder).withColumn("at", F.col("vec_id")), "vec_id", "h", "at", 3).select("vec_id", "keeper_order")
 
 
 QUERIES = {
@@ -168,8 +166,7 @@ QUERIES = {
     "merged_results": merged_results, "diff_hash": diff_hash, "near_pairs": near_pairs, "near_groups": near_groups,
 }
 
-_EDGE = f"""edge AS (SELECT DISTINCT 'http://s' || l_orderkey % {BUCKETS} || '.example.com/' AS src, 'http://s' || l_partkey * 7 % {BUCKETS} || '.example.com/' AS dst
-    FROM lineitem WHERE l_quantity < 3), seed AS (SELECT 'http://s' || r_regionkey || '.example.com/' AS url FROM region)"""
+_EDGE = """edge AS (SELECT DISTINCT 'http://s' || l_orderkey || '.example.com/' AS src, 'http://s' || l_partkey || '.example.com/' AS dst FROM lineitem), seed AS (SELECT 'http://s' || r_regionkey || '.example.com/' AS url FROM region)"""
 
 
 def _levels(depth: int, ok: str) -> str:
@@ -188,18 +185,21 @@ _CHAIN = f"""c AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderpriority,
 _TASK = """t AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'completed' WHEN 'F' THEN CASE WHEN o_orderkey % 10 = 0 THEN 'failed' ELSE 'completed' END
       ELSE 'pending' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN [o_orderkey // 2, 20] WHEN o_orderkey > 0 THEN [o_orderkey // 2] ELSE [] END AS deps,
       substr(o_orderpriority, 1, 1)::BIGINT AS priority, o_orderkey % 4 AS rc, o_orderkey AS k FROM orders)"""
-_READY = "r AS (SELECT id, priority FROM t WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM t d WHERE list_contains(t.deps, d.id) AND d.status <> 'completed'))"
 _READY = """w AS (SELECT DISTINCT p.id FROM (SELECT id, unnest(deps) AS dep FROM t WHERE status = 'pending') p JOIN t d ON d.id = p.dep AND d.status <> 'completed'),
       r AS (SELECT id, priority FROM t WHERE status = 'pending' AND id NOT IN (FROM w))"""
 _BITS = [r * 9 + c for r in range(7) for c in range(8)]
 _HASH = "(" + " + ".join(f"CASE WHEN embedding[{i + 1}] < embedding[{i + 2}] THEN {1 << (len(_BITS) - 1 - n)} ELSE 0 END" for n, i in enumerate(_BITS)) + ")::BIGINT"
-_COARSE = f"k AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 77 ELSE {_HASH} & {COARSE} END AS h FROM embeddings), g AS (SELECT h, min(vec_id) AS first, count(*) AS copies FROM k WHERE h <> 0 GROUP BY 1)"
+_COPIED = f"o AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 77 ELSE {_HASH} END AS h FROM embeddings), " \
+    f"k AS (SELECT vec_id, h FROM o UNION ALL SELECT vec_id + {COPY}, xor(xor(h, 1::BIGINT << (vec_id % 53)::INT), 1::BIGINT << (vec_id % 47)::INT) FROM o), g AS (SELECT h, min(vec_id) AS first, count(*) AS copies FROM k WHERE h <> 0 GROUP BY 1)"
 _ROOT = f"({sql_part('url', 1)} || '://' || {sql_part('url', 2)})"
 _PATHQ = f"({sql_part('url', 3)})"
 
 SQL = {
     "bfs_levels": f"WITH {_levels(4, chr(78) + 'OT regexp_matches(url, ' + chr(39) + '//s[0-9]*13[.]' + chr(39) + ')')} SELECT url, depth::BIGINT AS depth FROM v4",
     "bfs_budget": f"""WITH {_levels(3, 'true')}, n AS (SELECT *, row_number() OVER (ORDER BY depth, url) AS rn FROM v3) SELECT url, depth::BIGINT AS depth FROM n WHERE rn <= 40""",
+    "media_frontier": f"""WITH RECURSIVE {_EDGE}, walk(url, depth) AS (SELECT url, 0 FROM seed UNION
+        SELECT dst, depth + CASE WHEN dst LIKE '%0.example.com/' THEN 0 ELSE 1 END FROM walk JOIN edge ON src = url WHERE depth < 2 OR dst LIKE '%0.example.com/')
+        SELECT url, min(depth)::BIGINT AS depth FROM walk GROUP BY url""",
     "next_chain": f"WITH {_CHAIN} SELECT book AS start, o_orderkey AS node, dist FROM page",
     "chain_stops": f"""WITH {_CHAIN} SELECT book AS start, max(dist) + 1 AS pages,
         CASE WHEN max(n) > {LIMIT} THEN 'limit' WHEN o_custkey % 4 <> 0 THEN 'end' WHEN max(n) = {LIMIT} THEN 'limit' ELSE 'loop' END AS stop_reason
@@ -228,7 +228,7 @@ SQL = {
     "merged_results": """SELECT DISTINCT l_orderkey % 50 AS task_id, l_partkey AS part, 'task ' || l_orderkey % 50 AS task_name FROM lineitem
         WHERE l_orderkey % 50 % 2 = 0""",
     "diff_hash": f"SELECT vec_id, {_HASH} AS hash FROM embeddings",
-    "near_pairs": f"""WITH {_COARSE} SELECT a.first AS a_key, b.first AS b_key, a.copies AS a_copies, b.copies AS b_copies, bit_count(xor(a.h, b.h))::BIGINT AS distance
+    "near_pairs": f"""WITH {_COPIED} SELECT a.first AS a_key, b.first AS b_key, a.copies AS a_copies, b.copies AS b_copies, bit_count(xor(a.h, b.h))::BIGINT AS distance
         FROM g a JOIN g b ON a.first < b.first AND bit_count(xor(a.h, b.h)) <= 3""",
     "paginate": f"""
         WITH p AS (SELECT page_id, url, {_ROOT} AS root, {sql_part('url', 3)} AS path, {sql_part('url', 4)} AS q, 0 AS plain FROM pages

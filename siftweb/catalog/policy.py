@@ -26,7 +26,7 @@ def lines(spark, folder):
     url = F.concat(F.lit("https://d.example.com/"), F.when(F.col("doc_id") % 3 == 0, F.lit("hot")).otherwise(F.col("doc_id").cast("string")))
     at = F.element_at(phrase, ((F.col("doc_id") + F.col("n")) % len(PHRASES) + 1).cast("int"))
     return rows.select(F.col("doc_id").alias("page_index"), F.col("n").cast("long").alias("clause_index"), url.alias("page_url"),
-                       F.concat("doc_id", F.lit(":"), "n").alias("uid"), F.concat(F.left("line", F.lit(200)), F.lit(" "), at).alias("text"))
+                       F.concat("doc_id", F.lit(":"), "n").alias("uid"), F.concat("line", F.lit(" "), at).alias("text"))
 
 
 def _hits(spark, folder):
@@ -189,7 +189,7 @@ _CAT_POS = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumer
 _HITS = f"""
   raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
   cl AS (SELECT doc_id AS page_index, n AS clause_index, 'https://d.example.com/' || CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE doc_id::VARCHAR END AS page_url,
-           doc_id || ':' || n AS uid, left(line, 200) || ' ' || {_DOC_PHRASE}[((doc_id + n) % 12)::INT + 1] AS text FROM raw),
+           doc_id || ':' || n AS uid, line || ' ' || {_DOC_PHRASE}[((doc_id + n) % 12)::INT + 1] AS text FROM raw),
   clause AS MATERIALIZED (SELECT *, lower(text) AS low, @FLAGS@ FROM cl),
   terms(category, seq, term, weight, markers) AS (VALUES {", ".join(_TERM_ROWS)}),
   cand AS MATERIALIZED (SELECT uid, low, category, seq, term, weight, markers FROM clause, terms WHERE contains(low, term)),

@@ -83,11 +83,10 @@ def export_media_rows(spark, folder):
 def upsert_items(spark, folder):
     """Two overlapping writes, the second winning, then the ordered read of one task."""
     at = _scratch(spark)
-    e = load(spark, folder, "events").select((F.col("user_id") % 3).alias("task_id"), F.concat(F.lit("http://h/"), (F.col("event_id") % 4000).cast("string")).alias("url"),
-                                             F.col("event_type").alias("kind"), (F.col("event_id") % 4000).alias("index"), F.col("event_id"), F.col("user_id"))
-    first = e.filter(F.col("event_id") < 4000)
-    tables.upsert_media_items(first.withColumn("album", F.lit("old")), at, 1)
-    tables.upsert_media_items(first.filter(F.col("event_id") % 2 == 0).withColumn("album", F.lit("new")), at, 2)
+    e = load(spark, folder, "events").select((F.col("user_id") % 3).alias("task_id"), F.concat(F.lit("http://h/"), F.col("event_id").cast("string")).alias("url"),
+                                             F.col("event_type").alias("kind"), F.col("event_id").alias("index"), "event_id")
+    tables.upsert_media_items(e.withColumn("album", F.lit("old")), at, 1)
+    tables.upsert_media_items(e.filter(F.col("event_id") % 2 == 0).withColumn("album", F.lit("new")), at, 2)
     return tables.read_media_items(spark, at, 1).select("url", "kind", "album", "index")
 
 
@@ -197,7 +196,7 @@ SQL = {
         (SELECT count(*) FROM pages) AS markdown_lines FROM pages""",
     "export_media": f"WITH {media_catalog._CAND} SELECT url, \"index\", CASE WHEN length(title) > 3 THEN title ELSE source_page END AS referer, album FROM numbered",
     "upsert_items": """SELECT 'http://h/' || event_id AS url, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END AS album, event_id AS "index"
-        FROM events WHERE event_id < 4000 AND user_id % 3 = 1""",
+        FROM events WHERE user_id % 3 = 1""",
     "crawled_once": """WITH e AS (SELECT o_custkey % 5 AS task_id, o_orderkey % 3000 AS u, min(CASE WHEN o_orderkey < 3000 THEN 0 ELSE 1 END) AS n FROM orders GROUP BY 1, 2)
         SELECT task_id, CASE n WHEN 0 THEN 'first' ELSE 'later' END AS status, count(*) AS urls FROM e GROUP BY 1, 2""",
     "resumed_tasks": "SELECT o_orderkey AS id, 'running' AS status FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0",

@@ -60,17 +60,16 @@ def expiry_rollup(rows: DataFrame, now: int, domain: str = "domain", expiry: str
     return rows.groupBy(domain).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(expiry) <= now).alias("expired"))
 
 
-def set_fingerprint(rows: DataFrame, group: str, keys: Sequence[str], value: str, buckets: int = 1024) -> DataFrame:
+def set_fingerprint(rows: DataFrame, group: str, keys: Sequence[str], value: str) -> DataFrame:
     """Digest of each group's rows that does not depend on their order and shows no value.
 
-    Row digests are sorted and hashed per bucket, then the bucket digests are hashed: a large group
-    never meets in one task.
+    The 256-bit digests of the rows are added up in eight parts, with their number: sums are formed before the shuffle,
+    and a group of any size is one short row.
     """
     row = F.sha2(F.concat_ws("|", *keys, F.length(value), F.left(F.sha2(F.col(value).cast("binary"), 256), F.lit(12))).cast("binary"), 256)
-    hashed = rows.select(group, row.alias("_d")).withColumn("_b", F.conv(F.left("_d", F.lit(8)), 16, 10).cast("long") % buckets)
-    parts = hashed.groupBy(group, "_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), "").cast("binary"), 256).alias("_p"))
-    return parts.groupBy(group).agg(F.left(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_p"))), lambda s: s["_p"]), "")
-                                                  .cast("binary"), 256), F.lit(16)).alias("fingerprint"))
+    sums = [F.sum(F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)]
+    return rows.select(group, row.alias("_d")).groupBy(group).agg(
+        F.left(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums).cast("binary"), 256), F.lit(16)).alias("fingerprint"))
 
 
 EVIDENCE_CHARS = 120
@@ -177,7 +176,9 @@ def failed_urls(audited: DataFrame) -> DataFrame:
 def manifest_rows(downloads: DataFrame, items: DataFrame) -> DataFrame:
     """Downloads with album, resolution and duration of their item, by exact address."""
     known = items.select("url", "album", F.when((F.col("width") > 0) & (F.col("height") > 0), F.concat(
-        F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))).otherwise("").alias("resolution"), "duration").dropDuplicates(["url"])
+        F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))).otherwise("").alias("resolution"), "duration")
+    # of several items with one address the least row counts
+    known = known.groupBy("url").agg(F.min(F.struct("album", "resolution", "duration")).alias("r")).select("url", "r.*")
     joined = join_by_hot_key(downloads, known, "url", F.col("path"))
     return joined.withColumns({"album": F.coalesce("album", F.lit("")), "resolution": F.coalesce("resolution", F.lit("")), "duration": F.coalesce("duration", F.lit(0.0))})
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftweb.functions import fixed, html, urls
+from siftweb.functions import arrow, fixed, html, urls
 from siftweb.functions.urls import bind
 
 # --- fixed values: where a chapter's text stands, what is noise, how chapters are called
@@ -29,6 +29,9 @@ NOISE_SELECTORS = [
     ".bottem", ".booklist", ".chapterlist", ".listmain",
     ".notice", ".tips", ".banner", ".copyright",
 ]
+TITLE_SELECTORS = ["h1", ".chapter-title", ".chapterTitle", "#chapter-title", "#chapterTitle", ".bookname h1", ".title h1", "h2.chapter", "h2", "h3"]
+NEXT_SELECTORS = ["a#next", "a#nextPage", "a.next", "a.nextpage", "a.next-page", "#next", "#nextPage", "#pb_next", "a[rel='next']",
+                  "a:contains('下一页')", "a:contains('下一章')", "a:contains('下一节')", "a:contains('下页')", "a:contains('Next')"]
 NEXT_LABEL = r"(?i)^\s*(下一页|下页|下一章|下一节|下一张|后一页|next(\s*page)?|›|»|→|>>)\s*$"
 CHAPTER_TEXT = (r"(?i)^\s*(?:正文\s*)?(第[0-9零一二三四五六七八九十百千万两]+[章节回卷篇部集]"
                 r"[^\n]{0,40}|chapter\s*\d+[^\n]{0,40})\s*$")
@@ -74,9 +77,16 @@ def book_content(markup: Column, selectors: Sequence[str] = tuple(CONTENT_SELECT
     return bind(strip_noise(markup, noise), pick)
 
 
-def chapter_title(markup: Column) -> Column:
-    """A short heading, else the chapter part of the document title, else that title."""
-    heading = bind(html.prose(F.regexp_extract(markup, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1)), lambda t: urls.trimmed(F.substring_index(t, "\n", 1)))
+def _selected(markup: Column, selectors: Sequence[str], attr: str) -> Column:
+    """For every selector the attributes or texts of its elements; the page is read once."""
+    return arrow.select_lists(markup, F.array(*map(F.lit, selectors)), F.array(*[F.lit(attr)] * len(selectors)))
+
+
+def chapter_title(markup: Column, selectors: Sequence[str] = tuple(TITLE_SELECTORS)) -> Column:
+    """The first short heading by the selectors in order, else the chapter part of the document title, else that title."""
+    line = lambda t: urls.trimmed(F.substring_index(urls.trimmed(html.unescape(F.coalesce(t, F.lit("")))), "\n", 1))
+    firsts = F.transform(_selected(markup, selectors, "text"), lambda found: line(F.get(found, F.lit(0))))
+    heading = F.coalesce(F.get(F.filter(firsts, lambda t: (t != "") & (F.length(t) <= 60)), F.lit(0)), F.lit(""))
 
     def from_title(title: Column) -> Column:
         out = F.left(title, F.lit(80))
@@ -89,14 +99,27 @@ def chapter_title(markup: Column) -> Column:
     return bind(heading, lambda h: F.when((h != "") & (F.length(h) <= 60), h).otherwise(fallback))
 
 
-def next_link(markup: Column, base: Column) -> Column:
-    """Absolute address of the page's own next link, '' when it has none."""
+def next_link(markup: Column, base: Column, selectors: Sequence[str] = tuple(NEXT_SELECTORS)) -> Column:
+    """Absolute address of the page's own next link, '' when it has none.
+
+    In this order: the head's link, the selectors (``:contains('…')`` tests an anchor's text), anchors with the usual labels.
+    """
     href = lambda t: F.regexp_extract(t, r"""(?i)href\s*=\s*["']([^"']+)["']""", 1)
-    tags = [F.regexp_extract_all(markup, F.lit(p), F.lit(0)) for p in (
-        r"""(?i)<link\b[^>]*\brel\s*=\s*["']?next["']?[^>]*>""", r"""(?i)<a\b[^>]*\brel\s*=\s*["']next["'][^>]*>""")]
-    named = F.filter(F.regexp_extract_all(markup, F.lit(html.ANCHOR), F.lit(0)), lambda t: html.prose(
-        F.regexp_extract(t, r"(?is)^<a\b[^>]*>(.*)</a>$", 1)).rlike(NEXT_LABEL))
-    found = F.filter(F.transform(F.concat(*tags, named), lambda t: urls.resolve_url(base, href(t), keep_fragment=False)), lambda u: u != "")
+    inside = lambda t: html.prose(F.regexp_extract(t, r"(?is)^<a\b[^>]*>(.*)</a>$", 1))
+    anchors = F.regexp_extract_all(markup, F.lit(html.ANCHOR), F.lit(0))
+    head = F.transform(F.regexp_extract_all(markup, F.lit(r"""(?i)<link\b[^>]*\brel\s*=\s*["']?next["']?[^>]*>"""), F.lit(0)), href)
+    plain = [s for s in selectors if ":contains(" not in s]
+    selected = _selected(markup, plain, "href") if plain else None
+
+    def by_selector(selector: str) -> Column:
+        if selector in plain:
+            return F.get(selected, F.lit(plain.index(selector)))
+        word = selector.split(":contains(", 1)[1].rstrip(")").strip("'\"").lower()
+        return F.transform(F.filter(anchors, lambda t: F.contains(F.lower(inside(t)), F.lit(word))), href)
+
+    labelled = F.transform(F.filter(anchors, lambda t: inside(t).rlike(NEXT_LABEL)), href)
+    listed = F.concat(head, *[by_selector(s) for s in selectors], labelled)
+    found = F.filter(F.transform(listed, lambda h: urls.resolve_url(base, h, keep_fragment=False)), lambda u: u != "")
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
@@ -110,11 +133,12 @@ def bump_url(url: Column) -> Column:
     return F.coalesce(F.when(own["name"].isNotNull(), urls.with_param(url, own["name"], own["value"] + 1)), path, F.lit(""))
 
 
-def read_book_pages(pages: DataFrame, min_chars: int = 1) -> DataFrame:
-    """page_id, base_url, title, body, linked next page and the numbered guess."""
-    return pages.select("page_id", "base_url", chapter_title(F.col("html")).alias("title"),
-                        book_content(F.col("html"), min_chars=min_chars).alias("body"),
-                        next_link(F.col("html"), F.col("base_url")).alias("linked"), bump_url(F.col("base_url")).alias("guess"))
+def read_book_pages(pages: DataFrame, min_chars: int = 1, titles: Sequence[str] = tuple(TITLE_SELECTORS), contents: Sequence[str] = tuple(CONTENT_SELECTORS),
+                    nexts: Sequence[str] = tuple(NEXT_SELECTORS)) -> DataFrame:
+    """page_id, base_url, title, body, linked next page and the numbered guess, by the caller's selectors or the usual ones."""
+    return pages.select("page_id", "base_url", chapter_title(F.col("html"), titles).alias("title"),
+                        book_content(F.col("html"), contents, min_chars=min_chars).alias("body"),
+                        next_link(F.col("html"), F.col("base_url"), nexts).alias("linked"), bump_url(F.col("base_url")).alias("guess"))
 
 
 def next_pointers(book_pages: DataFrame, site_links: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftweb.operators.filters import url_filter
@@ -47,22 +49,22 @@ def bfs_crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
 
 
 def first_in_order(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The ``n`` smallest rows: a top-n when small, block numbering over value prefixes when large."""
-    if n <= 100_000:
-        return df.orderBy(column).limit(n)
-    text = F.rpad(F.col(column).cast("string"), 24, "\u0000")
-    return number_all(df, [column], text, "_n").filter(F.col("_n") <= n).drop("_n")
+    """The ``n`` smallest rows: ranges of the full value are cut, counted and numbered inside.
+
+    The ranges are checkpointed, so a row keeps its range in both passes; one count per range meets in one task.
+    """
+    ranged = cut_lineage(df.repartitionByRange(column)).withColumn("_range", F.spark_partition_id())
+    return number_all(ranged, [column], F.col("_range"), "_n").filter(F.col("_n") <= n).drop("_n", "_range")
 
 
-def media_frontier(detail: DataFrame, paging: DataFrame, seeds: DataFrame, max_depth: int, hard_cap: int = 200,
-                   max_rounds: int = 200) -> DataFrame:
+def media_frontier(detail: DataFrame, paging: DataFrame, seeds: DataFrame, max_depth: int, hard_cap: int = 0) -> DataFrame:
     """Pages reached over two edge kinds: paging keeps the depth, detail links add one.
 
-    Rounds relax (url, least depth) until nothing changes; the cap is the user's page budget.
+    Rounds relax (url, least depth) until nothing changes; ``hard_cap`` is the user's page budget, 0 for none.
     """
     best = cut_lineage(seeds.select("url", F.lit(0).alias("depth"), F.lit(0).alias("round")).distinct())
     fresh = best
-    for step in range(1, max_rounds + 1):
+    for step in count(1):
         same = paging.join(fresh.select(F.col("url").alias("src"), "depth"), "src").select(F.col("dst").alias("url"), "depth")
         deeper = detail.join(fresh.filter(F.col("depth") < max_depth).select(F.col("url").alias("src"), (F.col("depth") + 1).alias("depth")), "src") \
             .select(F.col("dst").alias("url"), "depth")
@@ -76,21 +78,22 @@ def media_frontier(detail: DataFrame, paging: DataFrame, seeds: DataFrame, max_d
     return best.orderBy("round", "depth", "url").limit(hard_cap) if hard_cap else best
 
 
-def next_chain(links: DataFrame, starts: DataFrame, max_pages: int = 200) -> DataFrame:
-    """Pages of each start in reading order over ``links(node, next)``: start, node, dist.
+def next_chain(links: DataFrame, starts: DataFrame, max_pages: int = 0) -> DataFrame:
+    """Pages of each start in reading order over ``links(node, next)``: start, node, dist; ``max_pages`` 0 for all.
 
     Pointer doubling: after k rounds every node within 2^k steps is known, so a book of n pages takes
     log2(n) joins for all books at once. A cycle ends where it would repeat.
     """
     jump = links.filter(F.col("next").isNotNull()).groupBy("node").agg(F.min("next").alias("next"))
     chain = cut_lineage(starts.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("dist")).distinct())
-    span, jump = 1, cut_lineage(jump)
-    while span < max_pages:
+    span, jump, known = 1, cut_lineage(jump), chain.count()
+    while not max_pages or span < max_pages:
         # known nodes sit at distances below ``span``; one jump of ``span`` steps doubles them
         ahead = chain.join(jump, "node").select("start", F.col("next").alias("node"), (F.col("dist") + span).alias("dist"))
-        chain = cut_lineage(chain.unionByName(ahead).groupBy("start", "node").agg(F.min("dist").alias("dist"))
-                            .filter(F.col("dist") < max_pages))
-        if ahead.isEmpty():
+        chain = chain.unionByName(ahead).groupBy("start", "node").agg(F.min("dist").alias("dist"))
+        chain = cut_lineage(chain.filter(F.col("dist") < max_pages) if max_pages else chain)
+        before, known = known, chain.count()
+        if known == before:
             break
         other = jump.select(F.col("node").alias("next"), F.col("next").alias("after"))
         jump = cut_lineage(jump.join(other, "next").select("node", F.col("after").alias("next")))
@@ -98,20 +101,21 @@ def next_chain(links: DataFrame, starts: DataFrame, max_pages: int = 200) -> Dat
     return chain
 
 
-def chain_stop_reason(chain: DataFrame, links: DataFrame, max_pages: int) -> DataFrame:
+def chain_stop_reason(chain: DataFrame, links: DataFrame, max_pages: int = 0) -> DataFrame:
     """Why each chain ended: no next page, a page seen before, or the page limit."""
     last = chain.groupBy("start").agg(F.max(F.struct("dist", "node")).alias("l")) \
         .select("start", F.col("l.node").alias("node"), (F.col("l.dist") + 1).alias("pages"))
     nexts = links.groupBy("node").agg(F.min("next").alias("next"))
     joined = last.join(nexts, "node", "left")
     return joined.select("start", "pages", F.when(F.col("next").isNull(), "end")
-                         .when(F.col("pages") >= max_pages, "limit").otherwise("loop").alias("stop_reason"))
+                         .when(F.lit(max_pages > 0) & (F.col("pages") >= max_pages), "limit").otherwise("loop").alias("stop_reason"))
 
 
-def fail_cascade(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def fail_cascade(tasks: DataFrame) -> DataFrame:
     """Failure runs down to pending dependents, on and on: all tasks with their final status.
 
-    ``failed`` here means out of retries. Each round hands the new failures one edge further.
+    ``failed`` here means out of retries. Each round hands the new failures one edge further, to the end; a round
+    writes its own hits only, and an edge that has led to a hit isn't looked at again.
     """
     retryable = (F.col("status") == "failed") & (F.col("retry_count") < F.col("max_retries"))
     state = tasks.withColumns({"status": F.when(retryable, "pending").otherwise(F.col("status")),
@@ -119,15 +123,15 @@ def fail_cascade(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     state = cut_lineage(state)
     edges = cut_lineage(state.filter(F.col("status") == "pending").select("id", F.explode_outer("depends_on").alias("dep")).filter("dep is not null"))
     dead = cut_lineage(state.filter(F.col("status") == "failed").select("id"))
-    fresh, reached = dead, None
-    for _ in range(max_rounds):
-        hit = edges.join(fresh.select(F.col("id").alias("dep")), "dep").groupBy("id").agg(F.min("dep").alias("cause"))
-        hit = hit if reached is None else hit.join(reached.select("id"), "id", "left_anti")
-        hit = cut_lineage(hit)
+    fresh, rounds = dead, []
+    while True:
+        hit = cut_lineage(edges.join(fresh.select(F.col("id").alias("dep")), "dep").groupBy("id").agg(F.min("dep").alias("cause")))
         if hit.isEmpty():
             break
-        reached = hit if reached is None else cut_lineage(reached.unionByName(hit))
+        rounds.append(hit)
+        edges = cut_lineage(edges.join(hit.select("id"), "id", "left_anti"))
         fresh = hit.select("id")
+    reached = reduce(DataFrame.unionByName, rounds) if rounds else None
     if reached is None:
         return state.withColumn("error", F.lit(""))
     return (state.join(reached, "id", "left")
@@ -175,12 +179,38 @@ def merged_results(results: DataFrame, tasks: DataFrame, task_ids: Sequence[int]
 
 # ---- paging candidates -------------------------------------------------------------
 
-def next_pages(pages: DataFrame, step: int = 1) -> DataFrame:
-    """Up to two next-page addresses per page, in order of trust: links, own number, inferred numbering."""
+def _own_number(base: Column, name: Column) -> Column:
+    """(name, value) of the query part called ``name`` if it is a number."""
+    from siftweb.functions import urls
+
+    parts = F.filter(F.split(urls.query_of(base), "&"), lambda p: (F.lower(F.substring_index(p, "=", 1)) == F.lower(name)) & p.rlike("^[^=]+=[0-9]+$"))
+    first = F.get(parts, F.lit(0))
+    return F.when((F.coalesce(name, F.lit("")) != "") & first.isNotNull(), F.struct(
+        F.substring_index(first, "=", 1).alias("name"), F.substring_index(first, "=", -1).try_cast("long").alias("value")))
+
+
+def next_pages(pages: DataFrame, step: int = 1, most: int = 0, rule: DataFrame | None = None) -> DataFrame:
+    """Next-page addresses per page, in order of trust: links, own number, inferred numbering; ``most`` of them, 0 for all.
+
+    ``rule``: page_id, strategy, template, param, start, step, as ``rules.page_rule_for`` gives them. ``next_link`` follows
+    links only, ``page_param`` numbers only, ``api_offset`` the template only, ``auto`` links and numbers. A template's
+    ``{n}`` is start + page_index * step, where ``page_index`` is a column of ``pages`` or 1. Pages without a rule are ``auto``.
+    """
     from siftweb.functions import fixed, html, urls
     from siftweb.functions.urls import bind
     from siftweb.scale import unnest
 
+    names = ["strategy", "template", "param", "start", "step"]
+    if rule is None:
+        setting = dict.fromkeys(names, F.lit(None).cast("string")) | {"start": F.lit(1), "step": F.lit(step)}
+    else:
+        pages = pages.join(rule.select("page_id", F.struct(*names).alias("_rule")), "page_id", "left")
+        setting = {n: F.col(f"_rule.{n}") for n in names}
+    strategy = F.coalesce(F.nullif(setting["strategy"], F.lit("")), F.lit("auto"))
+    step = F.greatest(F.coalesce(setting["step"], F.lit(step)), F.lit(1)).cast("long")
+    index = F.greatest(F.col("page_index"), F.lit(1)) if "page_index" in pages.columns else F.lit(1)
+    template = F.nullif(setting["template"], F.lit(""))
+    from_template = F.replace(template, F.lit("{n}"), (F.coalesce(setting["start"], F.lit(1)) + index * step).cast("string"))
     base = F.col("base_url")
     clean = lambda href: urls.resolve_url(base, href, keep_fragment=False)
     tag_href = lambda t: F.regexp_extract(t, r"""(?i)href\s*=\s*["']([^"']+)["']""", 1)
@@ -188,7 +218,7 @@ def next_pages(pages: DataFrame, step: int = 1) -> DataFrame:
     texts = F.filter(F.regexp_extract_all("html", F.lit(html.ANCHOR), F.lit(0)), lambda t: (tag_href(t) != "") & urls.trimmed(
         F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?i)^<a\b[^>]*>", ""), r"(?i)</a>$", ""), "<[^>]+>", "")).rlike(fixed.NEXT_TEXT))
     linked = F.transform(F.concat(rel, texts), lambda t: clean(tag_href(t)))
-    own = urls.query_param(base)
+    own = F.coalesce(_own_number(base, setting["param"]), urls.query_param(base)) if rule is not None else urls.query_param(base)
     hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1)))
     near = F.filter(F.transform(hrefs, clean), lambda u: (u != "") & urls.same_site(u, base))
     staged = pages.withColumn("_own", own).withColumn("_linked", linked).withColumn(
@@ -213,12 +243,10 @@ def next_pages(pages: DataFrame, step: int = 1) -> DataFrame:
     by_path = F.when(F.size(siblings) > 0, F.concat(urls.part(base, 1), F.lit("://"), urls.url_domain(base), path, query))
     numbered = F.when(F.col("_own.name").isNotNull() & (F.col("_own.value") > 0),
                       F.array(urls.with_param(base, F.col("_own.name"), F.col("_own.value") + step))).otherwise(F.array(by_param, by_path))
-    staged = staged.withColumn("_numbered", numbered)
+    none = F.array().cast("array<string>")
+    numbered = F.when(template.isNotNull(), F.array(from_template)).otherwise(numbered)
+    by_rule = F.when(strategy.isin("auto", "page_param"), numbered).when(strategy == "api_offset", F.array(from_template)).otherwise(none)
+    staged = staged.withColumn("_numbered", by_rule).withColumn("_linked", F.when(strategy.isin("auto", "next_link"), F.col("_linked")).otherwise(none))
     fits = F.filter(F.array_distinct(F.concat("_linked", "_numbered")), lambda u: u.isNotNull() & (u != "") & (u != base)
                     & ~u.rlike(fixed.PAGED_MEDIA) & urls.same_site(u, base))
-    return unnest(staged, ["page_id", "base_url"], F.slice(fits, 1, 2), "next_url", "rank")
-
-
-def template_page(template: str, page_index: int, start: int = 1, step: int = 1) -> str:
-    """Address of the page after ``page_index`` for a rule with a ``{n}`` template."""
-    return template.replace("{n}", str(start + max(1, page_index) * max(1, step)))
+    return unnest(staged, ["page_id", "base_url"], F.slice(fits, 1, most) if most else fits, "next_url", "rank")

@@ -15,8 +15,6 @@ from siftweb.scale import lookup_by_key, number_all, number_in_groups, unnest
 TEXT_FIELDS = ["kind", "source_page", "album", "title", "ext", "origin"]
 NUMBER_FIELDS = ["index", "width", "height", "size", "duration"]
 MAP_FIELDS = ["headers", "extra"]
-#: a cap up to this many rows is found by a distributed top-n, a larger one by block numbering
-TOP_N_ROWS = 100_000
 #: pages per numbering block; a page bounds the media it can name
 PAGES_PER_BLOCK = 4096
 
@@ -120,11 +118,12 @@ def label_media(candidates: DataFrame, config: MediaConfig, order: str = "arriva
 
 def _cap_limit(kept: DataFrame, count: int, block: Column | None) -> Column:
     """Arrival of the last row under the cap, NULL when the cap is not reached."""
-    if count <= TOP_N_ROWS:
-        top = kept.orderBy("kept_arrival").limit(count)
-        return top.agg(F.when(F.count(F.lit(1)) >= count, F.max("kept_arrival"))).scalar()
-    span = F.floor(F.col("kept_arrival.page_seq") / PAGES_PER_BLOCK) if block is None else block
-    ranked = number_all(kept, ["kept_arrival"], span, "_rank")
+    from siftweb.session import cut_lineage
+
+    if block is None:  # ranges of the arrivals; checkpointed, so that a row keeps its range
+        kept = cut_lineage(kept.repartitionByRange("kept_arrival")).withColumn("_range", F.spark_partition_id())
+        block = F.col("_range")
+    ranked = number_all(kept, ["kept_arrival"], block, "_rank")
     return ranked.filter(F.col("_rank") == count).agg(F.max("kept_arrival")).scalar()
 
 
@@ -163,10 +162,18 @@ def media_stats(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("label") == n).alias(n) for n in names])
 
 
-def rejected_samples(labelled: DataFrame, order: str = "arrival", cap: int = 20) -> DataFrame:
-    """First rejected addresses with their reason, as shown in a run's log."""
-    return (labelled.filter(~F.col("label").isin("kept", "duplicate", "truncated"))
-            .orderBy(order).limit(cap).select(order, "url", F.col("label").alias("reason")))
+def rejected_samples(labelled: DataFrame, order: str = "arrival", cap: int = 0) -> DataFrame:
+    """Rejected addresses with their reason; with ``cap`` the first ones only, as a run's log shows them."""
+    rows = labelled.filter(~F.col("label").isin("kept", "duplicate", "truncated")).select(order, "url", F.col("label").alias("reason"))
+    return rows.orderBy(order).limit(cap) if cap else rows
+
+
+def new_media(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Items with an address that ``known(url)`` lacks, one per address (the least row)."""
+    named = items.filter(F.coalesce("url", F.lit("")) != "")
+    fresh = named.join(known.select("url").distinct(), "url", "left_anti")
+    rest = [c for c in fresh.columns if c != "url"]
+    return fresh.groupBy("url").agg(F.min(F.struct(*rest)).alias("r")).select("url", "r.*").select(*items.columns) if rest else fresh.distinct()
 
 
 def merge_stats(stats: DataFrame) -> DataFrame:
@@ -293,16 +300,15 @@ def image_dimensions(data: Column) -> Column:
             .otherwise(pair(F.lit(0), F.lit(0))))
 
 
-#: markers a JPEG header may hold before its frame; real files stay far below
-JPEG_SEGMENTS = 512
-
-
 def _jpeg(data: Column) -> Column:
     zero = F.struct(F.lit(2).cast("long").alias("at"), F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("height"))
 
     def byte(at: Column, size: int = 1) -> Column:
         return F.conv(F.hex(F.substr(data, at.cast("int") + 1, F.lit(size))), 16, 10).try_cast("long")
 
+    def over(state: Column) -> Column:
+        return (state["at"] < 0) | (state["at"] + 9 > F.length(data))
+
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
 
@@ -316,10 +322,12 @@ def _jpeg(data: Column) -> Column:
                     .when(marker.between(0xC0, 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC), out(F.lit(-1), byte(at + 7, 2), byte(at + 5, 2)))
                     .when(size < 2, out(F.lit(-1))).otherwise(out(at + 2 + size)))
 
-        return F.when((at < 0) | (at + 9 > F.length(data)), state).otherwise(urls.bind(
+        return F.when(over(state), state).otherwise(urls.bind(
             F.struct(byte(at).alias("lead"), byte(at + 1).alias("marker"), byte(at + 2, 2).alias("size")), read))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(JPEG_SEGMENTS)), zero, step)
+    # every step moves on by a byte at least: as many steps as bytes, in rows of their root, and rows after the end cost nothing
+    row = F.sequence(F.lit(1), F.ceil(F.sqrt(F.length(data))).cast("int"))
+    walked = F.aggregate(row, zero, lambda state, _: F.when(over(state), state).otherwise(F.aggregate(row, state, step)))
     return urls.bind(walked, lambda s: F.struct(s["width"].alias("width"), s["height"].alias("height")))
 
 
@@ -343,8 +351,7 @@ def quality_audit(files: DataFrame, config: MediaConfig) -> DataFrame:
     return files.withColumn("problem", out.otherwise(""))
 
 
-def perceptual_groups(hashes: DataFrame, key: str, digest: str, order: str, threshold: int = 4,
-                      max_rounds: int = 200) -> DataFrame:
+def perceptual_groups(hashes: DataFrame, key: str, digest: str, order: str, threshold: int = 4) -> DataFrame:
     """Greedy leader groups in arrival order: a row joins the first keeper within ``threshold`` bits.
 
     Distinct hashes only; copies follow theirs. Per round an undecided hash joins its earliest keeper
@@ -362,9 +369,7 @@ def perceptual_groups(hashes: DataFrame, key: str, digest: str, order: str, thre
     state = cut_lineage(nodes.join(busy, "node", "left_anti").select("node", F.col("node").alias("keeper"))
                         .unionByName(busy.select("node", F.lit(None).cast("long").alias("keeper")).limit(0)))
     open_nodes = cut_lineage(busy)
-    for _ in range(max_rounds):
-        if open_nodes.isEmpty():
-            break
+    while not open_nodes.isEmpty():
         seen = (edges.join(open_nodes, "node", "left_semi")
                 .join(state.withColumnsRenamed({"node": "earlier"}), "earlier", "left"))
         status = seen.groupBy("node").agg(
@@ -374,8 +379,5 @@ def perceptual_groups(hashes: DataFrame, key: str, digest: str, order: str, thre
             .select("node", F.coalesce("first_keeper", "node").alias("keeper"))
         state = cut_lineage(state.unionByName(settled))
         open_nodes = cut_lineage(open_nodes.join(state, "node", "left_anti"))
-    else:
-        if not open_nodes.isEmpty():
-            raise RuntimeError("grouping did not settle: raise max_rounds")
     return (hashes.filter(F.col(digest) != 0).join(ranked, digest)
             .join(state.withColumnRenamed("node", "_at"), "_at").select(key, digest, F.col("keeper").alias("keeper_order")))

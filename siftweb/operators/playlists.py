@@ -152,7 +152,7 @@ def parse_dash(manifests: DataFrame, key: str, text: str = "text", url: str = "u
     content = F.lower(F.coalesce(F.nullif("a._contentType", F.lit("")), F.col("a._mimeType"), F.lit("")))
     number = lambda c: _number(F.coalesce(c, F.lit("")), "long")
     built = reps.withColumn("rep_base", _rebase(F.col("base"), F.col("r.BaseURL"))).select(
-        key, (F.col("pi") * 1_000_000 + F.col("ai") * 1000 + F.col("ri")).alias("rep"), F.coalesce("r._id", F.lit("")).alias("id"),
+        key, F.struct("pi", "ai", "ri").alias("rep"), F.coalesce("r._id", F.lit("")).alias("id"),
         number(F.col("r._bandwidth")).alias("bandwidth"), number(F.col("r._width")).alias("width"), number(F.col("r._height")).alias("height"),
         mime.alias("mime_type"), F.coalesce("r._codecs", "a._codecs", F.lit("")).alias("codecs"),
         F.when(content != "", content).when(F.lower(mime).startswith("video/"), "video").when(F.lower(mime).startswith("audio/"), "audio").otherwise("").alias("content_type"),
@@ -220,8 +220,9 @@ def best_representation(reps: DataFrame, key: str, max_height: int = 0) -> DataF
     video = (F.col("content_type") == "video") | ((F.col("content_type") == "") & (F.col("height") > 0))
     audio = (F.col("content_type") == "audio") | F.lower("mime_type").contains("audio/")
     fits = F.lit(max_height > 0) & (F.col("height") > 0) & (F.col("height") <= max_height)
-    rank = F.struct(F.when(fits, 1).otherwise(0), F.col("width") * F.col("height"), "bandwidth", -F.col("rep"))
-    plain = F.struct(F.col("width") * F.col("height"), "bandwidth", -F.col("rep"))
+    first = F.struct(-F.col("rep.pi"), -F.col("rep.ai"), -F.col("rep.ri"))
+    rank = F.struct(F.when(fits, 1).otherwise(0), F.col("width") * F.col("height"), "bandwidth", first)
+    plain = F.struct(F.col("width") * F.col("height"), "bandwidth", first)
     best = reps.groupBy(key).agg(F.max_by("rep", F.when(video, rank)).alias("video"), F.max_by("rep", F.when(audio, plain)).alias("audio"))
     chosen = F.coalesce("video", "audio")
     return best.filter(chosen.isNotNull()).select(key, chosen.alias("rep"), F.when(F.col("audio") != chosen, F.col("audio")).alias("audio_rep"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def sitemap_seeds(locs: DataFrame) -> DataFrame:
     """``locs``: site, start_url, loc, seen."""
     return locs.filter(urls.looks_like_legal_url(F.col("loc")) != "").select(
         "site", "start_url", urls.join_url(F.col("start_url"), F.col("loc")).alias("url"), F.lit("sitemap").alias("source"),
-        F.lit("").alias("anchor"), (F.col("seen") + 1_000_000).alias("pos"))
+        F.lit("").alias("anchor"), (F.col("seen") + (1 << 40)).alias("pos"))
 
 
 def path_seeds(starts: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def path_seeds(starts: DataFrame) -> DataFrame:
     paths = F.array(*[F.lit(p) for p in lexicon.LEGAL_PATHS])
     return starts.select("site", "start_url", F.posexplode(paths).alias("n", "path")).select(
         "site", "start_url", urls.join_url(F.col("start_url"), F.col("path")).alias("url"), F.lit("路径词典").alias("source"),
-        F.lit("").alias("anchor"), (F.col("n") + 2_000_000).cast("long").alias("pos"))
+        F.lit("").alias("anchor"), (F.col("n") + (1 << 41)).cast("long").alias("pos"))
 
 
 def seed_reason(same_host_only: bool = True) -> Column:
@@ -239,17 +241,24 @@ def contains_term(low: Column, term: str) -> Column:
     plain = F.contains(low, F.lit(term))
     if not markers:
         return plain
-    width, reach = len(term), lexicon.FALSE_POSITIVE_WINDOW
+    reach = lexicon.FALSE_POSITIVE_WINDOW
+
+    def some_clean(parts: Column) -> Column:
+        """The text cut at the term: hit ``i`` lies between parts i and i + 1, and ``reach`` parts hold ``reach`` characters."""
+
+        def clean(i: Column) -> Column:
+            begin = F.greatest(i - reach, F.lit(1))
+            before = F.array_join(F.slice(parts, begin, i - begin + 1), term)
+            after = F.array_join(F.slice(parts, i + 1, F.lit(reach + 1)), term)
+            window = F.concat(F.right(before, F.lit(reach)), F.lit(term), F.left(after, F.lit(reach)))
+            bad = F.lit(False)
+            for m in markers:
+                bad = bad | F.contains(window, F.lit(m))
+            return ~bad
 
-    def clean(at: Column) -> Column:
-        begin = F.greatest(at - reach, F.lit(1))
-        window = F.substring(low, begin, at + width + reach - begin)
-        bad = F.lit(False)
-        for m in markers:
-            bad = bad | F.contains(window, F.lit(m))
-        return (F.substring(low, at, F.lit(width)) == term) & ~bad
+        return F.exists(F.sequence(F.lit(1), F.size(parts) - 1), clean)
 
-    return F.when(plain, F.exists(F.sequence(F.lit(1), F.greatest(F.length(low) - width + 1, F.lit(1))), clean)).otherwise(False)
+    return F.when(plain, bind(F.split(low, re.escape(term), -1), some_clean)).otherwise(False)
 
 
 def any_of(low: Column, words) -> Column:
@@ -382,7 +391,7 @@ def report_totals(hits: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def with_titles(hits: DataFrame, pages: DataFrame, url: str = "page_url") -> DataFrame:
-    titles = pages.select(F.col("url").alias(url), F.col("title").alias("page_title")).dropDuplicates([url])
+    titles = pages.groupBy(F.col("url").alias(url)).agg(F.min("title").alias("page_title"))  # of several titles the least
     return join_by_hot_key(hits, titles, url, F.col("uid")).withColumn("page_title", F.coalesce("page_title", F.lit("")))
 
 
@@ -433,12 +442,20 @@ def parse_refinements(answers: DataFrame, text: str = "answer") -> DataFrame:
                         "relevant", "quote", (F.col("_n1") + F.col("_n2")).alias("intercepted"))
 
 
-def apply_refinements(hits: DataFrame, refinements: DataFrame) -> DataFrame:
-    """Overlay labels and notes; hits judged beside the point lose a tenth, nothing is removed.
+def _last_answers(refinements: DataFrame, order: str | None) -> DataFrame:
+    """One answer per clause: the last by ``order``, of equally late ones, or without an order, the greatest row."""
+    rest = [c for c in refinements.columns if c != "uid"]
+    last = F.max(F.struct(*([order] if order else []), *[c for c in rest if c != order]))
+    return refinements.groupBy("uid").agg(last.alias("r")).select("uid", "r.*")
+
+
+def apply_refinements(hits: DataFrame, refinements: DataFrame, order: str | None = None) -> DataFrame:
+    """Overlay labels and notes; hits judged beside the point lose a tenth, nothing is removed. Of several answers the last counts.
 
     A category the clause had no hit in is added once with confidence 0.4.
     """
-    r = refinements.groupBy("uid").agg(*[F.first(c).alias(f"_{c}") for c in refinements.columns if c != "uid"])
+    r = _last_answers(refinements, order)
+    r = r.select("uid", *[F.col(c).alias(f"_{c}") for c in refinements.columns if c != "uid"])
     joined = hits.join(r, "uid", "left").withColumn("llm_applied", F.col("_relevant").isNotNull())
     label = F.coalesce(F.col("_label"), F.lit(""))
     off = F.col("llm_applied") & ~F.coalesce(F.col("_relevant"), F.lit(True))
@@ -459,10 +476,10 @@ def apply_refinements(hits: DataFrame, refinements: DataFrame) -> DataFrame:
     return overlaid.select(*keep).withColumn("added", F.lit(False)).unionByName(fresh.select(*keep).withColumn("added", F.lit(True)))
 
 
-def guard_stats(overlaid: DataFrame, refinements: DataFrame) -> DataFrame:
+def guard_stats(overlaid: DataFrame, refinements: DataFrame, order: str | None = None) -> DataFrame:
     """Intercepted statements (once per clause) and quotes that are not in their source."""
     touched = overlaid.filter("llm_applied").select("uid").distinct()
-    once = refinements.groupBy("uid").agg(F.first("intercepted").alias("intercepted")).join(touched, "uid", "left_semi")
+    once = _last_answers(refinements, order).join(touched, "uid", "left_semi")
     dropped = overlaid.agg(F.count_if("quote_dropped").alias("n")).scalar()
     return once.agg(F.coalesce(F.sum("intercepted"), F.lit(0)).cast("long").alias("intercepted")).withColumn("dropped_quotes", dropped)
 

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from siftweb.functions import arrow, html, media, urls
 from siftweb.scale import fits_broadcast, unnest
 
-MAX_RULES = 10_000
+#: a rule set is broadcast up to so many rules; a larger one is joined by an ordinary shuffle
+BROADCAST_RULES = 10_000
 
 
 def _small(rules: DataFrame) -> DataFrame:
-    if not fits_broadcast(rules, MAX_RULES):
-        raise ValueError(f"more than {MAX_RULES} site rules: split the rule set")
-    return F.broadcast(rules)
+    return F.broadcast(rules) if fits_broadcast(rules, BROADCAST_RULES) else rules
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -33,7 +32,6 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     by_domain = (family.join(_small(doms), "_parent").filter(~F.col("_below") | (F.col("_host") != F.col("_parent")))
                  .select("page_id", "base_url", "id").distinct().withColumn("_domain", F.lit(True)))
     open_rules = rules.filter((F.coalesce(F.size("match.domain"), F.lit(0)) == 0) & (F.coalesce("match.url_regex", F.lit("")) != ""))
-    _small(open_rules)
     listed = open_rules.agg(F.collect_list(F.struct("id", F.col("match.url_regex").alias("p"))).alias("r")).scalar()
     hits = F.filter(F.col("_rules"), lambda r: F.rlike(F.col("base_url"), r["p"]))
     by_regex = unnest(pages.select("page_id", "base_url").withColumn("_rules", listed), ["page_id", "base_url"], hits, "r") \
@@ -58,16 +56,18 @@ def page_rule_for(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def extract_media_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Media named by the matching rules: selectors, then expressions; page markup is read once per spec."""
-    matched = match_rules(pages, rules).join(pages.select("page_id", "html"), "page_id")
     detail = rules.select(F.col("id").alias("rule_id"), "media", "regex", "album", "headers")
-    jobs = matched.join(_small(detail), "rule_id").repartition("page_id", "rule_id")
-    album = F.get(arrow.select_values(F.col("html"), F.coalesce("album.selector", F.lit("")), F.coalesce("album.attr", F.lit("text"))), F.lit(0))
-    jobs = jobs.withColumn("_album", album)
-    jobs = jobs.withColumn("_album", F.coalesce(F.left(F.trim("_album"), F.lit(60)), html.page_album(F.col("html"))))
+    jobs = match_rules(pages, rules).join(_small(detail), "rule_id").join(pages.select("page_id", "html"), "page_id")
+    # the album's selector goes first, the media selectors follow: all of a rule's in one pass over the page
+    specs = F.coalesce("media", F.array().cast(dict(rules.dtypes)["media"]))
+    selectors = F.concat(F.array(F.coalesce("album.selector", F.lit(""))), F.transform(specs, lambda s: F.coalesce(s["selector"], F.lit(""))))
+    attrs = F.concat(F.array(F.coalesce("album.attr", F.lit("text"))), F.transform(specs, lambda s: F.coalesce(s["attr"], F.lit("src"))))
+    jobs = jobs.withColumn("_found", arrow.select_lists(F.col("html"), selectors, attrs))
+    album = F.get(F.get("_found", F.lit(0)), F.lit(0))
+    jobs = jobs.withColumn("_album", F.coalesce(F.left(F.trim(album), F.lit(60)), html.page_album(F.col("html"))))
     keep = ["page_id", "base_url", "rule_id", "rank", "_album", "headers"]
-    specs = unnest(jobs, [*keep, "html"], "media", "s", "_spec")
-    picked = specs.withColumn("_values", arrow.select_values(F.col("html"), F.col("s.selector"), F.coalesce("s.attr", F.lit("src"))))
-    values = unnest(picked.drop("html"), [*keep, "s", "_spec"], "_values", "raw", "_at")
+    picked = unnest(jobs, [*keep, "_found"], "media", "s", "_spec").withColumn("_values", F.get("_found", F.col("_spec") + 1))
+    values = unnest(picked, [*keep, "s", "_spec"], "_values", "raw", "_at")
     raw = F.when(F.col("s.attr") == "srcset", html.best_srcset(F.col("raw"))).otherwise(F.col("raw"))
     values = values.withColumn("url", urls.resolve_url(F.col("base_url"), raw)).filter(
         (F.col("url") != "") & ((F.coalesce("s.require", F.lit("")) == "") | F.rlike(F.col("url"), F.col("s.require"))))
@@ -80,17 +80,18 @@ def extract_media_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     found = F.call_function("regexp_extract_all", F.col("html"), F.when(F.coalesce("s.ignore_case", F.lit(True)), F.concat(F.lit("(?i)"), F.col("s.pattern")))
                             .otherwise(F.col("s.pattern")), F.coalesce(F.nullif("s.group", F.lit(0)), F.lit(1)))
     by_regex = unnest(patterns, [*keep, "s", "_spec"], found, "raw", "_at").withColumn("url", urls.resolve_url(F.col("base_url"), F.col("raw"))).filter("url <> ''") \
-        .select(*keep, (F.col("_spec") + 1000).alias("_spec"), "_at", F.coalesce(F.nullif("s.kind", F.lit("")), media.kind_of(F.col("url"))).alias("_kind"),
+        .select(*keep, F.lit(1).alias("_part"), "_spec", "_at", F.coalesce(F.nullif("s.kind", F.lit("")), media.kind_of(F.col("url"))).alias("_kind"),
                 F.struct(F.col("url"), F.lit("").alias("from")).alias("c"), F.lit(0).alias("_step"))
-    rows = by_selector.unionByName(by_regex).filter(media.is_media_kind(F.col("_kind")))
-    order = F.struct("_spec", "_at", "_step")
+    rows = by_selector.withColumn("_part", F.lit(0)).unionByName(by_regex).filter(media.is_media_kind(F.col("_kind")))
+    order = F.struct("_part", "_spec", "_at", "_step")
     firsts = rows.groupBy("page_id", "rule_id", F.col("c.url").alias("url"))
     ones = firsts.agg(F.min_by(F.struct("base_url", "rank", "_album", "headers", "_kind", "c"), order).alias("m"), F.min(order).alias("o"))
     # the index counts inside (page, rule): as many rows as a page names
     numbered = ones.withColumn("index", F.row_number().over(Window.partitionBy("page_id", "rule_id").orderBy("o")).cast("long"))
+    numbered = numbered.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("m.rank", "index")).cast("long"))
     empty = F.create_map().cast("map<string,string>")
     return numbered.select(
-        F.col("page_id").alias("page_seq"), F.lit(50).alias("priority"), (F.col("m.rank") * 1_000_000 + F.col("index")).cast("long").alias("pos"), "url",
+        F.col("page_id").alias("page_seq"), F.lit(50).alias("priority"), "pos", "url",
         F.col("m._kind").alias("kind"), F.col("m.base_url").alias("source_page"), F.col("m._album").alias("album"), F.lit("").alias("title"), "index",
         F.lit("").alias("ext"), F.coalesce("m.headers", empty).alias("headers"), F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("height"),
         F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("duration"), F.concat(F.lit("rule:"), "rule_id").alias("origin"),
@@ -110,6 +111,8 @@ def extract_detail_links(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 _PLUGINS: dict = {}
+#: why plug-ins were left out by the last call of ``plugin_sources``
+PLUGIN_PROBLEMS: dict[str, str] = {}
 
 
 def register_extractor(name: str, priority: int, extract, can_handle=None) -> None:
@@ -118,12 +121,13 @@ def register_extractor(name: str, priority: int, extract, can_handle=None) -> No
 
 
 def plugin_sources(pages: DataFrame) -> list[DataFrame]:
-    """Media of all plug-ins in priority order; one that cannot be planned is skipped."""
+    """Media of all plug-ins in priority order; one that cannot be planned is left out and named in PLUGIN_PROBLEMS."""
+    PLUGIN_PROBLEMS.clear()
     out = []
     for name, (priority, extract, can_handle) in sorted(_PLUGINS.items(), key=lambda p: p[1][0]):
         try:
             rows = extract(pages if can_handle is None else pages.filter(can_handle))
             out.append(rows.withColumn("priority", F.lit(priority)))
-        except Exception:  # noqa: BLE001 - a broken plug-in must not stop the others
-            continue
+        except Exception as exc:  # noqa: BLE001 - a broken plug-in must not stop the others
+            PLUGIN_PROBLEMS[name] = str(exc)
     return out

@@ -1,14 +1,14 @@
 """What a user calls: inventory, crawl audit, risk scan, policy screening, books, download audit, playlists.
 
-A job returns named DataFrames; nothing runs until one is written or read. Tables that feed several
-outputs are checkpointed once.
+A job returns named DataFrames. Tables that feed several outputs are checkpointed while the job is built;
+the rest runs when an output is written or read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftweb.functions import html, urls
@@ -26,7 +26,9 @@ def media_inventory(pages: DataFrame, config: media.MediaConfig, site_rules: Dat
         sources.append(extract.extract_media_network(events))
     sources.append(extract.extract_media_html(pages, config.upgrade_urls))
     answers = extract.extract_media_json(pages)
-    sources.append(answers.withColumn("pos", F.aggregate("path", F.lit(0).cast("long"), lambda acc, i: acc * 1000 + i)).drop("path"))
+    # the path itself orders the values of a page; their numbers need no packing and no bound
+    in_order = Window.partitionBy("page_seq").orderBy("path", "url")
+    sources.append(answers.withColumn("pos", F.row_number().over(in_order).cast("long")).drop("path"))
     # merged once, read by the labels, the items and the counters
     candidates = cut_lineage(media.union_sources(*sources))
     labelled = cut_lineage(media.label_media(candidates, config))
@@ -54,6 +56,13 @@ def crawl_audit(pages: DataFrame, seeds: DataFrame, max_depth: int, max_pages: i
     return {"levels": reached, "totals": totals}
 
 
+def media_walk(pages: DataFrame, site_rules: DataFrame, seeds: DataFrame, max_depth: int, page_budget: int = 0) -> dict[str, DataFrame]:
+    """Listing pages to their detail pages and on through the paging, by the sites' rules: reached pages and both kinds of links."""
+    detail = cut_lineage(rules.extract_detail_links(pages, site_rules).select(F.col("base_url").alias("src"), F.col("link").alias("dst")).distinct())
+    paging = cut_lineage(graph.next_pages(pages, rule=rules.page_rule_for(pages, site_rules)).select(F.col("base_url").alias("src"), F.col("next_url").alias("dst")).distinct())
+    return {"pages": graph.media_frontier(detail, paging, seeds, max_depth, page_budget), "detail": detail, "paging": paging}
+
+
 def url_risk_scan(addresses: DataFrame, url: str = "url", order: str = "pos") -> dict[str, DataFrame]:
     analyzed = risk.analyze_urls(risk.distinct_urls(addresses, url, order))
     findings = risk.finding_rows(analyzed)
@@ -64,7 +73,10 @@ def policy_screen(pages: DataFrame, scan_time: str, annotations: DataFrame | Non
                   agent: str = "", max_pages: int = 12) -> dict[str, DataFrame]:
     """Start pages -> seeds -> the seed pages among ``pages`` -> clauses -> findings -> report per site."""
     site = urls.host_of(F.col("base_url"))
-    starts = pages.filter(urls.path_of(F.col("base_url")).isin("", "/"))
+    # a site is entered at its root page, or else at the page with the shortest path
+    entry = F.min(F.struct(F.length(urls.path_of(F.col("base_url"))).alias("depth"), F.col("base_url")))["base_url"]
+    first = pages.groupBy(site.alias("_site")).agg(entry.alias("base_url"))
+    starts = pages.join(first.select("base_url"), "base_url", "left_semi")
     seeds = policy.union_seeds(policy.anchor_seeds(starts), policy.path_seeds(starts.select(site.alias("site"), F.col("base_url").alias("start_url"))))
     if robots is not None:
         checked = policy.robots_allowed(seeds, policy.robots_groups(robots, agent))
@@ -88,7 +100,7 @@ def policy_screen(pages: DataFrame, scan_time: str, annotations: DataFrame | Non
             "reports": policy.compliance_report(sites, texts, sited, skipped, scan_time)}
 
 
-def assemble_books(pages: DataFrame, starts: DataFrame, max_pages: int = 200) -> dict[str, DataFrame]:
+def assemble_books(pages: DataFrame, starts: DataFrame, max_pages: int = 0) -> dict[str, DataFrame]:
     """``starts(node)`` are first pages; chains, texts and metadata of all books at once."""
     read = cut_lineage(books.read_book_pages(pages))
     links = cut_lineage(books.next_pointers(read, extract.site_links(pages)))

@@ -71,8 +71,30 @@ def export_media(items: DataFrame, path: str, fmt: str = "csv", fields: Sequence
     write_rows(media_rows(items, fields), path, fmt, None if fmt == "json" else MEDIA_FIELDS)
 
 
-def export_tasks(results: DataFrame, path: str, fmt: str = "json") -> None:
-    """Task outputs (task_id, task_name, url, text); Markdown shows the text's length only."""
+def task_lines(results: DataFrame, exported_at: str) -> DataFrame:
+    """The lines of one JSON document {exported_at, count, tasks} with their order (part, at): opening, tasks, end."""
+    from siftweb.session import cut_lineage
+
+    # numbered and checkpointed, so that repeated rows differ and keep their places
+    each = cut_lineage(results.select(F.struct("task_id", "url", F.monotonically_increasing_id().alias("n")).alias("at"),
+                                      F.to_json(F.struct(*results.columns)).alias("line")))
+    figures = each.agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
+    comma = F.when(F.col("at") == figures.select("least").scalar(), F.lit("")).otherwise(F.lit(","))
+    tasks = each.select(F.lit(1).alias("part"), "at", F.concat(comma, "line").alias("value"))
+    head = F.regexp_replace(F.to_json(F.struct(F.lit(exported_at).alias("exported_at"), F.col("n").alias("count"))), r"\}$", ', "tasks": [')
+    frame = F.array(F.struct(F.lit(0).alias("part"), head.alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")))
+    ends = figures.select(F.explode(frame).alias("e")).select("e.part", F.lit(None).cast(dict(each.dtypes)["at"]).alias("at"), "e.value")
+    return tasks.unionByName(ends)
+
+
+def export_tasks(results: DataFrame, path: str, fmt: str = "json", exported_at: str | None = None) -> None:
+    """Task outputs (task_id, task_name, url, text); Markdown shows the text's length only.
+
+    JSON with ``exported_at`` is one document {exported_at, count, tasks}, the part files one after the other; without it one object per line.
+    """
+    if fmt == "json" and exported_at is not None:
+        task_lines(results, exported_at).repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+        return
     if fmt == "markdown":
         results = results.select("task_id", "task_name", "url", F.length("text").alias("chars"))
     write_rows(results, path, fmt)

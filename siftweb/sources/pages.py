@@ -12,7 +12,6 @@ from siftweb.schema import PAGE_DEFAULTS
 
 # --- fixed values: request headers worth forwarding to a download
 FORWARDED_HEADERS = ["referer", "origin", "user-agent", "authorization", "cookie", "accept", "range"]
-SITEMAP_URL_CAP = 3000
 
 
 def as_pages(df: DataFrame) -> DataFrame:
@@ -44,6 +43,14 @@ def read_binary(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return reader.load(path)
 
 
+def decode_bodies(files: DataFrame, content_type: str = "content_type", body: str = "content") -> DataFrame:
+    """Add ``text``: the body in the charset its content type names, else in the first of the usual ones that fits."""
+    from siftweb.functions.arrow import decode_bytes
+
+    declared = F.regexp_extract(F.coalesce(F.col(content_type), F.lit("")), r"""(?i)charset\s*=\s*["']?([\w.:-]+)""", 1)
+    return files.withColumn("text", decode_bytes(F.col(body), declared))
+
+
 def read_images(spark: SparkSession, path: str, header_bytes: int = 65536) -> DataFrame:
     """Path, length and the header of each image: enough for the dimensions."""
     return read_binary(spark, path).select(
@@ -102,10 +109,10 @@ def sitemap_locs(files: DataFrame, site: str = "site", url: str = "url", text: s
             .select(site, "map_url", "pos", unescape(F.col("raw")).alias("loc")))
 
 
-def read_sitemaps(files: DataFrame, roots: DataFrame, site: str = "site", url: str = "url", text: str = "text") -> DataFrame:
+def read_sitemaps(files: DataFrame, roots: DataFrame, site: str = "site", url: str = "url", text: str = "text", most: int = 0) -> DataFrame:
     """Addresses listed by each site's root map and, one level down, by the maps it names.
 
-    ``roots`` holds (site, url) of the entry maps. The first 3000 listed addresses per site count.
+    ``roots`` holds (site, url) of the entry maps. ``most``: so many listed addresses per site count, 0 for all.
     """
     from siftweb.scale import number_in_groups
 
@@ -118,4 +125,5 @@ def read_sitemaps(files: DataFrame, roots: DataFrame, site: str = "site", url: s
     both = (top.withColumn("parent_pos", F.lit(0)).unionByName(below))
     numbered = number_in_groups(both, [site], ["level", "parent_pos", "map_url", "pos"],
                                 F.col("level").cast("long") * 1000000000 + F.col("parent_pos"), "seen")
-    return numbered.filter((F.col("seen") <= SITEMAP_URL_CAP) & ~is_map).select(site, "map_url", "loc", "seen")
+    counted = numbered.filter(F.col("seen") <= most) if most else numbered
+    return counted.filter(~is_map).select(site, "map_url", "loc", "seen")

@@ -57,8 +57,13 @@ def record_downloads(rows: DataFrame, path: str, write_seq: int) -> None:
 
 
 def record_crawled(rows: DataFrame, path: str, write_seq: int) -> None:
-    """First write wins per task and address; ``current(..., first=True)`` reads it back."""
-    append(rows.withColumn("url_hash", urls.url_hash_raw(F.col("url"))).dropDuplicates(["task_id", "url_hash"]), path, write_seq)
+    """First write wins per task and address; ``current(..., first=True)`` reads it back.
+
+    Of several rows of one write the least stays, compared column by column.
+    """
+    keyed = rows.withColumn("url_hash", urls.url_hash_raw(F.col("url")))
+    least = keyed.groupBy("task_id", "url_hash").agg(F.min(F.struct(*rows.columns)).alias("r"))
+    append(least.select("r.*", "url_hash"), path, write_seq)
 
 
 def visited(spark: SparkSession, path: str, task_id: int) -> DataFrame:
