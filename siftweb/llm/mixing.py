@@ -5,6 +5,7 @@ Features, classifier and every gradient step are columns, aggregates and Spark's
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 import numpy as np
@@ -77,8 +78,8 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float], hold: str | None =
     Minimises (S - T)' G^-1 (S - T) + PULL * sum(tokens * (rate - 1)^2) over rates >= 0 (and <= ``most``), where
     S are the expected token totals sum(tokens * rate * posterior), T the targets and G = sum(tokens * posterior * posterior').
     In the metric of the tokens the first term's curvature is 0 or 1, so a step of 1 / (1 + PULL) is the best
-    one and few are needed. A step is one aggregate over the narrow table; the driver holds the totals,
-    and the rate stays an expression over the posteriors, so nothing is written between steps.
+    one and few are needed; momentum helps where the targets can't be met. A step is one aggregate over the
+    narrow table, which is written again every few steps; the driver holds the totals.
     ``weights``: share of every domain (missing ones 0). Their sum is scaled to 1. All tokens are wanted, or with ``hold`` so many
     that this domain keeps its total.
     """
@@ -94,19 +95,30 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float], hold: str | None =
         return rows.withColumn("rate", F.lit(1.0)), {"targets": dict.fromkeys(DOMAINS, 0.0), "totals": dict.fromkeys(DOMAINS, 0.0), "steps": 0}
     gram = np.array(sums[1:], float).reshape(k, k)
     inverse = np.linalg.pinv(gram + 1e-9 * everything * np.eye(k))
-    rate, step, totals = F.lit(1.0), 1 / (1 + PULL), _totals(rows, F.lit(1.0))
+    step, totals = 1 / (1 + PULL), _totals(rows, F.lit(1.0))
     wanted = everything
     if hold is not None and share[DOMAINS.index(hold)] > 0:
         wanted = totals[DOMAINS.index(hold)] / share[DOMAINS.index(hold)]
-    targets, done = share * wanted, 0
+    targets, done, ahead = share * wanted, 0, 1.0
+    rows = rows.withColumn("rate", F.lit(1.0)).withColumn("_last", F.lit(1.0))
+    last = totals
     while done < STEPS and np.abs(totals - targets).max() > MISS * everything:
-        pull = inverse @ (totals - targets)
-        moved = rate * F.lit(1 - step * PULL) + F.lit(step * PULL) - sum((F.lit(float(step * pull[i])) * p[i] for i in range(1, k)), F.lit(float(step * pull[0])) * p[0])
-        rate = F.greatest(moved, F.lit(0.0)) if most is None else F.least(F.greatest(moved, F.lit(0.0)), F.lit(float(most)))
-        before, totals, done = totals, _totals(rows, rate), done + 1
-        if np.abs(totals - before).max() <= 0.01 * MISS * everything:
+        # a step from a point ahead of the last two rates; its totals follow from theirs
+        following = (1 + math.sqrt(1 + 4 * ahead * ahead)) / 2
+        beta, ahead = (ahead - 1) / following, following
+        pull = inverse @ (totals + beta * (totals - last) - targets)
+        point = F.col("rate") * F.lit(1 + beta) - F.col("_last") * F.lit(beta)
+        slope = sum((F.lit(float(step * pull[i])) * p[i] for i in range(1, k)), F.lit(float(step * pull[0])) * p[0])
+        moved = F.greatest(point * F.lit(1 - step * PULL) + F.lit(step * PULL) - slope, F.lit(0.0))
+        moved = moved if most is None else F.least(moved, F.lit(float(most)))
+        rows = rows.withColumn("_next", moved).withColumns({"_last": F.col("rate"), "rate": F.col("_next")}).drop("_next")
+        done += 1
+        if done % 8 == 0:
+            rows = keep(rows, "rates")  # a bounded plan
+        last, totals = totals, _totals(rows, F.col("rate"))
+        if np.abs(totals - last).max() <= 0.01 * MISS * everything:
             break
-    return rows.withColumn("rate", rate), {"targets": dict(zip(DOMAINS, targets)), "totals": dict(zip(DOMAINS, totals)), "steps": done}
+    return rows.drop("_last"), {"targets": dict(zip(DOMAINS, targets)), "totals": dict(zip(DOMAINS, totals)), "steps": done}
 
 
 def copies_of(rate: Column, doc_id: Column, seed: int = 7) -> Column:

@@ -15,6 +15,9 @@ WORDS, LINK = 5, 75
 BANDS, ROWS = 32, 4
 RANKS = BANDS * ROWS
 
+#: members of a hub that meet in one block
+BLOCK = 128
+
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -116,27 +119,28 @@ def _with_sets(batches):
 
 def _meet(batches):
     for batch in batches:
-        sizes_a, sizes_b, common, added = [], [], [], []
+        sizes_a, sizes_b, common, added, lost = [], [], [], [], []
         for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
             a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             inside = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
-            shared = int(inside.sum())
-            needed = max(1, -(-(3 * len(b) - 4 * shared) // 4))
+            kept = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
             sizes_a.append(len(a))
             sizes_b.append(len(b))
-            common.append(shared)
-            added.append(b[~inside][:max(0, len(b) - shared - needed + 1)].view(np.int64))
+            common.append(int(inside.sum()))
+            added.append(b[~inside].tobytes())
+            lost.append(a[~kept].tobytes())
         a, b, n = (np.array(x, np.int64) for x in (sizes_a, sizes_b, common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(b), pa.array(n), pa.array(100 * n >= LINK * (a + b - n)),
-                                          pa.array(added, pa.list_(pa.int64()))], ["a", "b", "n", "shared", "linked", "added"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(a), pa.array(b), pa.array(n), pa.array(100 * n >= LINK * (a + b - n)),
+             pa.array(added, pa.binary()), pa.array(lost, pa.binary())], ["a", "b", "h", "n", "shared", "linked", "added", "lost"])
 
 
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of doc_ids on their full shingle sets: size of b, shared shingles, whether they are linked, and ``added``.
+    """Pairs (a, b) of doc_ids on their full shingle sets: sizes h and n, shared shingles, whether they are linked, and
+    how b differs from a: the shingles it has ``added`` and those it has ``lost``.
 
-    ``added`` are the shingles of b that a lacks, in ascending order and without the last ones that a further link of b,
-    one that no shingle of a explains, can do without (see ``_across``). Only texts of documents in pairs are read again; their
-    identifiers are a written table, so Spark knows its size and broadcasts it only below its own limit.
+    Only texts of documents in pairs are read again; their identifiers are a written table, so Spark knows its size
+    and broadcasts it only below its own limit.
     """
     pairs = keep(pairs, "pairs")
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
@@ -144,32 +148,82 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = keep(texts.mapInArrow(_with_sets, "doc_id long, elements binary"), "elements").dropDuplicates(["doc_id"])
     met = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("set_b")), "b")
            .join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("set_a")), "a"))
-    return keep(met.select("a", "b", "set_a", "set_b").mapInArrow(_meet, "a long, b long, n long, shared long, linked boolean, added array<long>"), "met")
+    return keep(met.select("a", "b", "set_a", "set_b").mapInArrow(
+        _meet, "a long, b long, h long, n long, shared long, linked boolean, added binary, lost binary"), "met")
+
+
+_MEMBER = ["x", "low", "h", "n", "shared", "added", "lost"]
+
+
+def _block_links(batches):
+    """Links between members of one hub, from how they differ from it; the rows of a pair of blocks come together."""
+    key, rows = None, ([], [])
+
+    def links():
+        left, right = ([dict(zip(_MEMBER, r)) for r in side] for side in rows)
+        found = _linked(left, right) if left and right else []
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for hub, i, j, side, *member in zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "side", *_MEMBER))):
+            if (hub, i, j) != key:
+                yield links()
+                key, rows = (hub, i, j), ([], [])
+            rows[side].append(member)
+    yield links()
+
+
+def _linked(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+    """Pairs in different components whose sets are similar enough.
+
+    Members x and y share c + d - h of the hub's h shingles, where c and d are what each shares with it, and beyond that exactly
+    the differences they have in common: both lost, which that sum counts as missing twice, or both added.
+    """
+    tokens = [[np.frombuffer(m["added"] + m["lost"], np.uint64) for m in side] for side in (left, right)]
+    words = np.unique(np.concatenate(tokens[0]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    place = []
+    for side in tokens:
+        row = np.repeat(np.arange(len(side)), [len(t) for t in side])
+        flat = np.concatenate(side)
+        column = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
+        known = words[column] == flat if len(words) else np.zeros(0, bool)
+        order = np.argsort(column[known], kind="stable")
+        place.append((row[known][order], column[known][order]))
+    for at in range(0, len(words), 4096):
+        parts = []
+        for (row, column), side in zip(place, (left, right)):
+            first, last = np.searchsorted(column, (at, at + 4096))
+            part = np.zeros((len(side), 4096), np.float32)
+            part[row[first:last], column[first:last] - at] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    value = lambda side, name: np.array([m[name] for m in side], np.int64)
+    shared = value(left, "shared")[:, None] + value(right, "shared")[None] - left[0]["h"] + both.astype(np.int64)
+    size = value(left, "n")[:, None] + value(right, "n")[None]
+    good = (100 * shared >= LINK * (size - shared)) & (value(left, "low")[:, None] != value(right, "low")[None])
+    x, y = value(left, "x"), value(right, "x")
+    return [(int(min(x[i], y[j])), int(max(x[i], y[j]))) for i, j in np.argwhere(good)]
 
 
 def _across(met: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one hub, in different components, that may still be linked; no other pair can be.
+    """Links (a, b) between members of one hub that are in different components.
 
-    Let x and y have n and m shingles, of which c and d are the hub's. They share at most min(c, d) shingles of the hub and
-    some added ones, and a link needs 3/7 (n + m) shared shingles in all. As members linked to the hub are in one component,
-    x isn't linked to it. Either min(c, d) alone suffices: then x, mostly inside the hub, has c >= 3/4 n, and m lies between
-    3/4 n and 7/3 c - n. Or they share added shingles, at least 3/4 n - c of them, hence one of those that ``compare``
-    leaves in ``added`` on either side. Both are equi joins; keys that only one component has are left out first.
+    Members linked to the hub are in one component, so one of the two isn't linked to it. Those members, a stated few, are held
+    against all members of their hub, block by block of at most BLOCK rows or so; a task sees one pair of blocks and
+    returns links only. What the members add to the hub and lose of it decides exactly, without their texts.
     """
-    member = met.select(F.col("a").alias("hub"), F.col("b").alias("x"), "n", "shared", "linked", "added").join(
+    member = met.withColumnRenamed("a", "hub").withColumnRenamed("b", "x").join(
         label.select(F.col("u").alias("x"), F.col("v").alias("low")), "x", "left").withColumn("low", F.coalesce("low", "x"))
-    mixed = member.groupBy("hub").agg(F.min("low").alias("p"), F.max("low").alias("q")).filter("p <> q").select("hub")
-    member = keep(member.join(mixed, "hub", "left_semi"), "members")
-    other = member.select("hub", F.col("x").alias("y"), F.col("n").alias("m"), F.col("shared").alias("d"), F.col("low").alias("low_y"))
-    inside = member.filter("NOT linked AND 4 * shared >= 3 * n").select(
-        "hub", "x", "n", "shared", "low", F.explode(F.sequence(F.expr("(3 * n + 3) div 4"), F.expr("(7 * shared) div 3 - n"))).alias("m"))
-    contained = inside.join(other, ["hub", "m"]).filter("low <> low_y AND 3 * (n + m) <= 7 * least(shared, d)").select("x", "y")
-    each = member.select("hub", "x", "low", "linked", F.explode("added").alias("shingle"))
-    open_ = each.groupBy("hub", "shingle").agg(F.min("low").alias("p"), F.max("low").alias("q")).filter("p <> q").select("hub", "shingle")
-    each = keep(each.join(open_, ["hub", "shingle"], "left_semi"), "added")
-    sharing = each.filter("NOT linked").select("hub", "shingle", "x", "low").join(
-        each.select("hub", "shingle", F.col("x").alias("y"), F.col("low").alias("low_y")), ["hub", "shingle"]).filter("low <> low_y").select("x", "y")
-    return contained.unionByName(sharing).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    mixed = member.groupBy("hub").agg(F.min("low").alias("p"), F.max("low").alias("q"), F.count(F.lit(1)).alias("all"), F.count_if(~F.col("linked")).alias("apart")) \
+        .filter("p <> q").select("hub", F.ceil(F.col("all") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("apart") / BLOCK).cast("int").alias("ni"))
+    member = keep(member.join(mixed, "hub"), "members")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
+    left = member.filter("NOT linked").select("hub", own("ni").alias("i"), upto("nj").alias("j"), F.lit(0).alias("side"), *_MEMBER)
+    right = member.select("hub", upto("ni").alias("i"), own("nj").alias("j"), F.lit(1).alias("side"), *_MEMBER)
+    together = left.unionByName(right).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return together.mapInArrow(_block_links, "a long, b long").distinct()
 
 
 def _forest(batches):
@@ -225,8 +279,8 @@ def classes(docs: DataFrame) -> DataFrame:
     1. One pass over the texts writes set identifiers and signatures; equal sets are represented by their least doc_id.
     2. In every bucket of a band, members are compared with one hub only, on full sets: with the member that meets most others
        over all its buckets, which is near the middle of a group of copies.
-    3. Members of one hub that are in different components may be linked too. What they share with the hub and what
-       they add to it rule out almost all such pairs; the others are compared on full sets.
+    3. Members of one hub that are in different components may be linked too. Those that aren't linked to their hub are held
+       against its other members in blocks, by their differences from the hub, which give the exact similarity.
     """
     sketches = keep(sketch(docs), "sketches")
     filled = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -239,7 +293,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = members.select("bucket", "rep").join(hubs.select("bucket", (-F.col("low")).alias("hub")), "bucket").filter("rep <> hub")
     met = compare(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), docs)
     first = met.filter("linked").select("a", "b")
-    second = compare(_across(met, components(first)), docs).filter("linked").select("a", "b")
+    second = keep(_across(met, components(first)), "across")
     final = components(first.unionByName(second)).select(F.col("u").alias("rep"), F.col("v").alias("low"))
     own = reps.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("low", "rep").alias("_low"))
     linked = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(own, "set_id").select("doc_id", "n_shingles", "_low")
