@@ -32,7 +32,7 @@ def test_encoder_gives_the_ids_of_one_call():
 @pytest.mark.parametrize("shards", [1, 5])
 def test_round_trip(spark, tmp_path, shards):
     texts = ["one two", None, "", "Ünïcode, text.\nline", "long " * 9000] * 30
-    rows = [(i * 3 - 40, t, "s") for i, t in enumerate(texts)] + [(5, "again", "s"), (5, "again", "s"), (None, "no id", "s")]
+    rows = [(i * 3 - 40, t, "s") for i, t in enumerate(texts)] + [(6, "again", "s"), (6, "again", "s"), (None, "no id", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(4)
     write_tokens(docs, str(tmp_path / "t"), WORD, end_id=1, shards=shards)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids"], r["ids_crc32"]) for r in
