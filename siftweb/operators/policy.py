@@ -234,13 +234,15 @@ def segment_clauses(texts: DataFrame, page_index: str = "page_index", text: str
 
 # ---- scoring -------------------------------------------------------------------------
 
-def contains_term(low: Column, term: str) -> Column:
-    """Term occurs at least once away from the markers that change its meaning."""
-    term = term.lower()
-    markers = lexicon.markers_of(term)
-    plain = F.contains(low, F.lit(term))
-    if not markers:
-        return plain
+def _guarded(term: str) -> Column:
+    """A term as data: how it is shown, looked for and cut at, and the markers that change its meaning nearby."""
+    low = term.lower()
+    return F.struct(F.lit(term).alias("label"), F.lit(low).alias("low"), F.lit(re.escape(low)).alias("cut"),
+                    F.array(*map(F.lit, lexicon.markers_of(low))).cast("array<string>").alias("markers"))
+
+
+def _found(low: Column, term: Column) -> Column:
+    """The term occurs at least once away from its markers."""
     reach = lexicon.FALSE_POSITIVE_WINDOW
 
     def some_clean(parts: Column) -> Column:
@@ -248,17 +250,20 @@ def contains_term(low: Column, term: str) -> Column:
 
         def clean(i: Column) -> Column:
             begin = F.greatest(i - reach, F.lit(1))
-            before = F.array_join(F.slice(parts, begin, i - begin + 1), term)
-            after = F.array_join(F.slice(parts, i + 1, F.lit(reach + 1)), term)
-            window = F.concat(F.right(before, F.lit(reach)), F.lit(term), F.left(after, F.lit(reach)))
-            bad = F.lit(False)
-            for m in markers:
-                bad = bad | F.contains(window, F.lit(m))
-            return ~bad
+            before = F.call_function("array_join", F.slice(parts, begin, i - begin + 1), term["low"])
+            after = F.call_function("array_join", F.slice(parts, i + 1, F.lit(reach + 1)), term["low"])
+            window = F.concat(F.right(before, F.lit(reach)), term["low"], F.left(after, F.lit(reach)))
+            return ~bind(window, lambda w: F.exists(term["markers"], lambda m: F.contains(w, m)))
 
         return F.exists(F.sequence(F.lit(1), F.size(parts) - 1), clean)
 
-    return F.when(plain, bind(F.split(low, re.escape(term), -1), some_clean)).otherwise(False)
+    there = F.contains(low, term["low"])
+    return F.when(F.size(term["markers"]) == 0, there).when(there, bind(F.split(low, term["cut"], -1), some_clean)).otherwise(False)
+
+
+def contains_term(low: Column, term: str) -> Column:
+    """Term occurs at least once away from the markers that change its meaning."""
+    return bind(_guarded(term), lambda t: _found(low, t))
 
 
 def any_of(low: Column, words) -> Column:
@@ -280,7 +285,7 @@ def context_flags(df: DataFrame, low: str = "_low") -> DataFrame:
 
 
 def _weighted(weight: int):
-    return lambda label: F.struct(label.alias("label"), F.lit(weight).alias("weight"))
+    return lambda term: F.struct(term["label"].alias("label"), F.lit(weight).alias("weight"))
 
 
 def _matches(category: str, terms: dict, patterns: dict) -> Column:
@@ -291,23 +296,9 @@ def _matches(category: str, terms: dict, patterns: dict) -> Column:
         if patterns.get(category) else []
     for strength, weight in (("strong", lexicon.STRONG_WEIGHT), ("weak", lexicon.WEAK_WEIGHT)):
         words = terms.get(category, {}).get(strength, [])
-        # runs of plain terms share one filter, guarded terms are tested on their own; list order is kept
-        run: list[str] = []
-
-        def flush() -> None:
-            if run:
-                same_case = all(w == w.lower() for w in run)
-                listed = F.filter(F.array(*[F.lit(w) for w in run]), lambda w: F.contains(low, w if same_case else F.lower(w)))
-                parts.append(F.transform(listed, _weighted(weight)))
-                run.clear()
-
-        for word in words:
-            if lexicon.markers_of(word.lower()):
-                flush()
-                parts.append(F.array(F.when(contains_term(low, word), weigh(word, weight))))
-            else:
-                run.append(word)
-        flush()
+        if words:  # one expression for the whole list, in its order
+            listed = F.filter(F.array(*map(_guarded, words)), lambda t: _found(low, t))
+            parts.append(F.transform(listed, _weighted(weight)))
     return F.filter(F.concat(*parts), lambda m: m.isNotNull())
 
 
