@@ -100,7 +100,7 @@ def crawl_stats(spark, folder):
 
 
 def detail_links(spark, folder):
-    return filters.detail_links(pages(spark, folder)).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
+    return filters.detail_links(pages(spark, folder), most=20).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
 def needs_render(spark, folder):

@@ -48,10 +48,6 @@ def is_media_kind(kind: Column) -> Column:
     return kind.isin(fixed.MEDIA_KINDS)
 
 
-def is_stream_kind(kind: Column) -> Column:
-    return kind.isin(fixed.STREAM_KINDS)
-
-
 def kind_of(url: Column, content_type: Column | None = None) -> Column:
     """Content type first; a mere ``document`` yields to a media extension."""
     by_url = kind_by_ext(ext_of(url))

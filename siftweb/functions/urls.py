@@ -273,14 +273,6 @@ def same_site(a: Column, b: Column) -> Column:
         (left == right) | F.endswith(left, F.concat(dot, right)) | F.endswith(right, F.concat(dot, left)))
 
 
-def same_family(a: Column, b: Column) -> Column:
-    """Session check: true as soon as either side is unknown."""
-    left, right = _without_www(F.lower(a)), _without_www(F.lower(b))
-    dot = F.lit(".")
-    return (left == "") | (right == "") | (left == right) \
-        | F.endswith(left, F.concat(dot, right)) | F.endswith(right, F.concat(dot, left))
-
-
 def host_labels(host: Column) -> Column:
     return F.filter(F.split(host, r"\."), lambda x: x != "")
 

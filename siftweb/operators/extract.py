@@ -199,8 +199,8 @@ def extract_media_html(pages: DataFrame, upgrade: bool = True) -> DataFrame:
 
 # ---- media from interface JSON ----------------------------------------------
 
-def extract_media_json(pages: DataFrame, json_column: str = "json_text") -> DataFrame:
-    """Media addresses in interface responses, containers walked down to depth six.
+def extract_media_json(pages: DataFrame, json_column: str = "json_text", depth: int = fixed.JSON_MAX_DEPTH, longest: int = 0) -> DataFrame:
+    """Media addresses in interface responses, containers walked down to ``depth``; ``longest``: characters of an address, 0 for any.
 
     One generator per level: containers are opened, strings wait untouched, so the plan stays one
     straight line. Members of an object are visited in key order.
@@ -214,7 +214,7 @@ def extract_media_json(pages: DataFrame, json_column: str = "json_text") -> Data
     def text_of(value: Column) -> Column:
         return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
-    for _ in range(fixed.JSON_MAX_DEPTH + 1):
+    for _ in range(depth + 1):
         kind = F.schema_of_variant(F.col("node"))
         is_box = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         titles = [F.nullif(urls.trimmed(text_of(F.try_variant_get("node", f"$.{name}", "variant"))), F.lit(""))
@@ -233,7 +233,7 @@ def extract_media_json(pages: DataFrame, json_column: str = "json_text") -> Data
     text = urls.trimmed(text_of(F.col("node")))
     url = urls.resolve_url(F.col("base_url"), F.col("text"))
     found = (node.withColumn("text", text)
-             .filter((F.length("text") > 0) & (F.length("text") <= fixed.JSON_MAX_TEXT) & F.col("text").rlike(r"^(?:https?://|//|/|\./|\.\./)"))
+             .filter((F.length("text") > 0) & ((F.length("text") <= longest) | F.lit(longest == 0)) & F.col("text").rlike(r"^(?:https?://|//|/|\./|\.\./)"))
              .withColumn("url", url).filter((F.col("url") != "") & (F.col("url") != F.col("base_url")))
              .withColumn("by_ext", media.kind_of(F.col("url")))
              .withColumn("hint", F.when(media.is_media_kind(F.col("by_ext")), "")

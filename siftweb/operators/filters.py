@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from siftweb.functions import urls
 from siftweb.scale import unnest
 
-SAMPLE_CAP = 100
-
 
 def usable_patterns(patterns: Sequence[str]) -> list[str]:
     """Stripped, distinct patterns that compile."""
@@ -59,10 +57,10 @@ def url_filter(df: DataFrame, block: Sequence[str] = (), allow: Sequence[str] =
             .drop("_outside", "_hit"))
 
 
-def url_filter_stats(filtered: DataFrame, order: str, url: str = "url") -> DataFrame:
-    """Counts and the last 100 blocked addresses, newest last."""
+def url_filter_stats(filtered: DataFrame, order: str, url: str = "url", recent: int = 100) -> DataFrame:
+    """Counts and the last ``recent`` blocked addresses, newest last."""
     counts = filtered.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("allowed")).alias("filtered_count"))
-    last = (filtered.filter(~F.col("allowed")).orderBy(F.col(order).desc()).limit(SAMPLE_CAP)
+    last = (filtered.filter(~F.col("allowed")).orderBy(F.col(order).desc()).limit(recent)
             .agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(url)))).alias("s"))
             .select(F.transform("s", lambda x: x[url]).alias("recent_filtered")))
     return counts.withColumn("recent_filtered", last.scalar())
@@ -89,7 +87,6 @@ DETAIL_EXCLUDE = (
     r"(?i)(?:login|logout|register|signup|sign-in|cart|account|user|help|about|"
     r"contact|privacy|terms|subscribe|rss|feed|share|comment|download|"
     r"javascript:|mailto:)")
-DETAIL_CAP = 20
 RENDER_MIN_CHARS = 800
 RENDER_MIN_MEDIA = 3
 
@@ -102,11 +99,8 @@ def needs_render(pages: DataFrame, media_count: str = "media_count") -> DataFram
                             .when(~F.col("ok"), F.col("error") != "").otherwise(thin))
 
 
-def detail_links(pages: DataFrame, pattern: str = "") -> DataFrame:
-    """Content links of a listing page, document order, twenty per page at most.
-
-    The limit is part of the operator; it is applied inside the page row.
-    """
+def detail_links(pages: DataFrame, pattern: str = "", most: int = 0) -> DataFrame:
+    """Content links of a listing page in document order; with ``most`` the first ones of each page only."""
     from siftweb.functions.media import has_media_ext
 
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']+)["']"""), F.lit(1))
@@ -122,7 +116,7 @@ def detail_links(pages: DataFrame, pattern: str = "") -> DataFrame:
         ok = link.rlike("^https?://") & ~has_media_ext(link) & ~link.rlike(DETAIL_EXCLUDE) & urls.bind(urls.host_of(link), near)
         return ok & link.contains(pattern) if pattern else ok
 
-    return unnest(pages, ["page_id", "base_url"], F.slice(F.filter(links, wanted), 1, DETAIL_CAP), "link", "pos")
+    return unnest(pages, ["page_id", "base_url"], F.slice(F.filter(links, wanted), 1, most) if most else F.filter(links, wanted), "link", "pos")
 
 
 def media_direct(pages: DataFrame, seeds: str = "") -> DataFrame:
@@ -148,12 +142,6 @@ def media_kind_reason(kinds: Sequence[str], allow_svg: bool = False) -> Column:
             .otherwise(""))
 
 
-def media_block_reason(block: Sequence[str]) -> Column:
-    """Blocking patterns apply to media, the allow-list does not."""
-    hit = _first_match(F.col("url"), usable_patterns(block))
-    return F.when(hit.isNotNull(), F.concat(F.lit("屏蔽正则 "), hit)).otherwise("")
-
-
 def media_quality_reason(min_width: int = 0, min_height: int = 0, min_size: int = 0, max_size: int = 0) -> Column:
     """Known measures outside the bounds; 0 means unknown and passes."""
     def low(name: str, bound: int) -> Column:

@@ -490,21 +490,22 @@ def is_retryable(status: Column, error: Column, annotating: bool = False) -> Col
     return (again | (status == 429)) if annotating else broken & again
 
 
-def compliance_report(sites: DataFrame, pages: DataFrame, hits: DataFrame, skipped: DataFrame, scan_time: str) -> DataFrame:
-    """One nested report per site: always the notice, every category, findings capped by the screening itself.
+def compliance_report(sites: DataFrame, pages: DataFrame, hits: DataFrame, skipped: DataFrame, scan_time: str,
+                      most_findings: int = lexicon.MAX_FINDINGS, most_skipped: int = 50) -> DataFrame:
+    """One nested report per site: always the notice, every category, the best ``most_findings`` and the first ``most_skipped``.
 
-    A site has a dozen pages and two hundred findings at most, so the arrays are small.
+    A report is read by people; both lengths are the caller's, and all rows stay in ``hits`` and ``skipped``.
     """
     page = F.struct("url", "title", "status", "chars", "error", "matched_by")
     hit = F.struct(F.col("confidence"), F.col("page_url").alias("source_url"), F.col("clause_index"), F.col("category"), F.col("text").alias("quote"),
                    F.col("matched_terms"), F.col("heading"), F.col("uid"), F.col("start").alias("char_offset"), F.col("context_note"),
                    confidence_band(F.col("confidence")).alias("confidence_text"), F.lit(True).alias("needs_human_review"), F.col("review_hint"))
     order = Window.partitionBy("site").orderBy(F.col("confidence").desc(), "page_url", "clause_index", "category")
-    best = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= lexicon.MAX_FINDINGS)
+    best = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most_findings)
     per_page = pages.groupBy("site").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     per_hit = best.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("_n", hit.alias("hit")))).alias("_hits"))
     per_skip = skipped.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("url", "reason"))) \
-        .filter(F.col("_n") <= 50).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("url", "reason"))).alias("skipped"))
+        .filter(F.col("_n") <= most_skipped).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("url", "reason"))).alias("skipped"))
     empty = lambda name, like: F.coalesce(F.col(name), F.array().cast(like.schema[name].dataType))
     joined = (sites.join(per_page, "site", "left").join(per_hit, "site", "left").join(per_skip, "site", "left")
               .withColumn("pages", empty("pages", per_page)).withColumn("skipped", empty("skipped", per_skip))

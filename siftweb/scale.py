@@ -35,10 +35,6 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                      block: Column, out: str) -> DataFrame:
     """1-based row number per key without holding a key in one task.
