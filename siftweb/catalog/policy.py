@@ -137,7 +137,7 @@ def legal_seeds(spark, folder):
 def _legal_pages(p):
     extra = F.concat(F.lit('<a href="/privacy/">Privacy policy</a><a href="https://other.example/terms">Terms</a><a href="/legal.pdf">Legal</a><a href="/Tos?x='),
                      F.col("page_id").cast("string"), F.lit('">read</a>'))
-    return p.withColumn("html", extra)
+    return p.withColumn("html", F.concat("html", extra))
 
 
 def failures(spark, folder):

@@ -58,8 +58,7 @@ def brand_imitation(spark, folder):
 
 def suffix_join(spark, folder):
     hosts = load(spark, folder, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"))
-    domains = hosts.filter(F.col("page_id") % 3 == 0).select(urls.registered_domain(F.col("host")).alias("domain")) \
-        .unionByName(hosts.filter(F.col("page_id") % 7 == 0).select(F.col("host").alias("domain")))
+    domains = hosts.select(urls.registered_domain(F.col("host")).alias("domain")).unionByName(hosts.select(F.col("host").alias("domain")))
     return risk.host_in_domains(hosts, domains).select("page_id", "host", "matched_domain")
 
 
@@ -156,8 +155,8 @@ SQL = {
         SELECT pos, host, b.brand AS brand, b.label AS label, b.folded AS folded FROM s""",
     "suffix_join": f"""
         WITH h AS (SELECT page_id, {sql_host('url')} AS host FROM pages),
-             dm AS (SELECT DISTINCT domain FROM (SELECT split_part(host, '.', -2) || '.' || split_part(host, '.', -1) AS domain FROM h WHERE page_id % 3 = 0
-                    UNION ALL SELECT host FROM h WHERE page_id % 7 = 0))
+             dm AS (SELECT DISTINCT domain FROM (SELECT split_part(host, '.', -2) || '.' || split_part(host, '.', -1) AS domain FROM h
+                    UNION ALL SELECT host FROM h))
         SELECT page_id, host, domain AS matched_domain FROM h JOIN dm ON host = domain OR ends_with(host, '.' || domain)""",
     "distinct_urls": """
         SELECT trim(' http://h' || user_id % 90 || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '.example.com' END) AS url, min(event_id) AS pos FROM events GROUP BY 1""",
