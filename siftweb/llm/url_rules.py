@@ -91,7 +91,7 @@ def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     Inverted index: a rule is posted under one of its tokens, the one with the fewest rules; a token set meets the rules
     posted under its tokens and no others.
     """
-    tokens = rules.select("*", F.monotonically_increasing_id().alias("_rule")).select("*", F.explode("antecedent").alias("_token"))
+    tokens = rules.select("*", F.explode("antecedent").alias("_token"))
     sizes = tokens.groupBy("_token").agg(F.count(F.lit(1)).alias("_posted"))
     postings = (tokens.join(sizes, "_token").groupBy("antecedent", "verdict", "confidence", "support")
                 .agg(F.min(F.struct("_posted", "_token"))["_token"].alias("_token")))
