@@ -63,14 +63,15 @@ def _split_join(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, spr
     values = [c for c in table.columns if c != key]
     marked = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))),
                        key, "left")
-    # rows of a hot key already have their values; a scattered stand-in key spreads them over the shuffle
-    marked = marked.withColumn("_join", F.when(F.col("_hot"), F.concat(F.lit("hot:"), F.xxhash64(spread).cast("string")))
-                               .otherwise(F.col(key).cast("string")))
-    cold = table.select(F.col(key).cast("string").alias("_join"), *values)
-    joined = marked.join(cold, "_join", "left")
+    # rows of a hot key have their values already and rows without a key have none: a salt that no table row bears spreads both
+    apart = F.coalesce("_hot", F.lit(False)) | F.col(key).isNull()
+    marked = marked.withColumns({"_join": F.coalesce(F.col(key).cast("string"), F.lit("")),
+                                 "_salt": F.when(apart, F.shiftrightunsigned(F.xxhash64(spread), 2) + 1).otherwise(F.lit(0).cast("long"))})
+    cold = table.select(F.col(key).cast("string").alias("_join"), F.lit(0).cast("long").alias("_salt"), *values)
+    joined = marked.join(cold, ["_join", "_salt"], "left")
     for c in values:
         joined = joined.withColumn(c, F.coalesce(F.col(f"_hot_{c}"), F.col(c)))
-    return joined.drop("_join", "_hot", *[f"_hot_{c}" for c in values])
+    return joined.drop("_join", "_salt", "_hot", *[f"_hot_{c}" for c in values])
 
 
 def lookup_by_key(rows: DataFrame, summary: DataFrame, key: str, size: str,
