@@ -145,7 +145,8 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = keep(pairs, "pairs")
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text")).join(ids, "doc_id", "left_semi")
-    sets = keep(texts.mapInArrow(_with_sets, "doc_id long, elements binary"), "elements").dropDuplicates(["doc_id"])
+    # repeated rows go before the table is written, so that the joins below stand alone and their hot hubs can be split
+    sets = keep(texts.mapInArrow(_with_sets, "doc_id long, elements binary").dropDuplicates(["doc_id"]), "elements")
     met = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("set_b")), "b")
            .join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("set_a")), "a"))
     return keep(met.select("a", "b", "set_a", "set_b").mapInArrow(
