@@ -5,6 +5,8 @@ Candidates, features and predictions are columns and Spark's own forest; no Pyth
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 from siftweb.llm.common import keep, text_of
 from siftweb.scale import unnest
 
-#: a candidate: a whole run of so many key characters with a digit in it
+#: a candidate: a whole run of so many key characters with a digit in it; known keys and assigned values follow below
 LEAST = 12
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{%d,}+" % LEAST
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])([A-Za-z0-9+/_-]{%d,}+)" % LEAST
 #: code points of context on either side
 CONTEXT = 48
 #: labelled findings that a fit uses at most, trees and their depth
@@ -32,7 +34,16 @@ DICTIONARY = ["account", "access", "admin", "api", "app", "article", "auth", "bl
 # Words before a value that speak for and against a secret, and how known keys look
 FOR_WORDS = "password|passwd|pwd|secret|token|apikey|api_key|access_key|private_key|credential|auth|bearer"
 AGAINST_WORDS = "commit|sha1|sha256|md5|checksum|digest|uuid|guid|version|isbn|order|phone|tel|card|href|src|http|https|url|page"
-KNOWN_FORM = r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})$"
+_KNOWN = r"(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}+)"
+KNOWN_FORM = f"^{_KNOWN}$"
+# A secret's name with its sign of assignment
+_NAMED = rf"(?:{FOR_WORDS})[\"']?\s*+[=:]"
+ASSIGNED = rf"{_NAMED}\s*+[\"']?"
+#: what proposes candidates, the value in group 1: runs, known keys, values of any length and characters behind a secret's name up
+#: to the closing quote or blank (or a name whose value follows the blank), and the same up to the next name, so that none hides behind another
+PROPOSE = (CANDIDATE, rf"(?<![A-Za-z0-9])({_KNOWN})(?![A-Za-z0-9])",
+           *(rf"(?i){_NAMED}\s*+(?:\"(?!{_NAMED})(?=[^\s\"])|'(?!{_NAMED})(?=[^\s'])|(?![\s\"']|{_NAMED}))"
+             rf"((?<=\")(?:{step}[^\s\"])++|(?<=')(?:{step}[^\s'])++|(?<![\"'])(?:{step}[^\s\"'])++)" for step in (rf"(?!{_NAMED}(?:\s|$))", rf"(?!{_NAMED})")))
 
 _CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "other": "[+/_-]"}
 FEATURES = ["length", *[f"{a}_{b}" for a in _CLASSES for b in _CLASSES], "distinct", "entropy", "hex_only", "dictionary", "slashes", "in_path",
@@ -42,20 +53,37 @@ FEATURES = ["length", *[f"{a}_{b}" for a in _CLASSES for b in _CLASSES], "distin
 def candidates(rows: DataFrame, text: str, keys: list[str], path: str | None = None) -> DataFrame:
     """One row per candidate of the whole text: keys, start, end (code points), value, before, after, path.
 
-    The text is cut at the candidates; the lengths of the parts give the positions, their ends the context.
+    The text is cut at the matches of each pattern; the lengths of the parts give the positions, their ends the context.
+    Candidates of different patterns may overlap; the same place is listed once, with the context of the first.
     """
     some = rows.select(*keys, text_of(text).alias("_text"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"))
-    some = some.filter(F.rlike("_text", F.lit(CANDIDATE)))
-    cut = some.select(*keys, "path", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_found"), F.split("_text", CANDIDATE, -1).alias("_parts"))
-    pairs = F.arrays_zip(F.col("_found").alias("value"), F.col("_parts").alias("part"), F.slice("_parts", 2, F.size("_parts")).alias("rest"))
-    short = F.transform(pairs, lambda p: F.struct(p["value"].alias("value"), F.right(p["part"], F.lit(CONTEXT)).alias("before"),
-                                                  F.left(p["rest"], F.lit(CONTEXT)).alias("after"), F.length(p["part"]).alias("gap")))
-    ends = F.transform(F.col("_all"), lambda c: c["gap"] + F.length(c["value"]))
-    each = cut.select(*keys, "path", F.filter(short, lambda c: c["value"].isNotNull()).alias("_all")).select("*", ends.alias("_ends"))
-    out = unnest(each, [*keys, "path", "_ends"], "_all", "_c")
-    end = F.aggregate(F.slice("_ends", 1, F.col("_pos") + 1), F.lit(0), lambda a, x: a + x)
-    return out.select(*keys, "path", end.cast("long").alias("end"), F.col("_c")["value"].alias("value"), F.col("_c")["before"].alias("before"),
-                      F.coalesce(F.col("_c")["after"], F.lit("")).alias("after")).withColumn("start", F.col("end") - F.length("value"))
+    own, cuts = [*keys, "path"], range(len(PROPOSE))
+    hits = [F.rlike("_text", F.lit(p)) for p in PROPOSE]
+    cut = some.filter(reduce(Column.__or__, hits)).select(*own, *(c for i, p in enumerate(PROPOSE) for c in (
+        F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(f"_match{i}"), F.regexp_extract_all("_text", F.lit(p), F.lit(1)).alias(f"_found{i}"),
+        F.split("_text", p, -1).alias(f"_parts{i}"))))
+
+    def short(i):
+        parts = F.col(f"_parts{i}")
+        pairs = F.arrays_zip(F.col(f"_match{i}").alias("match"), F.col(f"_found{i}").alias("value"), parts.alias("part"), F.slice(parts, 2, F.size(parts)).alias("rest"))
+        lead = lambda p: F.left(p["match"], F.length(p["match"]) - F.length(p["value"]))
+        return F.transform(F.filter(pairs, lambda p: p["match"].isNotNull()), lambda p: F.struct(
+            p["value"].alias("value"), F.right(F.concat(p["part"], lead(p)), F.lit(CONTEXT)).alias("before"), F.left(p["rest"], F.lit(CONTEXT)).alias("after"),
+            (F.length(p["part"]) + F.length(p["match"])).alias("step")))
+
+    def placed(i):
+        end = lambda at: F.aggregate(F.slice(f"_steps{i}", 1, at + 1), F.lit(0), lambda a, x: a + x)
+        return F.transform(f"_short{i}", lambda c, at: F.struct(end(at).cast("long").alias("end"), c["value"].alias("value"), c["before"].alias("before"),
+                                                                F.coalesce(c["after"], F.lit("")).alias("after")))
+
+    place = lambda c: c["end"] * (1 << 31) + F.length(c["value"])
+    each = cut.select(*own, *(short(i).alias(f"_short{i}") for i in cuts))
+    each = each.select("*", *(F.col(f"_short{i}.step").alias(f"_steps{i}") for i in cuts)).select(*own, *(placed(i).alias(f"_placed{i}") for i in cuts))
+    each = each.select("*", *(F.transform(f"_placed{i}", place).alias(f"_at{i}") for i in cuts))
+    seen = lambda i, c: reduce(Column.__or__, (F.array_contains(f"_at{j}", place(c)) for j in range(i)), F.lit(False))
+    fresh = [F.filter(f"_placed{i}", (lambda i: lambda c: ~seen(i, c))(i)) for i in cuts]
+    out = unnest(each.select(*own, F.concat(*fresh).alias("_all")), own, "_all", "_c").select(*own, "_c.end", "_c.value", "_c.before", "_c.after")
+    return out.withColumn("start", F.col("end") - F.length("value"))
 
 
 def _share(pattern: str, value: Column) -> Column:
@@ -122,10 +150,10 @@ def scan(docs: DataFrame, findings: DataFrame, path: str | None = None) -> DataF
 
 
 def labelled_findings(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """Findings with labels that need no reader: of the candidates ``found``, 1 for known key forms and values assigned to
-    a secret's name and 0 for digit runs; 0 for the parts of ``pages``' addresses."""
+    """Findings with labels that need no reader: of the candidates ``found``, 1 for known key forms and long values with
+    a digit assigned to a secret's name (shorter and plainer ones are judged, not learnt from) and 0 for digit runs; 0 for the parts of ``pages``' addresses."""
     label = (F.when(F.rlike("value", F.lit(KNOWN_FORM)), 1)
-             .when(F.rlike(F.lower("before"), F.lit(rf"({FOR_WORDS})\s*[=:]\s*[\"']?$")), 1)
+             .when(F.rlike(F.lower("before"), F.lit(rf"{ASSIGNED}$")) & F.rlike("value", F.lit(f"^{CANDIDATE}$")), 1)
              .when(F.rlike("value", F.lit("^[0-9-]+$")), 0))
     url = F.concat(F.lit(" "), F.regexp_replace(F.col("url"), r"[.:?=&#]", " "))
     listed = candidates(pages.select("page_id", url.alias("text")), "text", ["page_id"]).drop("page_id").withColumn("label", F.lit(0))
