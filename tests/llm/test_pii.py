@@ -46,6 +46,15 @@ def test_checksums_and_context():
     assert near > far
 
 
+def test_account_numbers_before_capitals_and_digits():
+    ibans = lambda t: [t[a:b] for k, a, b, _ in find(t) if k == "iban"]
+    one, two, three = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert ibans(f"{one} BIC: X") == [one] and ibans(f"{two} 250 EUR") == [two] and ibans(f"{three} OK") == [three]
+    assert ibans(f"{one} {three} {two} A") == [one, three, two]
+    assert ibans(f"AB12 CDEF 1234 {two} 250") == [two] and ibans("DE88 3704 0044 0532 0130 00 250 EUR") == []
+    find("AB12 " * 60_000)
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "a@" * 150_000, "+1" * 150_000, "A1" * 150_000, "1-" * 150_000):
         find(text)
