@@ -27,7 +27,8 @@ def _winners(rows: DataFrame) -> DataFrame:
 
 def _frequent(facts: DataFrame, share: float) -> DataFrame:
     """Digests of more than ``share`` of all rows, exactly counted, with the rows that stay: at most 1/share rows."""
-    found = facts.stat.freqItems(["digest"], share).select(F.explode("digest_freqItems").alias("digest")).distinct()
+    named = facts.select(F.hex("digest").alias("digest")).stat.freqItems(["digest"], share)  # as text: binary keys would count by reference
+    found = named.select(F.explode("digest_freqItems").alias("digest")).select(F.unhex("digest").alias("digest")).distinct()
     counted = _winners(facts.join(F.broadcast(found), "digest", "left_semi"))
     return keep(counted.filter(F.col("group_size") > share * facts.count()), "frequent")
 

@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import defaultdict
 
-from siftweb.llm.exact_dedup import classes, drop_copies
+from pyspark.sql import functions as F
+
+from siftweb.llm.exact_dedup import _frequent, classes, drop_copies
 
 ROWS = [(1, "a b", "x"), (2, "a  b", "y"), (3, "ab\n", "z"), (4, None, "x"), (5, "", "x"), (6, " \t\x0b", "x"), (7, "other", "x"), (8, "other", "x"), (8, "other", "x"),
         (9, "c" * 200_000, "x"), (10, "c" * 199_999 + " c", "x"), (11, "é", "x"), (12, " é", "x")] + [(100 + i, "hot  copy" if i == 7 else "hot copy", "x") for i in range(40)]
@@ -41,3 +43,10 @@ def test_empty_and_unnamed(spark):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in classes(unnamed).collect()) == [
         ("1", "1", True), ("None", "1", False), ("None", "None", True)]
     assert sorted(str(r["doc_id"]) for r in drop_copies(unnamed).collect()) == ["1", "None"]
+
+
+def test_a_frequent_digest_at_the_start_of_the_partitions_is_named(spark):
+    text = F.when(F.col("id") % 5000 < 1600, "hot").otherwise(F.col("id").cast("string"))
+    facts = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.lit(3).cast("long").alias("size"))
+    got = _frequent(facts, 0.01).collect()
+    assert [(bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in got] == [(hashlib.sha256(b"hot").digest(), 0, 6400)]
