@@ -159,6 +159,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_blank: bool =
     return keep(rows.mapInArrow(_cut(tokenizer, end_id, keep_blank, capacity, with_ids), schema), "pieces")
 
 
+def _checksums(ids: pa.ListArray) -> pa.Array:
+    flat = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+    ends = 4 * np.cumsum([0, *ids.value_lengths().to_pylist()])
+    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a written table of pieces, in as few sequences as best-fit decreasing needs.
 
@@ -176,7 +182,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches):
         for batch in batches:
             sequence, offset = plan.place(batch.column("length").to_numpy(), batch.column("_number").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)],
+            own = {c: batch.column(c) for c in names}
+            if "ids" in own:
+                own["ids_crc32"] = _checksums(own["ids"])  # of the ids as they are packed
+            yield pa.RecordBatch.from_arrays([*own.values(), pa.array(sequence), pa.array(offset)],
                                              [*names, "sequence_id", "offset"])
 
     numbered = cut.join(bases, ["shard", "length"]).select(*names, (F.col("base") + F.col("rank")).alias("_number"))
@@ -204,4 +213,4 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     from siftweb.llm.common import read
 
-    return pack_documents(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pack_documents(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

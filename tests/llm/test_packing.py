@@ -88,3 +88,13 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
+
+
+def test_query_and_pipeline_give_the_packed_ids(spark):
+    import corpus_pipeline
+    from siftweb.llm.packing import op9_packing
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for packed in (op9_packing(spark, "/root/testdata/sf0.001"), corpus_pipeline.packed(spark, docs, "")):
+        rows = packed.collect()
+        assert rows and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
