@@ -10,10 +10,11 @@ from siftweb.llm.packing import op9_packing
 from siftweb.llm.pii import op4_pii
 from siftweb.llm.quality import op5_quality
 from siftweb.llm.secret_scan import op8_secret_scan
+from siftweb.llm.token_counts import op12_token_counts
 from siftweb.llm.token_store import op2_token_store
 from siftweb.llm.url_rules import op1_url_rules
 
-QUERIES = {q.__name__: q for q in (op1_url_rules, op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op6_mixing, op7_near_dedup, op8_secret_scan, op9_packing, op10_fingerprints)}
+QUERIES = {q.__name__: q for q in (op1_url_rules, op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op6_mixing, op7_near_dedup, op8_secret_scan, op9_packing, op10_fingerprints, op12_token_counts)}
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
