@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftweb.llm.exact_dedup import op3_exact_dedup
 from siftweb.llm.fingerprints import op10_fingerprints
+from siftweb.llm.importance import op11_importance
 from siftweb.llm.mixing import op6_mixing
 from siftweb.llm.near_dedup import op7_near_dedup
 from siftweb.llm.packing import op9_packing
@@ -14,7 +15,7 @@ from siftweb.llm.token_counts import op12_token_counts
 from siftweb.llm.token_store import op2_token_store
 from siftweb.llm.url_rules import op1_url_rules
 
-QUERIES = {q.__name__: q for q in (op1_url_rules, op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op6_mixing, op7_near_dedup, op8_secret_scan, op9_packing, op10_fingerprints, op12_token_counts)}
+QUERIES = {q.__name__: q for q in (op1_url_rules, op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op6_mixing, op7_near_dedup, op8_secret_scan, op9_packing, op10_fingerprints, op11_importance, op12_token_counts)}
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -26,4 +27,38 @@ ranked AS (
            count(*) OVER (PARTITION BY body) AS group_size, sha256(body) AS text_sha256
     FROM normal)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
+    "op11_importance": r"""
+WITH crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS steps
+    FROM (SELECT unnest(range(256)) AS i)),
+texts AS (SELECT doc_id, text, TRUE AS own FROM documents UNION ALL SELECT item_id, text, FALSE FROM benchmark),
+worded AS (
+    SELECT doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM texts),
+spelled AS (SELECT DISTINCT unnest(words) AS word FROM worded),
+coded AS (
+    SELECT word, hex(encode(word)) AS digits FROM spelled),
+hashed AS (
+    SELECT word, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(length(digits) // 2), lambda i:
+            CAST(16 * (instr('0123456789ABCDEF', substr(digits, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(digits, 2 * i + 2, 1)) - 1 AS BIGINT))),
+        lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1]))) % 10000 AS bucket
+    FROM coded, crc_table),
+counted AS (SELECT w.own, h.bucket, count(*) AS n FROM (SELECT own, unnest(words) AS word FROM worded) w JOIN hashed h USING (word) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (own), 0) AS s_all, coalesce(sum(n) FILTER (NOT own), 0) AS t_all FROM counted),
+gains AS (
+    SELECT b.bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((coalesce(s.n, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM (SELECT unnest(range(10000)) AS bucket) b CROSS JOIN totals
+    LEFT JOIN counted s ON s.bucket = b.bucket AND s.own LEFT JOIN counted t ON t.bucket = b.bucket AND NOT t.own),
+weighted AS (
+    SELECT w.doc_id, count(h.bucket) AS n_features, coalesce(floor(sum(g.gain)::DOUBLE / count(g.gain))::BIGINT, 0) AS weight
+    FROM (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [NULL] ELSE words END) AS word FROM worded WHERE own) w
+    LEFT JOIN hashed h ON h.word = w.word LEFT JOIN gains g ON g.bucket = h.bucket GROUP BY w.doc_id),
+scored AS (
+    SELECT doc_id, n_features, weight,
+           weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM weighted),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM placed""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftweb.session import checkpoint_root
@@ -49,3 +49,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def drop_own(df: DataFrame, names) -> DataFrame:
     """Drop the columns an operator is about to add, so that clashing extra columns are replaced."""
     return df.drop(*[c for c in df.columns if c in set(names)])
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that no column of ``df`` bears, whatever the case: the wanted ones, with a number behind where they are taken."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        number, one = 0, name
+        while one.lower() in taken:
+            number, one = number + 1, f"{name}{number}"
+        taken.add(one.lower())
+        found.append(one)
+    return found
+
+
+def ranked(rows: DataFrame, order: list[Column], out: str, name: str) -> DataFrame:
+    """``rows`` with their number from 1 on in a total ``order``, as a written table sorted by it.
+
+    Rows are dealt by ranges of ``order`` and numbered in their range; the ranges' sizes, one number each, are added.
+    """
+    at, shard, base = free_names(rows, "_at", "_shard", "_base")
+    table = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), name)
+    table = table.withColumns({shard: F.shiftright(at, 33), at: F.col(at).bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    bases = table.groupBy(shard).agg(F.count(F.lit(1)).alias(base)).select(shard, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    return table.join(F.broadcast(bases), shard).withColumn(out, (F.col(base) + F.col(at) + 1).cast("long")).drop(at, shard, base)  # one row per written file
