@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftweb.llm.collocations import op13_collocations
 from siftweb.llm.exact_dedup import op3_exact_dedup
 from siftweb.llm.fingerprints import op10_fingerprints
 from siftweb.llm.importance import op11_importance
@@ -15,7 +16,7 @@ from siftweb.llm.token_counts import op12_token_counts
 from siftweb.llm.token_store import op2_token_store
 from siftweb.llm.url_rules import op1_url_rules
 
-QUERIES = {q.__name__: q for q in (op1_url_rules, op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op6_mixing, op7_near_dedup, op8_secret_scan, op9_packing, op10_fingerprints, op11_importance, op12_token_counts)}
+QUERIES = {q.__name__: q for q in (op1_url_rules, op2_token_store, op3_exact_dedup, op4_pii, op5_quality, op6_mixing, op7_near_dedup, op8_secret_scan, op9_packing, op10_fingerprints, op11_importance, op12_token_counts, op13_collocations)}
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -61,4 +62,32 @@ scored AS (
     FROM weighted),
 placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM placed""",
+    "op13_collocations": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang),
+runs AS (
+    SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS at
+    FROM worded CROSS JOIN (SELECT unnest(range(1, 6)) AS size) WHERE len(words) >= size),
+counted AS (
+    SELECT lang, size, array_to_string(words[at:at + size - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+longer AS (
+    SELECT lang, part, max(f) AS f
+    FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:size - 1], ' '), array_to_string(string_split(phrase, ' ')[2:size], ' ')]) AS part
+          FROM counted WHERE size > 2) GROUP BY ALL),
+candidates AS (
+    SELECT c.lang, c.size, c.phrase, c.f AS a FROM counted c LEFT JOIN longer o ON o.lang = c.lang AND o.part = c.phrase
+    WHERE c.size > 1 AND NOT coalesce(100 * o.f >= 100 * c.f, FALSE)),
+cuts AS (
+    SELECT lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS first_part, array_to_string(string_split(phrase, ' ')[cut + 1:size], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS cut FROM candidates)),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, c.cut, ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.first_part JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
