@@ -50,9 +50,18 @@ def top_findings(spark, folder):
     return policy.top_findings(_hits(spark, folder)).select("uid", "page_url", "category", "confidence")
 
 
+_BY_RANK = ("lead", "page_index", "clause_index")
+
+
 def candidate_batches(spark, folder):
     best = policy.top_candidates(_hits(spark, folder))
-    return policy.chunk_by_budget(best.withColumn("rank", F.struct(-F.col("confidence"), F.col("page_index"), F.col("clause_index"))), budget=1500)
+    return policy.chunk_by_budget(best.withColumn("lead", -F.col("confidence")), budget=1500, order=_BY_RANK)
+
+
+def hit_batches(spark, folder):
+    """Batches of every clause with a hit."""
+    best = policy.best_per_clause(_hits(spark, folder))
+    return policy.chunk_by_budget(best.withColumn("lead", -F.col("confidence")), order=_BY_RANK)
 
 
 def finding_titles(spark, folder):
@@ -150,7 +159,7 @@ def failures(spark, folder):
 
 QUERIES = {
     "lexicon_scores": lexicon_scores, "category_stats": category_stats, "top_candidates": top_candidates, "top_findings": top_findings,
-    "candidate_batches": candidate_batches, "finding_titles": finding_titles, "clauses": clauses, "clause_totals": clause_totals,
+    "candidate_batches": candidate_batches, "hit_batches": hit_batches, "finding_titles": finding_titles, "clauses": clauses, "clause_totals": clause_totals,
     "refinements": refinements, "refinement_guard": refinement_guard, "verdict_redaction": verdict_redaction,
     "robots_check": robots_check, "robots_rules": robots_rules, "legal_seeds": legal_seeds, "failures": failures,
 }
@@ -206,6 +215,20 @@ _HITS = f"""
     "@FLAGS@", f"{_any(lexicon.PROHIBITION_HINTS)} AS pro, {_any(lexicon.NEGATION_HINTS)} AS neg, {_any(lexicon.PERMISSION_HINTS)} AS per")
 _BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY confidence DESC, cat_pos) AS rn FROM hits) WHERE rn = 1
              ORDER BY confidence DESC, page_index, clause_index LIMIT 30)"""
+
+
+def _batches_sql(source: str, budget: int) -> str:
+    """Batch heads one after the other, each found in the running sums of its own."""
+    return f"""WITH RECURSIVE {_HITS}, {source},
+  o AS MATERIALIZED (SELECT uid, n, size, sum(size) OVER (ORDER BY n) AS total FROM (
+    SELECT uid, row_number() OVER (ORDER BY confidence DESC, page_index, clause_index, uid) AS n, least(length(text), 401) + 80 AS size FROM best)),
+  heads AS (SELECT 1::BIGINT AS n, 0 AS batch WHERE EXISTS (FROM o)
+    UNION ALL SELECT * FROM (SELECT (SELECT min(o.n) FROM o WHERE o.total > h.total - h.size + {budget} AND o.n > h.n) AS n, h.batch + 1 AS batch
+      FROM (SELECT o.*, heads.batch FROM heads JOIN o USING (n)) h) WHERE n IS NOT NULL)
+  SELECT uid, batch FROM o ASOF JOIN heads ON o.n >= heads.n"""
+
+
+_ALL_BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY confidence DESC, cat_pos) AS rn FROM hits) WHERE rn = 1)"
 _CAT_ROWS = ", ".join(f"('{c}', '{lexicon.LABELS[c]}')" for c in lexicon.CATEGORIES)
 _REF = f"""
   u AS (SELECT DISTINCT uid, page_index, clause_index, text, page_index + clause_index AS n FROM hits WHERE clause_index % 3 = 0),
@@ -252,6 +275,8 @@ SQL = {
     "category_stats": f"""WITH {_HITS}, c(category, label) AS (VALUES {_CAT_ROWS})
         SELECT c.category, c.label, count(h.uid) AS "count" FROM c LEFT JOIN hits h USING (category) GROUP BY ALL""",
     "top_candidates": f"WITH {_HITS}, {_BEST} SELECT uid, category, confidence FROM best",
+    "candidate_batches": _batches_sql(_BEST, 1500),
+    "hit_batches": _batches_sql(_ALL_BEST, 12_000),
     "top_findings": f"WITH {_HITS} SELECT uid, page_url, category, confidence FROM hits ORDER BY confidence DESC, page_url, clause_index, category LIMIT 200",
     "finding_titles": f"""WITH {_HITS} SELECT uid, category, CASE WHEN page_index % 3 = 0 THEN '' ELSE source || ' ' || lang END AS page_title
         FROM hits JOIN documents ON doc_id = page_index""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftweb.functions import html, lexicon, urls
 from siftweb.functions.urls import bind
+from siftweb.operators.batching import batch_by_budget
 from siftweb.scale import join_by_hot_key, unnest
 
 # ---- robots --------------------------------------------------------------------
@@ -340,28 +341,22 @@ def top_findings(hits: DataFrame, n: int = lexicon.MAX_FINDINGS, url: str = "pag
 
 def top_candidates(hits: DataFrame, n: int = 30) -> DataFrame:
     """Best hit per clause (first category on ties), then the n best of all."""
+    return best_per_clause(hits).orderBy(F.col("confidence").desc(), "page_index", "clause_index").limit(n)
+
+
+def best_per_clause(hits: DataFrame) -> DataFrame:
+    """Best hit of every clause, the first category on ties."""
     order = F.lit(len(lexicon.CATEGORIES))
     for i, c in enumerate(lexicon.CATEGORIES):
         order = F.when(F.col("category") == c, i).otherwise(order)
     per_uid = Window.partitionBy("uid").orderBy(F.col("confidence").desc(), order)
-    best = hits.withColumn("_n", F.row_number().over(per_uid)).filter(F.col("_n") == 1).drop("_n")
-    return best.orderBy(F.col("confidence").desc(), "page_index", "clause_index").limit(n)
+    return hits.withColumn("_n", F.row_number().over(per_uid)).filter(F.col("_n") == 1).drop("_n")
 
 
 def chunk_by_budget(candidates: DataFrame, budget: int = 12_000, clip: int = 400, order=("rank",)) -> DataFrame:
-    """Greedy batches of the few candidates: a new one starts when the next would pass the budget."""
-    size = F.least(F.length("text"), F.lit(clip + 1)) + 80
-    listed = candidates.agg(F.array_sort(F.collect_list(F.struct(*order, "uid", size.alias("size")))).alias("all"))
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("batch"),
-                     F.array().cast("array<struct<uid:string,batch:int>>").alias("out"))
-
-    def step(state: Column, c: Column) -> Column:
-        fresh = (state["used"] > 0) & (state["used"] + c["size"] > budget)
-        batch = state["batch"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(F.when(fresh, c["size"]).otherwise(state["used"] + c["size"]).alias("used"), batch.alias("batch"),
-                        F.array_append(state["out"], F.struct(c["uid"].alias("uid"), batch.alias("batch"))).alias("out"))
-
-    return listed.select(F.inline(F.aggregate("all", start, step)["out"]))
+    """Greedy batches (uid, batch) of any number of candidates: a new one starts when the next would pass the budget."""
+    size = F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(clip + 1)) + 80
+    return batch_by_budget(candidates, [*map(F.col, order), F.col("uid")], size, budget, "uid")
 
 
 def category_stats(hits: DataFrame) -> DataFrame:

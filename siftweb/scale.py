@@ -59,6 +59,17 @@ def number_all(df: DataFrame, order: Sequence[Column | str], block: Column, out:
     return number_in_groups(df.withColumn("_all", F.lit(0)), ["_all"], order, block, out).drop("_all")
 
 
+def numbered_by_range(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """0-based number in a total ``order``: rows are dealt by ranges of it, numbered in their range, and the ranges' sizes, one number each, are added."""
+    from siftweb.session import cut_lineage
+
+    table = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    table = table.withColumns({"_shard": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = table.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).select("_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return table.join(F.broadcast(bases), "_shard").withColumn(out, F.col("_base") + F.col("_at")).drop("_shard", "_at", "_base")  # one row per range
+
+
 def _split_join(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, spread: Column) -> DataFrame:
     values = [c for c in table.columns if c != key]
     marked = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))),
