@@ -70,10 +70,10 @@ WITH pieces AS (
 worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
 totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang),
 runs AS (
-    SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS at
+    SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS first_word
     FROM worded CROSS JOIN (SELECT unnest(range(1, 6)) AS size) WHERE len(words) >= size),
 counted AS (
-    SELECT lang, size, array_to_string(words[at:at + size - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+    SELECT lang, size, array_to_string(words[first_word:first_word + size - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
 longer AS (
     SELECT lang, part, max(f) AS f
     FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:size - 1], ' '), array_to_string(string_split(phrase, ' ')[2:size], ' ')]) AS part
