@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from siftweb.llm.common import keep, ranked, text_of
 
+#: bits of the sieve that stands before a join with frequent items: 4 MB when broadcast, whatever the input
+SIEVE = 1 << 24
 #: words of a block, ids on a side of a tile, tiles on a side of the square that is counted densely, pairs that make a tile dense
-BLOCK, SIDE, SQUARE, DENSE = 1 << 20, 512, 8, 1 << 13
+BLOCK, SIDE, SQUARE, DENSE = 1 << 21, 512, 8, 1 << 13
 #: least frequency, longest phrase, percent of a phrase's occurrences inside a longer one that drop it, rows per language
 LEAST, LONGEST, INSIDE, TOP = 100, 5, 100, 2000
 
@@ -157,12 +159,25 @@ def _frequent(items: DataFrame, keys: list[str], least: int, name: str) -> DataF
     return keep(found.withColumn("id", F.col("id") - 1), name)
 
 
+def _sifted(items: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """The items whose key's bit is set among those of ``ids``: all frequent ones and few others, without a shuffle.
+
+    The bits lie in SIEVE / 64 cells at most, so the broadcast has a fixed bound; a full sieve would let everything pass.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(SIEVE))
+    cell, place = F.shiftright(bit, 6).alias("_cell"), F.pmod(bit, F.lit(64)).cast("int")
+    mask = F.expr("bit_or(shiftleft(1L, _place))")
+    cells = keep(ids.select(cell, place.alias("_place")).groupBy("_cell").agg(mask.alias("_bits")), "sieve")
+    marked = items.withColumns({"_cell": F.shiftright(bit, 6), "_place": place}).join(F.broadcast(cells), "_cell")
+    return marked.filter(F.expr("shiftrightunsigned(_bits, _place) & 1") == 1).drop("_cell", "_place", "_bits")
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f, left, right, id) of all phrases with at least ``least`` occurrences, and (lang, n) with the words of each language.
 
     ``id`` numbers the phrases of one size; ``left`` and ``right`` are the ids of the phrase without its last and its first word.
-    Every block's distinct items meet the global counts by a shuffle, once per block however often they occur in it; the
-    blocks' sequences and the ids of their items meet by block.
+    Every block's distinct items are counted by a shuffle, one row per block however often they occur in it; those that pass a
+    sieve of the frequent ones meet the ids by another; the blocks' sequences and the ids of their items meet by block.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("_text"))
     level = keep(rows.mapInArrow(_words, _WORDS), "words")
@@ -173,7 +188,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     phrases = [ids.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f", none.alias("left"), none.alias("right"), "id", F.col("word").alias("last"))]
     keys = ["lang", "word"]
     for size in range(2, longest + 1):
-        named = items.select("block", "local", *keys).join(ids.select("id", *keys), keys).select(F.col("block").alias("of"), "local", "id")
+        named = _sifted(items.select("block", "local", *keys), ids, keys).join(ids.select("id", *keys), keys).select(F.col("block").alias("of"), "local", "id")
         blocks = level.filter(F.col("seq").isNotNull()).select("block", "seq")
         level = keep(blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_pairs, _PAIRS), f"pairs{size}")
         items, keys = level.filter(F.col("local").isNotNull()), ["left", "right"]
