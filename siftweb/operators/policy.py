@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftweb.functions import html, lexicon, urls
+from siftweb.functions.multimatch import WordIndex, required_words
 from siftweb.functions.urls import bind
 from siftweb.operators.batching import batch_by_budget
 from siftweb.scale import join_by_hot_key, unnest
@@ -280,55 +282,81 @@ def context_flags(df: DataFrame, low: str = "_low") -> DataFrame:
     out = (df.withColumn("prohibition", any_of(text, lexicon.PROHIBITION_HINTS))
            .withColumn("negation", any_of(text, lexicon.NEGATION_HINTS))
            .withColumn("permission", any_of(text, lexicon.PERMISSION_HINTS)))
-    return out.withColumn("context_note", F.when(F.col("negation"), lexicon.NOTE_NEGATION)
-                          .when(F.col("permission") & ~F.col("prohibition"), lexicon.NOTE_PERMISSION)
-                          .when(F.col("prohibition"), lexicon.NOTE_PROHIBITION).otherwise(""))
+    return out.withColumn("context_note", _context_note())
 
 
-def _weighted(weight: int):
-    return lambda term: F.struct(term["label"].alias("label"), F.lit(weight).alias("weight"))
+def _context_note() -> Column:
+    return (F.when(F.col("negation"), lexicon.NOTE_NEGATION).when(F.col("permission") & ~F.col("prohibition"), lexicon.NOTE_PERMISSION)
+            .when(F.col("prohibition"), lexicon.NOTE_PROHIBITION).otherwise(""))
 
 
-def _matches(category: str, terms: dict, patterns: dict) -> Column:
-    """Array of struct(label, weight) of one category in evidence order."""
-    text, low = F.col("text"), F.col("_low")
-    weigh = lambda label, weight: F.struct(F.lit(label).alias("label"), F.lit(weight).alias("weight"))
-    parts = [F.array(*[F.when(text.rlike(p), weigh(label, w)) for p, w, label in patterns.get(category, [])])] \
-        if patterns.get(category) else []
-    for strength, weight in (("strong", lexicon.STRONG_WEIGHT), ("weak", lexicon.WEAK_WEIGHT)):
-        words = terms.get(category, {}).get(strength, [])
-        if words:  # one expression for the whole list, in its order
-            listed = F.filter(F.array(*map(_guarded, words)), lambda t: _found(low, t))
-            parts.append(F.transform(listed, _weighted(weight)))
-    return F.filter(F.concat(*parts), lambda m: m.isNotNull())
+#: numbers of the context flags in the index
+_FLAGS = {"prohibition": (-1, lexicon.PROHIBITION_HINTS), "negation": (-2, lexicon.NEGATION_HINTS), "permission": (-3, lexicon.PERMISSION_HINTS)}
+
+
+def _lexicon_index(known: list[str], terms: dict, patterns: dict) -> tuple[WordIndex, list[dict], list[tuple[int, str, bool]]]:
+    """Index over terms, hints and the words that the patterns need; the items in evidence order; the patterns as (item, pattern, always tried)."""
+    words: dict[str, list[int]] = {}
+    items: list[dict] = []
+    tried = []
+    for at, category in enumerate(known):
+        for pattern, weight, label in patterns.get(category, []):
+            needed = required_words(pattern)
+            for word in needed or ():
+                words.setdefault(word, []).append(len(items))
+            tried.append((len(items), pattern, not needed))
+            items.append({"at": at, "label": label, "weight": weight, "low": None, "cut": None, "markers": []})
+        for strength, weight in (("strong", lexicon.STRONG_WEIGHT), ("weak", lexicon.WEAK_WEIGHT)):
+            for term in terms.get(category, {}).get(strength, []):
+                low = term.lower()
+                words.setdefault(low, []).append(len(items))
+                items.append({"at": at, "label": term, "weight": weight, "low": low, "cut": re.escape(low), "markers": list(lexicon.markers_of(low))})
+    for number, hints in _FLAGS.values():
+        for hint in hints:
+            words.setdefault(hint.lower(), []).append(number)
+    return WordIndex(words), items, tried
+
+
+_ITEM = "struct<at:int,label:string,weight:int,low:string,cut:string,markers:array<string>>"
 
 
 def score_clauses(clauses: DataFrame, terms: dict | None = None, patterns: dict | None = None,
                   min_confidence: float = lexicon.MIN_CONFIDENCE) -> DataFrame:
     """One row per (clause, category) that reaches the threshold.
 
-    The lexicon is plan-time data, so every clause is scored inside its row: no join, no shuffle.
+    The lexicon is plan-time data, so every clause is scored inside its row: no join, no shuffle. One pass over the clause
+    proposes terms, hints and patterns by an index; only proposed terms that have markers and proposed patterns are tested further.
     Weights are integers; the factors 1.18, 0.55 and 0.85 scale them to millionths, rounded once.
     """
     terms = lexicon.TERMS if terms is None else terms
     patterns = lexicon.PATTERNS if patterns is None else patterns
     known = [c for c in lexicon.CATEGORIES if c in terms or c in patterns]
-    flagged = context_flags(clauses.withColumn("_low", F.lower("text")))
-    matched = flagged.select("*", *[_matches(c, terms, patterns).alias(f"_m_{c}") for c in known])
-    per = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(lexicon.REVIEW_HINTS[c]).alias("review_hint"),
-                             F.col(f"_m_{c}").alias("found")) for c in known])
-    rows = unnest(matched.drop("_low"), [*clauses.columns, "prohibition", "negation", "permission", "context_note"],
-                  F.filter(per, lambda p: F.size(p["found"]) > 0), "h")
+    index, items, tried = _lexicon_index(known, terms, patterns)
+    table = F.from_json(F.lit(json.dumps(items, ensure_ascii=False)), f"array<{_ITEM}>")
+    proposed = clauses.withColumn("_low", F.lower("text")).withColumn("_ids", index.proposed(F.col("_low")))
+    flagged = proposed.withColumns({name: F.array_contains("_ids", number) for name, (number, _) in _FLAGS.items()})
+    flagged = flagged.withColumn("context_note", _context_note())
+    certain = lambda i: bind(F.get(table, i), lambda t: (i >= 0) & t["low"].isNotNull() & _found(F.col("_low"), t))
+    by_pattern = [F.when((F.lit(always) | F.array_contains("_ids", i)) & F.col("text").rlike(p), F.lit(i)) for i, p, always in tried]
+    hits = F.filter("_ids", certain)
+    if by_pattern:
+        hits = F.array_sort(F.concat(hits, F.array_compact(F.array(*by_pattern))))
+    evidence = F.transform(hits, lambda i: bind(F.get(table, i), lambda t: F.struct(t["at"].alias("at"), t["label"].alias("label"), t["weight"].alias("weight"))))
+    matched = flagged.withColumn("_found", evidence)
+    per = F.transform(F.array_distinct(F.transform("_found", lambda e: e["at"])),
+                      lambda at: F.struct(at.alias("at"), F.filter("_found", lambda e: e["at"] == at).alias("found")))
+    rows = unnest(matched, [*clauses.columns, "prohibition", "negation", "permission", "context_note"], per, "h")
     cents = F.least(F.aggregate("h.found", F.lit(0), lambda acc, m: acc + m["weight"]), F.lit(100))
     # three integer factors of hundredths: the product is in millionths
     boosted = F.when(F.col("prohibition"), F.least(cents * lexicon.PROHIBITION_FACTOR, F.lit(10_000))).otherwise(cents * 100)
     factor = F.when(F.col("negation"), lexicon.NEGATION_FACTOR).when(F.col("permission"), lexicon.PERMISSION_FACTOR).otherwise(100)
     scored = rows.withColumn("_millionths", (boosted * factor).cast("long"))
+    name = lambda values: F.get(F.array(*map(F.lit, values)), F.col("h.at"))
     return (scored.filter(F.col("_millionths") >= round(min_confidence * 1_000_000))
-            .select(*clauses.columns, F.col("h.category").alias("category"),
+            .select(*clauses.columns, name(known).alias("category"),
                     F.array_join(F.transform(F.slice("h.found", 1, lexicon.MAX_EVIDENCE), lambda m: m["label"]), "、").alias("matched_terms"),
                     (F.floor((F.col("_millionths") + 500) / 1000) / 1000).cast("double").alias("confidence"),
-                    "context_note", F.col("h.review_hint").alias("review_hint")))
+                    "context_note", name([lexicon.REVIEW_HINTS[c] for c in known]).alias("review_hint")))
 
 
 def confidence_band(confidence: Column) -> Column:
