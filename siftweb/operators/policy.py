@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftweb.functions import html, lexicon, urls
+from siftweb.functions.fold import scan
 from siftweb.functions.multimatch import WordIndex, required_words
 from siftweb.functions.urls import bind
 from siftweb.operators.batching import batch_by_budget
@@ -116,7 +117,6 @@ HEADING = (r"^(?:第\s*[一二三四五六七八九十百零两\d]+\s*[条章节
            r"\d+(?:\.\d+)*\s*[、\.]?\s|(?i:article|section|clause|appendix|schedule)\s+\d+|[（(]\s*[一二三四五六七八九十\d]+\s*[)）])")
 SENTENCE_CUT = r"""(?<=[。！？!?])(?![。！？!?])|(?<=[A-Za-z0-9%)"'’”]\.)(?=\s|$)"""
 HEADING_MAX, SHORT_HEADING_MAX, PREFIX_MAX = 48, 24, 30
-_SPANS = "array<struct<s:int,e:int>>"
 
 
 def looks_like_heading(line: Column) -> Column:
@@ -135,94 +135,99 @@ def heading_prefix(line: Column) -> Column:
     return F.when(line.rlike(HEADING), urls.trimmed(text)).otherwise("")
 
 
-def _span(start: Column, end: Column) -> Column:
-    return F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))
+def _blank_lead(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
 
 
-def sentence_spans(line: Column) -> Column:
-    """Trimmed sentence ranges of a line, zero based, end exclusive."""
-    pieces = F.split(line, SENTENCE_CUT)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+_SENTENCE = "struct<s:int,e:int,i:int,j:int>"
 
-    def step(state: Column, piece: Column) -> Column:
-        lead = F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
-        body = F.length(urls.trimmed(piece))
-        begin = state["at"] + lead
-        return F.struct((state["at"] + F.length(piece)).alias("at"), F.when(
-            body > 0, F.array_append(state["out"], _span(begin, begin + body))).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(pieces, start, step)["out"]
+def sentence_spans(pieces: Column) -> Column:
+    """Trimmed ranges (s, e) of a line's sentences ``pieces``, zero based, end exclusive, each with the number of its piece as i and j."""
+    measured = F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("n"), _blank_lead(p).alias("lead"), F.length(urls.trimmed(p)).alias("body"), i.alias("i")))
+    placed = scan(measured, F.lit(0), lambda at, p: at + p["n"], "struct<item:struct<n:int,lead:int,body:int,i:int>,state:int>")
+    spans = F.transform(placed, lambda p: F.struct((p["state"] + p["item"]["lead"]).alias("s"), (p["state"] + p["item"]["lead"] + p["item"]["body"]).alias("e"),
+                                                   p["item"]["i"].alias("i"), p["item"]["i"].alias("j")))
+    return F.filter(spans, lambda s: s["e"] > s["s"])
 
 
 def merge_spans(spans: Column) -> Column:
     """Sentences joined until a range holds 80 characters; a tail under 8 joins the range before it."""
-    start = F.struct(F.lit(-1).alias("open"), F.lit(0).alias("end"), F.array().cast(_SPANS).alias("out"))
+    state = "struct<s:int,i:int>"  # first character and piece of the open range, -1 for none
+    none = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("i"))
+    begin = lambda open_, span: F.when(open_["s"] < 0, F.struct(span["s"].alias("s"), span["i"].alias("i"))).otherwise(open_)
+    full = lambda first, span: span["e"] - first["s"] >= lexicon.TARGET_CLAUSE_CHARS
+    ranges = scan(spans, none.cast(state), lambda open_, span: bind(begin(open_, span), lambda b: F.when(full(b, span), none.cast(state)).otherwise(b)),
+                  f"struct<item:{_SENTENCE},state:{state}>")
+    joined = F.transform(ranges, lambda r: bind(begin(r["state"], r["item"]), lambda b: F.struct(
+        full(b, r["item"]).alias("full"), F.struct(b["s"].alias("s"), r["item"]["e"].alias("e"), b["i"].alias("i"), r["item"]["j"].alias("j")).alias("span"))))
 
-    def step(state: Column, span: Column) -> Column:
-        begin = F.when(state["open"] < 0, span["s"]).otherwise(state["open"])
-        full = span["e"] - begin >= lexicon.TARGET_CLAUSE_CHARS
-        return F.struct(F.when(full, -1).otherwise(begin).alias("open"), span["e"].alias("end"),
-                        F.when(full, F.array_append(state["out"], _span(begin, span["e"]))).otherwise(state["out"]).alias("out"))
+    def finish(all_: Column) -> Column:
+        closed = F.transform(F.filter(all_, lambda r: r["full"]), lambda r: r["span"])
+        last = F.get(all_, F.size(all_) - 1)
 
-    def finish(state: Column) -> Column:
-        n = F.size(state["out"])
-        tiny = (state["end"] - state["open"] < lexicon.MIN_CLAUSE_CHARS) & (n > 0)
-        stretched = F.array_append(F.slice(state["out"], 1, F.greatest(n - 1, F.lit(0))), _span(F.element_at(state["out"], -1)["s"], state["end"]))
-        return (F.when(state["open"] < 0, state["out"])
-                .when(tiny, stretched).otherwise(F.array_append(state["out"], _span(state["open"], state["end"]))))
+        def with_tail(done: Column) -> Column:
+            n = F.size(done)
+            tail, before = last["span"], F.get(done, n - 1)
+            tiny = (tail["e"] - tail["s"] < lexicon.MIN_CLAUSE_CHARS) & (n > 0)
+            stretched = F.struct(before["s"].alias("s"), tail["e"].alias("e"), before["i"].alias("i"), tail["j"].alias("j"))
+            return (F.when((F.size(all_) == 0) | last["full"], done).when(tiny, F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(stretched)))
+                    .otherwise(F.concat(done, F.array(tail))))
 
-    return bind(F.aggregate(spans, start, step), finish)
+        return bind(closed, with_tail)
 
+    return bind(joined, finish)
 
-def split_long(span: Column, line: Column) -> Column:
-    """Ranges of 1500 characters at most, cut at the last blank of the second half where there is one."""
-    top, half = lexicon.MAX_CLAUSE_CHARS, lexicon.MAX_CLAUSE_CHARS // 2
-    start = F.struct(span["s"].alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(state: Column, _: Column) -> Column:
-        window = F.substring(line, state["at"] + half + 1, F.lit(half))
-        back = F.locate(" ", F.reverse(window))
-        cut = state["at"] + F.when(back > 0, half + F.length(window) - back).otherwise(top)
+#: pieces of an overlong range: up to its limit, cut at the last blank of the second half where there is one; blanks behind a piece are skipped
+_LONG = (rf"(?sU)\G((?=.{{{lexicon.MAX_CLAUSE_CHARS + 1}}})(?:.{{{lexicon.MAX_CLAUSE_CHARS // 2},{lexicon.MAX_CLAUSE_CHARS - 1}}}(?= )|.{{{lexicon.MAX_CLAUSE_CHARS}}})"
+         rf"|(?!.{{{lexicon.MAX_CLAUSE_CHARS + 1}}}).+)\s*")
 
-        def advance(c: Column) -> Column:
-            rest = F.substring(line, c + 1, span["e"] - c)
-            skipped = F.length(rest) - F.length(F.regexp_replace(rest, r"(?U)^\s+", ""))
-            return F.struct((c + skipped).cast("int").alias("at"), F.array_append(state["out"], _span(state["at"], c)).alias("out"))
 
-        return F.when(span["e"] - state["at"] > top, bind(cut, advance)).otherwise(state)
+def split_long(text: Column) -> Column:
+    """(at, text) of the parts of one range, each of 1500 characters at most."""
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(_LONG), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(_LONG), F.lit(1)).alias("own"))
+    placed = scan(parts, F.lit(0), lambda at, p: at + F.length(p["whole"]), "struct<item:struct<whole:string,own:string>,state:int>")
+    cut = F.transform(placed, lambda p: F.struct(p["state"].alias("at"), p["item"]["own"].alias("text")))
+    return F.when(F.length(text) > lexicon.MAX_CLAUSE_CHARS, cut).otherwise(F.array(F.struct(F.lit(0).alias("at"), text.alias("text"))))
 
-    rounds = F.sequence(F.lit(1), F.greatest(F.ceil((span["e"] - span["s"]) / half), F.lit(1)).cast("int"))
-    cutted = bind(F.aggregate(rounds, start, step), lambda st: F.when(
-        span["e"] > st["at"], F.array_append(st["out"], _span(st["at"], span["e"]))).otherwise(st["out"]))
-    return F.when(span["e"] - span["s"] > top, cutted).otherwise(F.array(span))
 
+def line_clauses(line: Column) -> Column:
+    """(at, text) of the clauses of one line of running text."""
 
-CLAUSES = "array<struct<text:string,start:int,end:int,heading:string>>"
+    def of_pieces(pieces: Column) -> Column:
+        ranges = F.transform(merge_spans(sentence_spans(pieces)), lambda r: F.struct(
+            r["s"].alias("s"), urls.trimmed(F.call_function("array_join", F.slice(pieces, r["i"] + 1, r["j"] - r["i"] + 1), F.lit(""))).alias("text")))
+        return F.flatten(F.transform(ranges, lambda r: F.transform(split_long(r["text"]), lambda p: F.struct((r["s"] + p["at"]).alias("at"), p["text"].alias("text")))))
+
+    return bind(F.split(line, SENTENCE_CUT), of_pieces)
+
+
+def heading_carry(text: Column) -> Column:
+    """The lines of a text with their offsets and the heading that holds for each: struct<item: struct<line, own, alone>, state: struct<offset, heading>>.
+
+    ``own`` is the heading a line sets, if any, ``alone`` says that the line is nothing else; ``state`` is what holds before the line.
+    """
+    marked = F.transform(F.split(text, "\n"), lambda line: bind(looks_like_heading(line) & (line != ""), lambda alone: F.struct(
+        line.alias("line"), F.when(alone, F.left(line, F.lit(HEADING_MAX))).otherwise(F.nullif(heading_prefix(line), F.lit(""))).alias("own"), alone.alias("alone"))))
+    return scan(marked, F.struct(F.lit(0).alias("offset"), F.lit("").alias("heading")), lambda state, x: F.struct(
+        (state["offset"] + F.length(x["line"]) + 1).alias("offset"), F.coalesce(x["own"], state["heading"]).alias("heading")),
+        "struct<item:struct<line:string,own:string,alone:boolean>,state:struct<offset:int,heading:string>>")
 
 
 def clause_array(text: Column) -> Column:
-    """Clauses of one normalised page text, ``text[start:end]`` being the clause itself."""
-    start = F.struct(F.lit(0).alias("offset"), F.lit("").alias("heading"), F.array().cast(CLAUSES).alias("out"))
-
-    def step(state: Column, line: Column) -> Column:
-        title = F.left(line, F.lit(HEADING_MAX))
-        alone = F.array(F.struct(line.alias("text"), state["offset"].alias("start"),
-                                 (state["offset"] + F.length(line)).alias("end"), title.alias("heading")))
-        after = state["offset"] + F.length(line) + 1
-
-        def sentences(heading: Column) -> Column:
-            spans = F.flatten(F.transform(merge_spans(sentence_spans(line)), lambda s: split_long(s, line)))
-            rows = F.transform(spans, lambda s: F.struct(
-                F.substring(line, s["s"] + 1, s["e"] - s["s"]).alias("text"), (state["offset"] + s["s"]).alias("start"),
-                (state["offset"] + s["e"]).alias("end"), heading.alias("heading")))
-            return F.struct(after.alias("offset"), heading.alias("heading"), F.concat(state["out"], rows).alias("out"))
-
-        carried = bind(heading_prefix(line), lambda p: F.when(p != "", p).otherwise(state["heading"]))
-        return (F.when(line == "", F.struct(after.alias("offset"), state["heading"].alias("heading"), state["out"].alias("out")))
-                .when(looks_like_heading(line), F.struct(after.alias("offset"), title.alias("heading"), F.concat(state["out"], alone).alias("out")))
-                .otherwise(bind(carried, sentences)))
-
-    return F.aggregate(F.split(text, "\n"), start, step)["out"]
+    """Clauses of one normalised page text, ``text[start:end]`` being the clause itself.
+
+    Lines get their offsets and headings in one pass; every line's clauses are an array of their own, joined once.
+    """
+
+    def of_line(x: Column) -> Column:
+        line, heading = x["item"]["line"], F.coalesce(x["item"]["own"], x["state"]["heading"])
+        parts = F.when(x["item"]["alone"], F.array(F.struct(F.lit(0).alias("at"), line.alias("text")))).otherwise(line_clauses(line))
+        return F.when(line == "", F.array().cast("array<struct<text:string,start:int,end:int,heading:string>>")).otherwise(F.transform(parts, lambda p: F.struct(
+            p["text"].alias("text"), (x["state"]["offset"] + p["at"]).alias("start"), (x["state"]["offset"] + p["at"] + F.length(p["text"])).alias("end"), heading.alias("heading"))))
+
+    return F.flatten(F.transform(heading_carry(text), of_line))
 
 
 def segment_clauses(texts: DataFrame, page_index: str = "page_index", text: str = "text", url: str = "page_url") -> DataFrame:
