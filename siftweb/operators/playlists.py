@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftweb.functions import html, urls
+from siftweb.functions.fold import scan
 from siftweb.scale import unnest
 
 ATTRIBUTE = r"""([A-Za-z0-9\-]+)=("[^"]*"|[^,]*)"""
@@ -25,65 +26,81 @@ def _number(text: Column, kind: str) -> Column:
     return F.coalesce(urls.trimmed(text).try_cast(kind), F.lit(0).cast(kind))
 
 
-def hls_summary(lines: DataFrame, key: str) -> DataFrame:
-    """Per playlist: key address, live flag, kind and why it cannot be used ('' when it can)."""
-    method = F.upper(_attribute(F.col("line"), "METHOD"))
-    is_key = F.col("tag") == "#EXT-X-KEY"
-    uri = _attribute(F.col("line"), "URI")
-    used = F.when(is_key & (method != "NONE") & (uri != ""), urls.join_url(F.col("base"), uri))
-    grouped = lines.withColumn("_key", used).withColumn("_method", F.when(is_key, method)).groupBy(key).agg(
-        F.count_distinct("_key").alias("keys"), F.max_by("_key", F.when(F.col("_key").isNotNull(), F.col("n"))).alias("key_uri"),
-        F.max(F.when(F.col("_method").isin("SAMPLE-AES", "SAMPLE-AES-CTR"), F.col("_method"))).alias("unsupported"),
-        (F.count_if(F.col("tag").startswith("#EXT-X-ENDLIST")) == 0).alias("live"),
-        (F.count_if(F.col("tag").startswith("#EXT-X-STREAM-INF")) > 0).alias("is_master"),
-        F.max_by(F.col("line"), F.when(F.col("tag") == "#EXT-X-MAP", F.col("n"))).alias("_map"))
-    error = (F.when(F.col("unsupported").isNotNull(), F.concat(F.lit("该流使用 "), "unsupported", F.lit(" 加密（样本级加密/DRM），本工具不支持")))
-             .when(F.col("keys") > 1, F.concat(F.lit("播放列表内出现 "), F.col("keys").cast("string"), F.lit(" 个不同的密钥（密钥轮换）"))).otherwise(""))
-    return grouped.select(key, F.coalesce("key_uri", F.lit("")).alias("key_uri"), "live", "is_master", error.alias("error"),
-                          F.coalesce(_attribute(F.col("_map"), "URI"), F.lit("")).alias("init_uri"))
-
-
-def hls_segments(lines: DataFrame, key: str) -> DataFrame:
-    """Segments with duration, absolute sequence and byte range.
-
-    All lines of a playlist come out of one text cell, so a playlist is a small window.
-    """
-    upto = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    tag, body = F.col("tag"), F.regexp_replace("line", "^[^:]*:", "")
-    is_segment = ~F.col("line").startswith("#")
-    is_range = tag == "#EXT-X-BYTERANGE"
-    spec = F.when(is_range, urls.trimmed(body))
-    size = F.when(spec.rlike(r"^\d+\s*(?:@\s*\d+\s*)?$"), F.regexp_extract(spec, r"^(\d+)", 1).try_cast("long"))
-    explicit = F.when(size.isNotNull() & spec.contains("@"), F.regexp_extract(spec, r"@\s*(\d+)", 1).try_cast("long"))
-    # a range without offset continues the one before it; an unreadable one starts over at zero
-    anchor = is_range & (explicit.isNotNull() | size.isNull())
-    staged = (lines.withColumns({"_seg": is_segment.cast("long"), "_size": F.when(is_range, F.coalesce(size, F.lit(0))), "_ok": size.isNotNull(),
-                                 "_anchor": anchor.cast("long"), "_from": F.when(anchor, F.coalesce(explicit, F.lit(0))), "_range": is_range,
-                                 "_extinf": F.when(tag == "#EXTINF", _number(F.substring_index(body, ",", 1), "double")),
-                                 "_first": F.when(tag == "#EXT-X-MEDIA-SEQUENCE", _number(body, "long"))})
-              .withColumn("_group", F.coalesce(F.sum("_seg").over(before), F.lit(0)))
-              .withColumn("_chain", F.sum("_anchor").over(upto)))
-    chain = Window.partitionBy(key, "_chain").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    staged = staged.withColumn("_end", F.when(F.col("_range"), F.coalesce(F.max("_from").over(chain), F.lit(0)) + F.sum("_size").over(chain)))
-    own = Window.partitionBy(key, "_group").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.last(F.when(F.col("_range"), F.struct(F.col("_ok").alias("ok"), F.col("_size").alias("size"), F.col("_end").alias("end"))), ignorenulls=True).over(own)
-    staged = (staged.withColumn("_used", used).withColumn("_duration", F.coalesce(F.last("_extinf", ignorenulls=True).over(own), F.lit(0.0)))
-              .withColumn("_base", F.coalesce(F.last("_first", ignorenulls=True).over(upto), F.lit(0))))
-    ranged = F.col("_used.ok")
-    return staged.filter(F.col("_seg") == 1).select(
-        key, urls.join_url(F.col("base"), F.col("line")).alias("segment_url"), F.col("_duration").alias("duration"),
-        (F.col("_base") + F.col("_group")).alias("sequence"), F.when(ranged, F.col("_used.end") - F.col("_used.size")).alias("range_offset"),
-        F.when(ranged, F.col("_used.size")).alias("range_length"))
+def _tagged(text: Column) -> Column:
+    return F.transform(html.lines_of(text), lambda line: F.struct(line.alias("line"), F.upper(F.regexp_extract(line, "^(#[^:]*)", 1)).alias("tag")))
+
+
+def hls_summary(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> DataFrame:
+    """Per playlist: key address, live flag, kind and why it cannot be used ('' when it can); all inside the playlist's row."""
+    with_tag = lambda name: F.filter("_lines", lambda x: x["tag"] == name)
+    keys = F.transform(with_tag("#EXT-X-KEY"), lambda x: F.struct(F.upper(_attribute(x["line"], "METHOD")).alias("method"), _attribute(x["line"], "URI").alias("uri")))
+    used = F.transform(F.filter("_keys", lambda k: (k["method"] != "NONE") & (k["uri"] != "")), lambda k: urls.join_url(F.col(url), k["uri"]))
+    barred = F.array_max(F.filter(F.transform("_keys", lambda k: k["method"]), lambda m: m.isin("SAMPLE-AES", "SAMPLE-AES-CTR")))
+    last = lambda values: F.get(values, F.size(values) - 1)
+    rows = (playlists.select(key, url, _tagged(F.col(text)).alias("_lines")).withColumn("_keys", keys)
+            .withColumns({"_used": used, "_barred": barred, "_map": last(with_tag("#EXT-X-MAP"))["line"]}))
+    different = F.size(F.array_distinct("_used"))
+    error = (F.when(F.col("_barred").isNotNull(), F.concat(F.lit("该流使用 "), "_barred", F.lit(" 加密（样本级加密/DRM），本工具不支持")))
+             .when(different > 1, F.concat(F.lit("播放列表内出现 "), different.cast("string"), F.lit(" 个不同的密钥（密钥轮换）"))).otherwise(""))
+    starts = lambda name: F.exists("_lines", lambda x: F.startswith(x["tag"], F.lit(name)))
+    # a text without lines is no playlist
+    return rows.filter(F.size("_lines") > 0).select(
+        key, F.coalesce(last(F.col("_used")), F.lit("")).alias("key_uri"), (~starts("#EXT-X-ENDLIST")).alias("live"),
+        starts("#EXT-X-STREAM-INF").alias("is_master"), error.alias("error"), F.coalesce(_attribute(F.col("_map"), "URI"), F.lit("")).alias("init_uri"))
+
+
+_LINE = "struct<kind:string,line:string,duration:double,number:bigint,size:bigint,at:bigint>"
+_STATE = "struct<duration:double,base:bigint,passed:bigint,end:bigint,ranged:boolean,size:bigint>"
+
+
+def _hls_line(x: Column) -> Column:
+    """What a line says: a segment, its duration, its byte range or the first sequence number; null for other lines."""
+    body = urls.trimmed(F.regexp_replace(x["line"], "^[^:]*:", ""))
+    fits = body.rlike(r"^\d+\s*(?:@\s*\d+\s*)?$")
+    size = F.when((x["tag"] == "#EXT-X-BYTERANGE") & fits, F.regexp_extract(body, r"^(\d+)", 1).try_cast("long"))
+    at = F.when(size.isNotNull() & F.contains(body, F.lit("@")), F.regexp_extract(body, r"@\s*(\d+)", 1).try_cast("long"))
+    kind = F.when(~F.startswith(x["line"], F.lit("#")), "segment").when(x["tag"].isin("#EXTINF", "#EXT-X-BYTERANGE", "#EXT-X-MEDIA-SEQUENCE"), x["tag"])
+    return F.struct(kind.alias("kind"), x["line"].alias("line"), F.when(x["tag"] == "#EXTINF", _number(F.substring_index(body, ",", 1), "double")).alias("duration"),
+                    F.when(x["tag"] == "#EXT-X-MEDIA-SEQUENCE", _number(body, "long")).alias("number"), size.alias("size"), at.alias("at"))
+
+
+def hls_segment_array(text: Column) -> Column:
+    """Segments of one playlist as written, with duration, absolute sequence and byte range, by one pass over its lines."""
+    lines = F.filter(F.transform(_tagged(text), _hls_line), lambda x: x["kind"].isNotNull())
+    start = F.struct(F.lit(0.0).alias("duration"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("passed"), F.lit(0).cast("long").alias("end"),
+                     F.lit(False).alias("ranged"), F.lit(None).cast("long").alias("size"))
+
+    def step(state: Column, x: Column) -> Column:
+        segment, ranged = x["kind"] == "segment", x["kind"] == "#EXT-X-BYTERANGE"
+        # a range without offset continues the one before it; an unreadable one starts over at zero
+        begin = F.when(x["size"].isNull(), F.lit(0)).otherwise(F.coalesce(x["at"], state["end"]))
+        return F.struct(
+            F.when(segment, 0.0).otherwise(F.coalesce(x["duration"], state["duration"])).alias("duration"), F.coalesce(x["number"], state["base"]).alias("base"),
+            (state["passed"] + segment.cast("long")).alias("passed"), F.when(ranged, begin + F.coalesce(x["size"], F.lit(0))).otherwise(state["end"]).alias("end"),
+            F.when(segment, False).when(ranged, x["size"].isNotNull()).otherwise(state["ranged"]).alias("ranged"),
+            F.when(ranged, x["size"]).otherwise(state["size"]).alias("size"))
+
+    found = F.filter(scan(lines, start, step, f"struct<item:{_LINE},state:{_STATE}>"), lambda r: r["item"]["kind"] == "segment")
+    return F.transform(found, lambda r: F.struct(
+        r["item"]["line"].alias("line"), r["state"]["duration"].alias("duration"), (r["state"]["base"] + r["state"]["passed"]).alias("sequence"),
+        F.when(r["state"]["ranged"], r["state"]["end"] - r["state"]["size"]).alias("range_offset"), F.when(r["state"]["ranged"], r["state"]["size"]).alias("range_length")))
+
+
+def hls_segments(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> DataFrame:
+    """One row per segment; a playlist is read inside its row, so nothing moves."""
+    rows = unnest(playlists, [key, F.col(url).alias("_base")], hls_segment_array(F.col(text)), "s")
+    return rows.select(key, urls.join_url(F.col("_base"), F.col("s.line")).alias("segment_url"), "s.duration", "s.sequence", "s.range_offset", "s.range_length")
 
 
 def parse_hls(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> tuple[DataFrame, DataFrame]:
-    """(summary, segments of the usable playlists); the lines are cut once and read by both."""
-    from siftweb.session import cut_lineage
+    """(summary, segments of the usable playlists). A key names one playlist."""
+    summary = hls_summary(playlists, key, text, url)
+    barred = hls_summary(playlists.withColumn("_whole", F.struct(*playlists.columns)), "_whole", text, url).filter(F.col("error") == "").select("_whole.*")
+    return summary, hls_segments(barred, key, text, url)
 
-    lines = cut_lineage(playlist_lines(playlists, key, text, url))
-    summary = hls_summary(lines, key)
-    return summary, hls_segments(lines, key).join(summary.filter(F.col("error") == "").select(key), key, "left_semi")
+
+def playlist_totals(segments: DataFrame, key: str) -> DataFrame:
+    return segments.groupBy(key).agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum("duration"), 3).alias("total_duration"))
 
 
 def resolution_pixels(resolution: Column) -> Column:
@@ -110,10 +127,6 @@ def best_variant(variants: DataFrame, key: str) -> DataFrame:
     return variants.groupBy(key).agg(F.max_by(F.struct("variant_url", "bandwidth", "resolution", "codecs"), rank).alias("v")).select(key, "v.*")
 
 
-def playlist_totals(segments: DataFrame, key: str) -> DataFrame:
-    return segments.groupBy(key).agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum("duration"), 3).alias("total_duration"))
-
-
 # ---- DASH ------------------------------------------------------------------------
 
 _TEMPLATE = ("struct<_media:string,_initialization:string,_startNumber:string,_timescale:string,_duration:string,"

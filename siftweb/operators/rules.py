@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftweb.functions import arrow, html, media, urls
+from siftweb.functions.multimatch import required_words
 from siftweb.scale import fits_broadcast, unnest
+from siftweb.session import cut_lineage
 
 #: a rule set is broadcast up to so many rules; a larger one is joined by an ordinary shuffle
 BROADCAST_RULES = 10_000
@@ -16,11 +21,49 @@ def _small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if fits_broadcast(rules, BROADCAST_RULES) else rules
 
 
+#: characters of a key of the rule index; rules that need no such run of characters are tried on every page, so many at once
+KEY, TOGETHER = 3, 500
+
+
+@F.pandas_udf("array<string>")
+def _needed(patterns: pd.Series) -> pd.Series:
+    """Words of which a matching lower-cased address holds one; null if there are none or one is too short to be a key."""
+    found = patterns.map(required_words)
+    return found.map(lambda ws: sorted(ws) if ws and min(map(len, ws)) >= KEY else None)
+
+
+def _grams(text: Column) -> Column:
+    return F.when(F.length(text) >= KEY, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - KEY + 1), lambda i: F.substring(text, i, F.lit(KEY)))))
+
+
+def _proposed(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page_id, base_url, id) for every rule (id, _p) whose expression may match the page's address.
+
+    Every word that an expression needs is listed under its rarest run of KEY characters; addresses meet the list by
+    their own runs. Rules without such a word go through all pages in groups of TOGETHER, tried inside the row.
+    """
+    needed = rules.withColumn("_w", _needed("_p"))
+    runs = unnest(unnest(needed, ["id"], "_w", "_word").drop("_pos"), ["id", "_word"], _grams(F.col("_word")), "_gram").drop("_pos")
+    common = runs.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    index = (runs.join(common, "_gram").groupBy("id", "_word").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")).select("id", "_gram").distinct())
+    index = cut_lineage(index)
+    found = unnest(pages, ["page_id", "base_url"], _grams(F.lower("base_url")), "_gram").drop("_pos").join(_small(index), "_gram")
+    found = found.select("page_id", "base_url", "id").distinct()
+    rest = needed.filter("_w IS NULL").select("id", "_p")
+    groups = -(-rest.count() // TOGETHER)
+    if not groups:
+        return found
+    listed = rest.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("_group")).agg(F.collect_list(F.struct("id", "_p")).alias("_rules"))
+    each = unnest(pages, ["page_id", "base_url"], F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")), "_group").drop("_pos").join(_small(listed), "_group")
+    hits = F.filter("_rules", lambda r: F.rlike(F.col("base_url"), r["_p"]))
+    return found.unionByName(unnest(each, ["page_id", "base_url"], hits, "r").select("page_id", "base_url", F.col("r.id").alias("id")))
+
+
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page, rule) pairs with score 1.0 domain and expression, 0.9 domain, 0.85 expression; best first per page.
 
-    Domain rules meet hosts through an equi join on the host's parents. Rules without a domain are tested
-    inside the row, as one array of expressions.
+    Domain rules meet hosts through an equi join on the host's parents. Rules without a domain are found by three characters
+    that their expression needs, and only the rules found are tried.
     """
     rules = rules.filter("enabled")
     text = F.regexp_replace(F.lower(F.trim("pattern")), r"^\.+", "")
@@ -32,10 +75,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     by_domain = (family.join(_small(doms), "_parent").filter(~F.col("_below") | (F.col("_host") != F.col("_parent")))
                  .select("page_id", "base_url", "id").distinct().withColumn("_domain", F.lit(True)))
     open_rules = rules.filter((F.coalesce(F.size("match.domain"), F.lit(0)) == 0) & (F.coalesce("match.url_regex", F.lit("")) != ""))
-    listed = open_rules.agg(F.collect_list(F.struct("id", F.col("match.url_regex").alias("p"))).alias("r")).scalar()
-    hits = F.filter(F.col("_rules"), lambda r: F.rlike(F.col("base_url"), r["p"]))
-    by_regex = unnest(pages.select("page_id", "base_url").withColumn("_rules", listed), ["page_id", "base_url"], hits, "r") \
-        .select("page_id", "base_url", F.col("r.id").alias("id"), F.lit(False).alias("_domain"))
+    by_regex = _proposed(pages.select("page_id", "base_url"), open_rules.select("id", F.col("match.url_regex").alias("_p"))).withColumn("_domain", F.lit(False))
     detail = rules.select("id", "priority", F.coalesce("match.url_regex", F.lit("")).alias("_p"), F.coalesce("match.exclude_url_regex", F.lit("")).alias("_x"))
     joined = by_domain.unionByName(by_regex).join(_small(detail), "id")
     regex_hit = (F.col("_p") != "") & F.rlike(F.col("base_url"), F.col("_p"))
@@ -111,8 +151,6 @@ def extract_detail_links(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 _PLUGINS: dict = {}
-#: why plug-ins were left out by the last call of ``plugin_sources``
-PLUGIN_PROBLEMS: dict[str, str] = {}
 
 
 def register_extractor(name: str, priority: int, extract, can_handle=None) -> None:
@@ -120,14 +158,32 @@ def register_extractor(name: str, priority: int, extract, can_handle=None) -> No
     _PLUGINS[name] = (priority, extract, can_handle)
 
 
-def plugin_sources(pages: DataFrame) -> list[DataFrame]:
-    """Media of all plug-ins in priority order; one that cannot be planned is left out and named in PLUGIN_PROBLEMS."""
-    PLUGIN_PROBLEMS.clear()
-    out = []
+def run_plugins(pages: DataFrame) -> tuple[list[DataFrame], dict[str, str]]:
+    """Media of all plug-ins in priority order, and why plug-ins were left out.
+
+    Every plug-in is run and its rows are written before they are handed on, so one that can't be planned and one that fails on some page
+    are both left out and named, and neither stops the others. Errors in the library itself are not plug-in errors and are raised.
+    """
+    out, problems = [], {}
     for name, (priority, extract, can_handle) in sorted(_PLUGINS.items(), key=lambda p: p[1][0]):
+        own = pages if can_handle is None else pages.filter(can_handle)
         try:
-            rows = extract(pages if can_handle is None else pages.filter(can_handle))
-            out.append(rows.withColumn("priority", F.lit(priority)))
-        except Exception as exc:  # noqa: BLE001 - a broken plug-in must not stop the others
-            PLUGIN_PROBLEMS[name] = str(exc)
+            rows = extract(own)
+            if not isinstance(rows, DataFrame):
+                raise TypeError(f"{type(rows).__name__} instead of a DataFrame")
+            out.append(cut_lineage(rows.withColumn("priority", F.lit(priority))))
+        except (PySparkException, Py4JError, ArithmeticError, AttributeError, LookupError, TypeError, ValueError) as exc:
+            problems[name] = str(exc)
+    return out, problems
+
+
+#: why plug-ins were left out by the last call of ``plugin_sources``
+PLUGIN_PROBLEMS: dict[str, str] = {}
+
+
+def plugin_sources(pages: DataFrame) -> list[DataFrame]:
+    """Media of all plug-ins in priority order; the problems of this call are in PLUGIN_PROBLEMS."""
+    out, problems = run_plugins(pages)
+    PLUGIN_PROBLEMS.clear()
+    PLUGIN_PROBLEMS.update(problems)
     return out

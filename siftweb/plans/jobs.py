@@ -19,7 +19,7 @@ from siftweb.session import cut_lineage
 def media_inventory(pages: DataFrame, config: media.MediaConfig, site_rules: DataFrame | None = None,
                     events: DataFrame | None = None) -> dict[str, DataFrame]:
     """Candidates of every extractor -> merged -> deduplicated, filtered, capped, numbered."""
-    sources = rules.plugin_sources(pages)
+    sources, problems = rules.run_plugins(pages)
     if site_rules is not None:
         sources.append(rules.extract_media_rules(pages, site_rules))
     if events is not None:
@@ -36,7 +36,8 @@ def media_inventory(pages: DataFrame, config: media.MediaConfig, site_rules: Dat
     named = items.withColumn("file_name", urls.media_filename(
         F.col("album"), F.col("title"), F.col("index"), F.col("kind"), F.when(F.col("ext") != "", F.col("ext")).otherwise(urls.ext_of(F.col("url"))),
         F.col("url"), config.filename_template))
-    return {"labelled": labelled, "items": named, "stats": media.media_stats(labelled), "samples": media.rejected_samples(labelled)}
+    return {"labelled": labelled, "items": named, "stats": media.media_stats(labelled), "samples": media.rejected_samples(labelled),
+            "plugin_problems": pages.sparkSession.createDataFrame(sorted(problems.items()), "plugin string, problem string")}
 
 
 def crawl_audit(pages: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int = 0, block: Sequence[str] = (), allow: Sequence[str] = (),
