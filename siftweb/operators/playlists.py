@@ -30,25 +30,29 @@ def _tagged(text: Column) -> Column:
     return F.transform(html.lines_of(text), lambda line: F.struct(line.alias("line"), F.upper(F.regexp_extract(line, "^(#[^:]*)", 1)).alias("tag")))
 
 
-def hls_summary(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> DataFrame:
-    """Per playlist: key address, live flag, kind and why it cannot be used ('' when it can); all inside the playlist's row."""
+def _summarised(playlists: DataFrame, key: str, text: str, url: str) -> DataFrame:
+    """Playlists with their tagged lines and what the summary says; all inside the row."""
     with_tag = lambda name: F.filter("_lines", lambda x: x["tag"] == name)
     keys = F.transform(with_tag("#EXT-X-KEY"), lambda x: F.struct(F.upper(_attribute(x["line"], "METHOD")).alias("method"), _attribute(x["line"], "URI").alias("uri")))
-    used = F.transform(F.filter("_keys", lambda k: (k["method"] != "NONE") & (k["uri"] != "")), lambda k: urls.join_url(F.col(url), k["uri"]))
+    used = F.transform(F.filter("_keys", lambda k: (k["method"] != "NONE") & (k["uri"] != "")), lambda k: urls.join_url(F.col("_base"), k["uri"]))
     barred = F.array_max(F.filter(F.transform("_keys", lambda k: k["method"]), lambda m: m.isin("SAMPLE-AES", "SAMPLE-AES-CTR")))
     last = lambda values: F.get(values, F.size(values) - 1)
-    rows = (playlists.select(key, url, _tagged(F.col(text)).alias("_lines")).withColumn("_keys", keys)
-            .withColumns({"_used": used, "_barred": barred, "_map": last(with_tag("#EXT-X-MAP"))["line"]}))
+    rows = (playlists.select(key, F.col(url).alias("_base"), _tagged(F.col(text)).alias("_lines")).withColumn("_keys", keys)
+            .withColumns({"_used": F.when(F.size("_keys") > 0, used).otherwise(F.array().cast("array<string>")), "_barred": barred, "_map": last(with_tag("#EXT-X-MAP"))["line"]}))
     different = F.size(F.array_distinct("_used"))
     error = (F.when(F.col("_barred").isNotNull(), F.concat(F.lit("该流使用 "), "_barred", F.lit(" 加密（样本级加密/DRM），本工具不支持")))
              .when(different > 1, F.concat(F.lit("播放列表内出现 "), different.cast("string"), F.lit(" 个不同的密钥（密钥轮换）"))).otherwise(""))
     starts = lambda name: F.exists("_lines", lambda x: F.startswith(x["tag"], F.lit(name)))
-    # a text without lines is no playlist
-    return rows.filter(F.size("_lines") > 0).select(
-        key, F.coalesce(last(F.col("_used")), F.lit("")).alias("key_uri"), (~starts("#EXT-X-ENDLIST")).alias("live"),
+    return rows.select(
+        key, "_base", "_lines", F.coalesce(last(F.col("_used")), F.lit("")).alias("key_uri"), (~starts("#EXT-X-ENDLIST")).alias("live"),
         starts("#EXT-X-STREAM-INF").alias("is_master"), error.alias("error"), F.coalesce(_attribute(F.col("_map"), "URI"), F.lit("")).alias("init_uri"))
 
 
+def hls_summary(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> DataFrame:
+    """Per playlist: key address, live flag, kind and why it cannot be used ('' when it can). A text without lines is no playlist."""
+    return _summarised(playlists, key, text, url).filter(F.size("_lines") > 0).drop("_base", "_lines")
+
+
 _LINE = "struct<kind:string,line:string,duration:double,number:bigint,size:bigint,at:bigint>"
 _STATE = "struct<duration:double,base:bigint,passed:bigint,end:bigint,ranged:boolean,size:bigint>"
 
@@ -64,9 +68,9 @@ def _hls_line(x: Column) -> Column:
                     F.when(x["tag"] == "#EXT-X-MEDIA-SEQUENCE", _number(body, "long")).alias("number"), size.alias("size"), at.alias("at"))
 
 
-def hls_segment_array(text: Column) -> Column:
-    """Segments of one playlist as written, with duration, absolute sequence and byte range, by one pass over its lines."""
-    lines = F.filter(F.transform(_tagged(text), _hls_line), lambda x: x["kind"].isNotNull())
+def hls_segment_array(tagged: Column) -> Column:
+    """Segments of one playlist's tagged lines as written, with duration, absolute sequence and byte range, by one pass over its lines."""
+    lines = F.filter(F.transform(tagged, _hls_line), lambda x: x["kind"].isNotNull())
     start = F.struct(F.lit(0.0).alias("duration"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("passed"), F.lit(0).cast("long").alias("end"),
                      F.lit(False).alias("ranged"), F.lit(None).cast("long").alias("size"))
 
@@ -86,17 +90,21 @@ def hls_segment_array(text: Column) -> Column:
         F.when(r["state"]["ranged"], r["state"]["end"] - r["state"]["size"]).alias("range_offset"), F.when(r["state"]["ranged"], r["state"]["size"]).alias("range_length")))
 
 
+def _segment_rows(rows: DataFrame, key: str, array: Column) -> DataFrame:
+    segments = unnest(rows, [key, "_base"], array, "s")
+    return segments.select(key, urls.join_url(F.col("_base"), F.col("s.line")).alias("segment_url"), "s.duration", "s.sequence", "s.range_offset", "s.range_length")
+
+
 def hls_segments(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> DataFrame:
     """One row per segment; a playlist is read inside its row, so nothing moves."""
-    rows = unnest(playlists, [key, F.col(url).alias("_base")], hls_segment_array(F.col(text)), "s")
-    return rows.select(key, urls.join_url(F.col("_base"), F.col("s.line")).alias("segment_url"), "s.duration", "s.sequence", "s.range_offset", "s.range_length")
+    return _segment_rows(playlists.select(key, F.col(url).alias("_base"), _tagged(F.col(text)).alias("_lines")), key, hls_segment_array(F.col("_lines")))
 
 
 def parse_hls(playlists: DataFrame, key: str, text: str = "text", url: str = "url") -> tuple[DataFrame, DataFrame]:
-    """(summary, segments of the usable playlists). A key names one playlist."""
-    summary = hls_summary(playlists, key, text, url)
-    barred = hls_summary(playlists.withColumn("_whole", F.struct(*playlists.columns)), "_whole", text, url).filter(F.col("error") == "").select("_whole.*")
-    return summary, hls_segments(barred, key, text, url)
+    """(summary, segments of the usable playlists)."""
+    # a test in front of the array, not a filter, which would be pushed down with a copy of all it needs
+    usable = F.when(F.col("error") == "", hls_segment_array(F.col("_lines")))
+    return hls_summary(playlists, key, text, url), _segment_rows(_summarised(playlists, key, text, url), key, usable)
 
 
 def playlist_totals(segments: DataFrame, key: str) -> DataFrame:
