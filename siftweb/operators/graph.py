@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,31 +113,59 @@ def chain_stop_reason(chain: DataFrame, links: DataFrame, max_pages: int = 0) ->
 def fail_cascade(tasks: DataFrame) -> DataFrame:
     """Failure runs down to pending dependents, on and on: all tasks with their final status.
 
-    ``failed`` here means out of retries. Each round hands the new failures one edge further, to the end; a round
-    writes its own hits only, and an edge that has led to a hit isn't looked at again.
+    ``failed`` here means out of retries. A pending task fails if a failed one can be reached along its dependencies; its cause is
+    the dependency nearest to a failed task, the least of several.
     """
     retryable = (F.col("status") == "failed") & (F.col("retry_count") < F.col("max_retries"))
     state = tasks.withColumns({"status": F.when(retryable, "pending").otherwise(F.col("status")),
                                "retry_count": F.when(retryable, F.col("retry_count") + 1).otherwise(F.col("retry_count"))})
     state = cut_lineage(state)
-    edges = cut_lineage(state.filter(F.col("status") == "pending").select("id", F.explode_outer("depends_on").alias("dep")).filter("dep is not null"))
-    dead = cut_lineage(state.filter(F.col("status") == "failed").select("id"))
-    fresh, rounds = dead, []
-    while True:
-        hit = cut_lineage(edges.join(fresh.select(F.col("id").alias("dep")), "dep").groupBy("id").agg(F.min("dep").alias("cause")))
-        if hit.isEmpty():
-            break
-        rounds.append(hit)
-        edges = cut_lineage(edges.join(hit.select("id"), "id", "left_anti"))
-        fresh = hit.select("id")
-    reached = reduce(DataFrame.unionByName, rounds) if rounds else None
-    if reached is None:
-        return state.withColumn("error", F.lit(""))
+    dead = cut_lineage(state.filter(F.col("status") == "failed").select("id").distinct())
+    pending = state.filter(F.col("status") == "pending")
+    mortal = pending.select(F.col("id").alias("dep")).unionByName(dead.select(F.col("id").alias("dep"))).distinct()
+    edges = cut_lineage(pending.select("id", F.explode_outer("depends_on").alias("dep")).filter("dep is not null").distinct().join(mortal, "dep", "left_semi"))
+    near = distances(edges, dead).select(F.col("id").alias("dep"), "dist")
+    reached = edges.join(near, "dep").groupBy("id").agg(F.min(F.struct("dist", "dep")).alias("least")).select("id", F.col("least.dep").alias("cause"))
     return (state.join(reached, "id", "left")
             .withColumn("error", F.when(F.col("cause").isNotNull(), F.concat(F.lit("依赖任务（任务"), F.col("cause").cast("string"), F.lit("）已失败"))).otherwise(""))
             .withColumn("status", F.when(F.col("cause").isNotNull(), "failed").otherwise(F.col("status"))).drop("cause"))
 
 
+def distances(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, dist): least number of ``edges(id, dep)`` from every node to one of ``targets(id)``, for nodes that reach one.
+
+    Nodes with one edge only pass on: pointer doubling takes each of them to the end of its chain, in as many rounds as the chain's length
+    has binary digits. What is left are the nodes with several edges, whose distances settle in as many rounds as such nodes follow each other.
+    """
+    targets = targets.select("id").distinct()
+    edges = edges.join(targets, "id", "left_anti")  # a target is reached where it stands
+    several = edges.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("dep").alias("to"))
+    chain = cut_lineage(several.filter("_n = 1").select("id", "to", F.lit(1).cast("long").alias("w")))
+    for _ in range(chain.count().bit_length() + 1):
+        ahead = chain.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("w").alias("more"))
+        chain = cut_lineage(chain.join(ahead, "to", "left").select("id", F.coalesce("far", "to").alias("to"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"),
+                                                                   F.col("far").isNotNull().alias("moved")))
+        if chain.filter("moved").isEmpty():
+            break
+        chain = chain.drop("moved")
+    # a chain that still moves runs in a circle
+    ends = chain.select("id", "to", "w").join(chain.select(F.col("id").alias("to")), "to", "left_anti")
+    forks = edges.join(several.filter("_n > 1").select("id"), "id", "left_semi").join(
+        ends.select(F.col("id").alias("dep"), F.col("to").alias("far"), "w"), "dep", "left").select(
+        "id", F.coalesce("far", "dep").alias("to"), (F.coalesce("w", F.lit(0)) + 1).alias("w"))
+    forks = cut_lineage(forks.groupBy("id", "to").agg(F.min("w").alias("w")))
+    known = fresh = cut_lineage(targets.select("id", F.lit(0).cast("long").alias("dist")))
+    while True:
+        found = forks.join(fresh.select(F.col("id").alias("to"), "dist"), "to").groupBy("id").agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        better = found.join(known.select("id", F.col("dist").alias("old")), "id", "left").filter(F.col("old").isNull() | (F.col("dist") < F.col("old")))
+        fresh = cut_lineage(better.select("id", "dist"))
+        if fresh.isEmpty():
+            break
+        known = cut_lineage(known.join(fresh.select("id"), "id", "left_anti").unionByName(fresh))
+    passed = ends.join(known.select(F.col("id").alias("to"), "dist"), "to").select("id", (F.col("dist") + F.col("w")).alias("dist"))
+    return known.unionByName(passed)
+
+
 def ready_tasks(tasks: DataFrame) -> DataFrame:
     """Pending tasks whose every existing dependency is completed; a missing one counts as satisfied."""
     waits = (tasks.filter(F.col("status") == "pending").select("id", F.explode_outer("depends_on").alias("dep")).filter("dep is not null")

@@ -7,6 +7,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from siftweb.functions import arrow, html, media, urls
 from siftweb.functions.multimatch import required_words
@@ -25,7 +26,7 @@ def _small(rules: DataFrame) -> DataFrame:
 KEY, TOGETHER = 3, 500
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _needed(patterns: pd.Series) -> pd.Series:
     """Words of which a matching lower-cased address holds one; null if there are none or one is too short to be a key."""
     found = patterns.map(required_words)
