@@ -6,6 +6,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from siftweb.llm.common import keep, text_of
 from siftweb.llm.word_cache import encoder
 
 CAPACITY = 1024
+#: bytes of shards' numbers that are broadcast at most; ranks of one length that stay together in the shuffle beyond that
+BROADCAST_BYTES, RANKS = 128 << 20, 4096
 
 
 class OpenBins:
@@ -159,37 +162,37 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_blank: bool =
     return keep(rows.mapInArrow(_cut(tokenizer, end_id, keep_blank, capacity, with_ids), schema), "pieces")
 
 
-def _checksums(ids: pa.ListArray) -> pa.Array:
-    flat = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-    ends = 4 * np.cumsum([0, *ids.value_lengths().to_pylist()])
-    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())
+def _numbered(cut: DataFrame, capacity: int, most: int) -> DataFrame:
+    """Add ``_number``, a piece's number among all of its length: the pieces of that length in earlier shards, and its rank in its own."""
+    counts = cut.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = keep(counts.select("shard", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    if bases.select("shard").distinct().count() * capacity * 16 <= most:
+        maps = bases.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("_bases"))  # at most ``capacity`` entries each
+        return cut.join(F.broadcast(maps), "shard").withColumn("_number", F.element_at("_bases", F.col("length")) + F.col("rank")).drop("_bases")
+    # the pieces move, dealt by blocks of ranks, so that a frequent length is no single key
+    blocks = bases.select("shard", "length", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANKS))).alias("_block"))
+    marked = cut.withColumn("_block", F.floor(F.col("rank") / RANKS))
+    return marked.join(blocks, ["shard", "length", "_block"]).withColumn("_number", F.col("base") + F.col("rank")).drop("_block", "base")
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, most: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a written table of pieces, in as few sequences as best-fit decreasing needs.
 
     The driver sees one count per length (at most ``capacity`` numbers) and plans with them. Pieces of a length are numbered
-    over all shards: the shards' counts are summed up per length, which needs one row per shard and length,
-    and the plan turns length and number into a place. Every sequence is filled without gaps from 0.
+    over all shards, and the plan turns length and number into a place. The pieces stay where they were written: a shard's numbers, at most ``capacity``
+    of them, come to it by a broadcast of up to ``most`` bytes; with more shards than that holds, pieces and numbers meet in a shuffle.
+    Every sequence is filled without gaps from 0.
     """
-    counts = cut.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     plan = best_fit({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)
     names = [c for c in cut.columns if c not in ("shard", "rank")]
-    kinds = dict(cut.dtypes)
 
-    def place(batches):
-        for batch in batches:
-            sequence, offset = plan.place(batch.column("length").to_numpy(), batch.column("_number").to_numpy())
-            own = {c: batch.column(c) for c in names}
-            if "ids" in own:
-                own["ids_crc32"] = _checksums(own["ids"])  # of the ids as they are packed
-            yield pa.RecordBatch.from_arrays([*own.values(), pa.array(sequence), pa.array(offset)],
-                                             [*names, "sequence_id", "offset"])
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        sequence, offset = plan.place(length.to_numpy(), number.to_numpy())
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    numbered = cut.join(bases, ["shard", "length"]).select(*names, (F.col("base") + F.col("rank")).alias("_number"))
-    return numbered.mapInArrow(place, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "sequence_id long", "offset long"]))
+    return _numbered(cut, capacity, most).select(*names, place("length", "_number").alias("_place")).select(*names, "_place.sequence_id", "_place.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -203,7 +206,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_blank:
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset.
 
     A null or empty text is the end token alone; repeated rows and null identifiers are packed like others; an empty
-    table gives no pieces. Other columns are ignored. ``with_ids=False`` leaves the ids out once their checksum is taken.
+    table gives no pieces. Other columns are ignored, whatever their names. ``with_ids=False`` leaves the ids out once their checksum is taken.
     """
     return pack(pieces(docs, tokenizer, end_id, keep_blank, capacity, with_ids), capacity)
 

@@ -98,3 +98,21 @@ def test_query_and_pipeline_give_the_packed_ids(spark):
     for packed in (op9_packing(spark, "/root/testdata/sf0.001"), corpus_pipeline.packed(spark, docs, "")):
         rows = packed.collect()
         assert rows and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+
+
+def test_many_shards_meet_their_numbers_in_a_shuffle(spark, monkeypatch):
+    from siftweb.llm import packing
+
+    monkeypatch.setattr(packing, "RANKS", 3)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["the", "of", "x1"], k=rng.choice([3, 3, 3, 40, 3000])))) for i in range(200)], "doc_id long, text string").repartition(9)
+    cut = packing.pieces(docs, FILE)
+    for most in (0, 1 << 30):
+        rows = packing.pack(cut, 1024, most).collect()
+        inside = defaultdict(list)
+        for r in rows:
+            inside[r["sequence_id"]].append((r["offset"], r["length"]))
+            assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        for parts in inside.values():
+            assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]
+        assert len(rows) == cut.count() and len(inside) == len(plain([r["length"] for r in rows], 1024))
