@@ -47,8 +47,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_own(df: DataFrame, names) -> DataFrame:
-    """Drop the columns an operator is about to add, so that clashing extra columns are replaced."""
-    return df.drop(*[c for c in df.columns if c in set(names)])
+    """Drop the columns an operator is about to add, whatever their case, so that clashing extra columns are replaced."""
+    own = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in own])
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftweb.llm.common import keep, text_of
+from siftweb.llm.common import free_names, keep, text_of
 
 #: a digest with more than this share of the rows is frequent; so at most 1/SHARE digests are broadcast
 SHARE = 0.001
@@ -21,8 +21,8 @@ def _facts(docs: DataFrame) -> DataFrame:
 
 def _winners(rows: DataFrame) -> DataFrame:
     """Per digest the row that stays and the group's size; partial sums are formed before the shuffle."""
-    best = F.max(F.struct(F.col("size"), (-F.col("doc_id")).alias("negative")))
-    return rows.groupBy("digest").agg((-best["negative"]).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    best = F.max(F.struct(F.col("size"), F.bitwise_not("doc_id").alias("negative")))
+    return rows.groupBy("digest").agg(F.bitwise_not(best["negative"]).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def _frequent(facts: DataFrame, share: float) -> DataFrame:
@@ -64,20 +64,22 @@ def drop_copies(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns; of repeated rows with one doc_id and text one stays.
 
     Copies of frequent texts go before the shuffle. The other texts move once, by (doc_id, digest),
-    to meet the identifiers of the rows that stay.
+    to meet the identifiers of the rows that stay. A null text counts as empty; a row without doc_id stays only in a group in which no row has
+    one; an empty table gives an empty result; further columns may have any names.
     """
     facts = keep(_facts(docs), "digests")
     frequent = _frequent(facts, share)
     hot, cold = _split(facts, frequent)
     own = F.col("keep_id").eqNullSafe(F.col("doc_id"))
+    keys = free_names(docs, "_id", "_none", "_digest", "_keep")
+    ident, none, digest, chosen = keys
     stay = hot.select(*cold.columns).unionByName(cold).filter(own).select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("digest").alias("_digest"))
-    rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
-                       _digest().alias("_digest"))
-    mapside = rows.join(F.broadcast(frequent.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))), "_digest", "left").filter(
-        F.col("_keep").isNull() | (F.col("_keep") == F.col("_id")))
-    keys = ["_id", "_none", "_digest"]
-    return mapside.dropDuplicates(keys).join(stay, keys, "left_semi").select(*docs.columns)
+        F.coalesce("doc_id", F.lit(0)).alias(ident), F.col("doc_id").isNull().alias(none), F.col("digest").alias(digest))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.withColumns({ident: F.coalesce(doc_id, F.lit(0)), none: doc_id.isNull(), digest: _digest()})
+    mapside = rows.join(F.broadcast(frequent.select(F.col("digest").alias(digest), F.col("keep_id").alias(chosen))), digest, "left").filter(
+        F.col(chosen).isNull() | (F.col(chosen) == F.col(ident)))
+    return mapside.dropDuplicates(keys[:3]).join(stay, keys[:3], "left_semi").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

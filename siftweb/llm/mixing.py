@@ -15,14 +15,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftweb.llm.common import drop_own, keep, text_of
+from siftweb.llm.common import free_names, keep, text_of
 
 #: domains of the labelled table, in the order of the posteriors
 DOMAINS = ("plain", "toxic", "poor")
 #: labelled rows that the classifier uses at most, hashed words, weight of its penalty
 LABELLED, WORDS, PENALTY = 20_000, 1 << 15, 1e-4
-#: pull of every rate towards 1, steps at most, largest miss of a domain's total as a share of all tokens
-PULL, STEPS, MISS = 1e-4, 40, 1e-5
+#: pull of every rate towards 1, largest miss of a domain's total as a share of all tokens, change of the totals at which the loop stalls
+PULL, MISS, STALL = 1e-4, 1e-5, 1e-7
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -78,7 +78,7 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float], hold: str | None =
     Minimises (S - T)' G^-1 (S - T) + PULL * sum(tokens * (rate - 1)^2) over rates >= 0 (and <= ``most``), where
     S are the expected token totals sum(tokens * rate * posterior), T the targets and G = sum(tokens * posterior * posterior').
     In the metric of the tokens the first term's curvature is 0 or 1, so a step of 1 / (1 + PULL) is the best
-    one and few are needed; momentum helps where the targets can't be met. A step is one aggregate over the
+    one and few are needed; momentum helps where the targets can't be met. Steps go on until the targets are met or the totals stall. A step is one aggregate over the
     narrow table, which is written again every few steps; the driver holds the totals.
     ``weights``: share of every domain (missing ones 0). Their sum is scaled to 1. All tokens are wanted, or with ``hold`` so many
     that this domain keeps its total.
@@ -99,10 +99,10 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float], hold: str | None =
     wanted = everything
     if hold is not None and share[DOMAINS.index(hold)] > 0:
         wanted = totals[DOMAINS.index(hold)] / share[DOMAINS.index(hold)]
-    targets, done, ahead = share * wanted, 0, 1.0
+    targets, done, ahead, still = share * wanted, 0, 1.0, 0
     rows = rows.withColumn("rate", F.lit(1.0)).withColumn("_last", F.lit(1.0))
     last = totals
-    while done < STEPS and np.abs(totals - targets).max() > MISS * everything:
+    while np.abs(totals - targets).max() > MISS * everything and still < 2:
         # a step from a point ahead of the last two rates; its totals follow from theirs
         following = (1 + math.sqrt(1 + 4 * ahead * ahead)) / 2
         beta, ahead = (ahead - 1) / following, following
@@ -116,8 +116,7 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float], hold: str | None =
         if done % 8 == 0:
             rows = keep(rows, "rates")  # a bounded plan
         last, totals = totals, _totals(rows, F.col("rate"))
-        if np.abs(totals - last).max() <= 0.01 * MISS * everything:
-            break
+        still = still + 1 if np.abs(totals - last).max() <= STALL * everything else 0  # twice, since momentum may turn round
     return rows.drop("_last"), {"targets": dict(zip(DOMAINS, targets)), "totals": dict(zip(DOMAINS, totals)), "steps": done}
 
 
@@ -131,27 +130,38 @@ def copies_of(rate: Column, doc_id: Column, seed: int = 7) -> Column:
 WEIGHTS = {"plain": 0.9, "toxic": 0.02, "poor": 0.08}
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], hold: str | None = None, most: float | None = None) -> DataFrame:
-    """doc_id, tokens, posterior, rate and copies of every row.
+def plan(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], hold: str | None = None, most: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rates, report): doc_id, tokens, posterior, rate and copies of every row; per domain its target and total of expected tokens,
+    whether the total meets the target, and the steps taken.
 
+    Targets that no rates within the bounds can meet are missed by the least amount, in the metric of ``fit_rates``; the report says so.
     A text without words (null, empty) has no tokens: it doesn't count for the totals and gets the rate of its posterior.
     Repeated rows count each; a null doc_id is handled like a value; without labels all posteriors are equal; an empty
     table gives an empty result; other columns are ignored.
     """
-    fitted, _ = fit_rates(posteriors(docs, learn(docs, labels)), weights, hold, most)
-    return fitted.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
+    fitted, figures = fit_rates(posteriors(docs, learn(docs, labels)), weights, hold, most)
+    everything = sum(figures["targets"].values())
+    rows = [(d, float(figures["targets"][d]), float(figures["totals"][d]), bool(abs(figures["targets"][d] - figures["totals"][d]) <= 1e-3 * everything), figures["steps"])
+            for d in DOMAINS]
+    report = docs.sparkSession.createDataFrame(rows, "domain string, target double, total double, met boolean, steps int")
+    return fitted.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))), report
+
+
+def rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], hold: str | None = None, most: float | None = None) -> DataFrame:
+    """The rates of ``plan``."""
+    return plan(docs, labels, weights, hold, most)[0]
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], hold: str | None = None, most: float | None = None) -> DataFrame:
     """``docs`` with every row as often as its copies say, with its columns.
 
-    The copies are decided on the narrow table and joined to the rows by doc_id; rows that repeat a doc_id share the greatest number.
+    The copies are decided on the narrow table (``plan``) and joined to the rows by doc_id; rows that repeat a doc_id share the greatest number.
+    Columns of any names may be there.
     """
-    model = learn(docs, labels)
-    fitted, _ = fit_rates(posteriors(docs, model), weights, hold, most)
-    chosen = fitted.select("doc_id", copies_of(F.col("rate"), F.col("doc_id")).alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies")).filter("_copies > 0")
-    rows = drop_own(docs, ["_copies"]).join(chosen.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    ident, copies, one = free_names(docs, "_id", "_copies", "_one")
+    chosen = rates(docs, labels, weights, hold, most).groupBy(F.col("doc_id").alias(ident)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    rows = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)))
+    return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftweb.llm.common import keep, text_of
+from siftweb.llm.common import free_names, keep, text_of
+from siftweb.scale import lookup_by_key
 
 #: words of a shingle and the least similarity of a link, in hundredths
 WORDS, LINK = 5, 75
@@ -15,8 +16,8 @@ WORDS, LINK = 5, 75
 BANDS, ROWS = 32, 4
 RANKS = BANDS * ROWS
 
-#: members of a hub that meet in one block
-BLOCK = 128
+#: members of a hub that meet in one block; sets of a component beyond which its answer is broadcast
+BLOCK, HOT_SETS = 128, 10_000
 
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -112,9 +113,12 @@ def _bands(batches):
 
 
 def _with_sets(batches):
+    import xxhash
+
     for batch in batches:
         sets = [shingles(t).tobytes() for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "elements"])
+        ids = [xxhash.xxh3_128_digest(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "set_id", "elements"])
 
 
 def _meet(batches):
@@ -135,20 +139,22 @@ def _meet(batches):
              pa.array(added, pa.binary()), pa.array(lost, pa.binary())], ["a", "b", "h", "n", "shared", "linked", "added", "lost"])
 
 
-def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of doc_ids on their full shingle sets: sizes h and n, shared shingles, whether they are linked, and
+def compare(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes on their full shingle sets: sizes h and n, shared shingles, whether they are linked, and
     how b differs from a: the shingles it has ``added`` and those it has ``lost``.
 
-    Only texts of documents in pairs are read again; their identifiers are a written table, so Spark knows its size
-    and broadcasts it only below its own limit.
+    ``sets``: node, set_id and a document (rep) that has the set. Only texts of such documents are read again; a document id that several
+    texts share yields several sets, of which the set's identifier takes the right one.
     """
     pairs = keep(pairs, "pairs")
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text")).join(ids, "doc_id", "left_semi")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = keep(sets.join(named, "node").select("node", "set_id", F.col("rep").alias("doc_id")), "paired")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text")).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     # repeated rows go before the table is written, so that the joins below stand alone and their hot hubs can be split
-    sets = keep(texts.mapInArrow(_with_sets, "doc_id long, elements binary").dropDuplicates(["doc_id"]), "elements")
-    met = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("set_b")), "b")
-           .join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("set_a")), "a"))
+    found = texts.mapInArrow(_with_sets, "doc_id long, set_id binary, elements binary").join(ids, ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
+    elements = keep(found.select("node", "elements"), "elements")
+    met = (pairs.join(elements.select(F.col("node").alias("b"), F.col("elements").alias("set_b")), "b")
+           .join(elements.select(F.col("node").alias("a"), F.col("elements").alias("set_a")), "a"))
     return keep(met.select("a", "b", "set_a", "set_b").mapInArrow(
         _meet, "a long, b long, h long, n long, shared long, linked boolean, added binary, lost binary"), "met")
 
@@ -274,7 +280,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Documents are linked when the similarity of their shingle sets is 0.75 or more; component_id is the least doc_id
     reachable over links. Null and empty texts and texts without words have no shingles and no links. Repeated rows and
-    equal sets fall together before anything else. A null doc_id can't be linked: it has a null component_id and stays.
+    equal sets fall together before anything else; rows that share a doc_id but not the text are told apart by their sets. A null doc_id can't be linked: it has a null component_id and stays.
     An empty table gives an empty result; other columns are ignored.
 
     1. One pass over the texts writes set identifiers and signatures; equal sets are represented by their least doc_id.
@@ -285,27 +291,35 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     sketches = keep(sketch(docs), "sketches")
     filled = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = keep(filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "sets")
-    bands = reps.select("rep", "signature").mapInArrow(_bands, "bucket long, rep long")
+    sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    reps = keep(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    bands = reps.select(F.col("node").alias("rep"), "signature").mapInArrow(_bands, "bucket long, rep long")
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = keep(bands.join(sizes, "bucket"), "buckets")
     meets = members.groupBy("rep").agg(F.sum("members").alias("meets"))
     hubs = members.join(meets, "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low")))["low"].alias("low"))
     pairs = members.select("bucket", "rep").join(hubs.select("bucket", (-F.col("low")).alias("hub")), "bucket").filter("rep <> hub")
-    met = compare(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), docs)
+    met = compare(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps.select("node", "set_id", "rep"), docs)
     first = met.filter("linked").select("a", "b")
     second = keep(_across(met, components(first)), "across")
-    final = components(first.unionByName(second)).select(F.col("u").alias("rep"), F.col("v").alias("low"))
-    own = reps.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("low", "rep").alias("_low"))
-    linked = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(own, "set_id").select("doc_id", "n_shingles", "_low")
+    final = components(first.unionByName(second)).select(F.col("u").alias("node"), F.col("v").alias("_of"))
+    placed = keep(reps.select("set_id", "rep", "node").join(final, "node", "left").select("set_id", "rep", F.coalesce("_of", "node").alias("_of")), "placed")
+    lows = placed.groupBy("_of").agg(F.min("rep").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    own = lookup_by_key(placed, lows, "_of", "_n", F.col("set_id"), HOT_SETS).select("set_id", "_low")
+    linked = filled.join(own, "set_id").select("doc_id", "n_shingles", "_low")
     alone = sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_low"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("_low").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("_low")).alias("kept"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of every group of linked documents, the one with the least doc_id, with the columns of ``docs``."""
-    kept = classes(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of every group of linked documents, the one with the least doc_id, with the columns of ``docs``.
+
+    Rows stay or go by doc_id: if several rows bear an id that stays, all of them stay, repeated rows too. Rows without doc_id, empty
+    texts and texts without words stay; an empty table gives an empty result; no name of a further column matters.
+    """
+    own = free_names(docs, "_kept")[0]
+    kept = classes(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long") == F.col(own), "left_semi").unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
 
 
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

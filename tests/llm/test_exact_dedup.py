@@ -50,3 +50,14 @@ def test_a_frequent_digest_at_the_start_of_the_partitions_is_named(spark):
     facts = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.lit(3).cast("long").alias("size"))
     got = _frequent(facts, 0.01).collect()
     assert [(bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in got] == [(hashlib.sha256(b"hot").digest(), 0, 6400)]
+
+
+def test_clashing_columns_and_extreme_ids(spark):
+    from siftweb.llm.exact_dedup import classes, drop_copies
+
+    least = -(1 << 63)
+    docs = spark.createDataFrame([(1, "a b", 1, "n", 2, 3), (2, "ab", 1, "n", 2, 3), (least, "c", 1, "n", 2, 3), (5, " c", 1, "n", 2, 3), (None, None, 1, "n", 2, 3)],
+                                 "doc_id long, text string, _id int, `_NONE` string, _digest int, _keep int")
+    got = drop_copies(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 1), (False, 5), (True, None)]
+    assert {r["doc_id"]: r["keep_id"] for r in classes(docs).collect()} == {1: 1, 2: 1, least: 5, 5: 5, None: None}

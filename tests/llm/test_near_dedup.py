@@ -97,3 +97,16 @@ def test_early_stop_changes_nothing():
     whole = near.super_minhash(x)
     again = np.minimum(near.super_minhash(x[:30]), near.super_minhash(x[30:]))
     assert (whole == again).all()
+
+
+def test_repeated_ids_with_other_texts_and_clashing_columns(spark):
+    base = [f"w{i}" for i in range(60)]
+    one, two = " ".join(base), " ".join(reversed(base))
+    docs = spark.createDataFrame([(1, one, 0, 0), (1, two, 0, 0), (2, one + " x", 0, 0), (3, two + " y", 0, 0), (4, "other words entirely here now", 0, 0), (4, one, 0, 0)],
+                                 "doc_id long, text string, node int, _kept int")
+    from siftweb.llm.near_dedup import classes, drop_near
+
+    got = sorted((r["doc_id"], r["component_id"]) for r in classes(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 4)]
+    kept = drop_near(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 4, 4]
