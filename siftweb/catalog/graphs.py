@@ -43,14 +43,15 @@ def _chain(spark, folder):
                     F.coalesce(F.lead("o_orderkey").over(w), F.when(F.col("o_custkey") % 4 == 0, first)).alias("next"))
 
 
+#: page limit of ``chain_stops``; the other queries read whole books
 LIMIT = 12
 
 
-def _reading_order(spark, folder):
+def _reading_order(spark, folder, limit=0):
     c = _chain(spark, folder)
     links = c.select(F.col("o_orderkey").alias("node"), "next")
     starts = c.filter(F.col("o_orderkey") == F.col("first")).select(F.col("o_orderkey").alias("node"))
-    return graph.next_chain(links, starts, LIMIT), links, c
+    return graph.next_chain(links, starts, limit), links, c
 
 
 def next_chain(spark, folder):
@@ -58,7 +59,7 @@ def next_chain(spark, folder):
 
 
 def chain_stops(spark, folder):
-    chain, links, _ = _reading_order(spark, folder)
+    chain, links, _ = _reading_order(spark, folder, LIMIT)
     return graph.chain_stop_reason(chain, links, LIMIT).select("start", "pages", "stop_reason")
 
 
@@ -181,7 +182,7 @@ def _levels(depth: int, ok: str) -> str:
 _CHAIN = f"""c AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderpriority, row_number() OVER w - 1 AS dist, min(o_orderkey) OVER (PARTITION BY o_custkey) AS book,
       count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
     page AS (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN o_orderpriority || ' first line'
-      ELSE 'total ' || o_totalprice::DECIMAL(18,2) END AS body FROM c WHERE dist < {LIMIT})"""
+      ELSE 'total ' || o_totalprice::DECIMAL(18,2) END AS body FROM c)"""
 _TASK = """t AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'completed' WHEN 'F' THEN CASE WHEN o_orderkey % 10 = 0 THEN 'failed' ELSE 'completed' END
       ELSE 'pending' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN [o_orderkey // 2, 20] WHEN o_orderkey > 0 THEN [o_orderkey // 2] ELSE [] END AS deps,
       substr(o_orderpriority, 1, 1)::BIGINT AS priority, o_orderkey % 4 AS rc, o_orderkey AS k FROM orders)"""
@@ -201,7 +202,7 @@ SQL = {
         SELECT dst, depth + CASE WHEN dst LIKE '%0.example.com/' THEN 0 ELSE 1 END FROM walk JOIN edge ON src = url WHERE depth < 2 OR dst LIKE '%0.example.com/')
         SELECT url, min(depth)::BIGINT AS depth FROM walk GROUP BY url""",
     "next_chain": f"WITH {_CHAIN} SELECT book AS start, o_orderkey AS node, dist FROM page",
-    "chain_stops": f"""WITH {_CHAIN} SELECT book AS start, max(dist) + 1 AS pages,
+    "chain_stops": f"""WITH {_CHAIN} SELECT book AS start, least(max(dist) + 1, {LIMIT}) AS pages,
         CASE WHEN max(n) > {LIMIT} THEN 'limit' WHEN o_custkey % 4 <> 0 THEN 'end' WHEN max(n) = {LIMIT} THEN 'limit' ELSE 'loop' END AS stop_reason
         FROM page GROUP BY book, o_custkey""",
     "assemble_book": f"""WITH {_CHAIN}, b AS (SELECT *, NOT starts_with(body, o_orderpriority) AS cand FROM page WHERE body <> ''),
