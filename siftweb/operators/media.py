@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ def band_values(digest: Column, bands: int, bits: int = 64) -> Column:
     """The hash cut into ``bands`` slices; two hashes within bands-1 bits share a slice."""
     edges = [bits * i // bands for i in range(bands + 1)]
     return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(digest, edges[i]).bitwiseAND(
-        F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("slice")) for i in range(bands)])
+        F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1)).alias("slice")) for i in range(bands)])
 
 
 def near_duplicate_pairs(hashes: DataFrame, key: str, digest: str, threshold: int = 4) -> DataFrame:
@@ -249,18 +250,25 @@ def near_duplicate_pairs(hashes: DataFrame, key: str, digest: str, threshold: in
 
     Equal hashes are grouped first, so a hash that a third of the rows share is one row here and never
     turns into all pairs of its copies; the copies follow their hash (``members``). Zero never matches.
+    A hash is cut into half as many slices as bits may differ, so one slice at least differs by one bit or none: one side looks
+    slices up as they are, the other with every bit turned over once. Slices are twice as long as for equal ones, so a bucket holds the
+    square root of as many hashes.
     """
     groups = hashes.filter(F.col(digest) != 0).groupBy(digest).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("copies"))
-    banded = unnest(groups, ["first_key", F.col(digest).alias("h"), "copies"], band_values(F.col(digest), threshold + 1), "b") \
-        .select("first_key", "h", "copies", "b.band", "b.slice")
-    left = banded.select("band", "slice", F.col("first_key").alias("a_key"), F.col("h").alias("a_hash"), F.col("copies").alias("a_copies"))
-    right = banded.select("band", "slice", F.col("first_key").alias("b_key"), F.col("h").alias("b_hash"), F.col("copies").alias("b_copies"))
-    close = left.join(right, ["band", "slice"]).filter((F.col("a_key") < F.col("b_key"))
-                                                       & (hamming(F.col("a_hash"), F.col("b_hash")) <= threshold))
-    # a pair is reported by the lowest slice it shares, which makes it unique without a distinct
+    bands, bits = threshold // 2 + 1, 64
+    width = [bits * (i + 1) // bands - bits * i // bands for i in range(bands)]
+    slices = band_values(F.col(digest), bands)
+    widths = F.array(*map(F.lit, width))
+    turned = F.flatten(F.transform(slices, lambda b: F.transform(F.sequence(F.lit(-1), F.get(widths, b["band"]) - 1), lambda k: F.struct(
+        b["band"].alias("band"), F.when(k < 0, b["slice"]).otherwise(b["slice"].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).alias("slice")))))
+    side = lambda array, name: unnest(groups, ["first_key", F.col(digest).alias("h"), "copies"], array, "b").select(
+        "b.band", "b.slice", F.col("first_key").alias(f"{name}_key"), F.col("h").alias(f"{name}_hash"), F.col("copies").alias(f"{name}_copies"))
+    close = side(slices, "a").join(side(turned, "b"), ["band", "slice"]).filter(
+        (F.col("a_key") < F.col("b_key")) & (hamming(F.col("a_hash"), F.col("b_hash")) <= threshold))
+    # a pair is reported by the lowest slice that is near enough, which makes it unique without a distinct
     shared = F.array_position(F.transform(F.arrays_zip(
-        band_values(F.col("a_hash"), threshold + 1).alias("x"), band_values(F.col("b_hash"), threshold + 1).alias("y")),
-        lambda z: z["x"]["slice"] == z["y"]["slice"]), True) - 1
+        band_values(F.col("a_hash"), bands).alias("x"), band_values(F.col("b_hash"), bands).alias("y")),
+        lambda z: hamming(z["x"]["slice"], z["y"]["slice"]) <= 1), True) - 1
     return close.filter(shared == F.col("band")).select(
         "a_key", "b_key", "a_hash", "b_hash", "a_copies", "b_copies",
         hamming(F.col("a_hash"), F.col("b_hash")).cast("long").alias("distance"))
@@ -351,27 +359,51 @@ def quality_audit(files: DataFrame, config: MediaConfig) -> DataFrame:
     return files.withColumn("problem", out.otherwise(""))
 
 
+#: undecided hashes that are settled one after the other in one task, and their links at most
+RUN, RUN_LINKS = 100_000, 2_000_000
+
+
+def _settle_run(table: pa.Table) -> pa.Table:
+    """Greedy leaders among the first undecided hashes: all earlier ones are decided or in the run."""
+    rows = table.sort_by("node")
+    keepers, found = set(), []
+    for node, known, near in zip(*(rows.column(c).to_pylist() for c in ("node", "known", "near"))):
+        first = min((n for n in near or () if n in keepers), default=None)
+        first = known if first is None or (known is not None and known < first) else first
+        if first is None:
+            keepers.add(node)
+        found.append(node if first is None else first)
+    return pa.table({"node": rows.column("node"), "keeper": pa.array(found, pa.int64())})
+
+
 def perceptual_groups(hashes: DataFrame, key: str, digest: str, order: str, threshold: int = 4) -> DataFrame:
     """Greedy leader groups in arrival order: a row joins the first keeper within ``threshold`` bits.
 
-    Distinct hashes only; copies follow theirs. Per round an undecided hash joins its earliest keeper
+    Distinct hashes only; copies follow theirs. In a round every undecided hash joins its earliest keeper
     once every earlier neighbour up to that keeper is decided, and becomes a keeper once all its earlier
-    neighbours are decided and none is a keeper. The first undecided hash is always settled.
+    neighbours are decided and none is a keeper; that settles nearly all at once, but a chain link by link. So a round also takes the first
+    undecided hashes in order, RUN of them at most and fewer where they have very many links, and settles them one after the other: what comes before them is decided.
     """
     from siftweb.session import cut_lineage
 
-    ranked = hashes.filter(F.col(digest) != 0).groupBy(digest).agg(F.min(order).alias("_at"))
+    ranked = hashes.filter(F.col(digest) != 0).groupBy(digest).agg(F.min(order).cast("long").alias("_at"), F.count(F.lit(1)).alias("_n"))
     pairs = near_duplicate_pairs(ranked.select(F.col("_at").alias("k"), F.col(digest).alias("d")), "k", "d", threshold)
     # an edge leads from the later hash to the earlier one
     edges = cut_lineage(pairs.select(F.col("b_key").alias("node"), F.col("a_key").alias("earlier")))
-    nodes = ranked.select(F.col("_at").alias("node"))
+    keepers = _leaders(ranked.select(F.col("_at").alias("node")), edges)
+    summary = ranked.join(keepers.withColumnRenamed("node", "_at"), "_at").select(digest, "keeper", "_n")
+    return lookup_by_key(hashes.filter(F.col(digest) != 0), summary, digest, "_n", F.col(key)).select(key, digest, F.col("keeper").alias("keeper_order"))
+
+
+def _leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, keeper) over ``edges(node, earlier)``."""
+    from siftweb.session import cut_lineage
+
     busy = edges.select("node").distinct()
-    state = cut_lineage(nodes.join(busy, "node", "left_anti").select("node", F.col("node").alias("keeper"))
-                        .unionByName(busy.select("node", F.lit(None).cast("long").alias("keeper")).limit(0)))
+    state = cut_lineage(nodes.join(busy, "node", "left_anti").select("node", F.col("node").alias("keeper")))
     open_nodes = cut_lineage(busy)
     while not open_nodes.isEmpty():
-        seen = (edges.join(open_nodes, "node", "left_semi")
-                .join(state.withColumnsRenamed({"node": "earlier"}), "earlier", "left"))
+        seen = edges.join(open_nodes, "node", "left_semi").join(state.withColumnsRenamed({"node": "earlier"}), "earlier", "left")
         status = seen.groupBy("node").agg(
             F.min(F.when(F.col("keeper") == F.col("earlier"), F.col("earlier"))).alias("first_keeper"),
             F.min(F.when(F.col("keeper").isNull(), F.col("earlier"))).alias("first_open"))
@@ -379,5 +411,17 @@ def perceptual_groups(hashes: DataFrame, key: str, digest: str, order: str, thre
             .select("node", F.coalesce("first_keeper", "node").alias("keeper"))
         state = cut_lineage(state.unionByName(settled))
         open_nodes = cut_lineage(open_nodes.join(state, "node", "left_anti"))
-    return (hashes.filter(F.col(digest) != 0).join(ranked, digest)
-            .join(state.withColumnRenamed("node", "_at"), "_at").select(key, digest, F.col("keeper").alias("keeper_order")))
+        n, links = RUN, None
+        while n and (links is None or links > RUN_LINKS):
+            run = cut_lineage(open_nodes.orderBy("node").limit(n))
+            near = edges.join(run, "node", "left_semi").join(run.select(F.col("node").alias("earlier")), "earlier", "left_semi")
+            links, n = near.count(), n // 2
+        if links is None or links > RUN_LINKS:
+            continue
+        known = edges.join(run, "node", "left_semi").join(state.filter("node = keeper").select(F.col("node").alias("earlier")), "earlier", "left_semi")
+        lists = run.join(known.groupBy("node").agg(F.min("earlier").alias("known")), "node", "left").join(
+            near.groupBy("node").agg(F.collect_list("earlier").alias("near")), "node", "left")
+        done = lists.withColumn("run", F.lit(0)).groupBy("run").applyInArrow(_settle_run, "node long, keeper long")
+        state = cut_lineage(state.unionByName(done))
+        open_nodes = cut_lineage(open_nodes.join(state, "node", "left_anti"))
+    return state
