@@ -231,6 +231,12 @@ SQL = {
     "diff_hash": f"SELECT vec_id, {_HASH} AS hash FROM embeddings",
     "near_pairs": f"""WITH {_COPIED} SELECT a.first AS a_key, b.first AS b_key, a.copies AS a_copies, b.copies AS b_copies, bit_count(xor(a.h, b.h))::BIGINT AS distance
         FROM g a JOIN g b ON a.first < b.first AND bit_count(xor(a.h, b.h)) <= 3""",
+    "near_groups": f"""WITH RECURSIVE {_COPIED}, d AS (SELECT h, first, row_number() OVER (ORDER BY first) AS n FROM g),
+        walk(n, keepers, keeper) AS (
+            SELECT 0::BIGINT, []::STRUCT(first BIGINT, h BIGINT)[], NULL::BIGINT
+            UNION ALL SELECT n, CASE WHEN near IS NULL THEN list_append(keepers, {{'first': first, 'h': h}}) ELSE keepers END, coalesce(near, first) FROM (
+                SELECT d.n, d.first, d.h, w.keepers, list_filter(w.keepers, lambda k: bit_count(xor(k.h, d.h)) <= 3)[1].first AS near FROM walk w JOIN d ON d.n = w.n + 1))
+        SELECT k.vec_id, w.keeper AS keeper_order FROM k JOIN d USING (h) JOIN walk w ON w.n = d.n""",
     "paginate": f"""
         WITH p AS (SELECT page_id, url, {_ROOT} AS root, {sql_part('url', 3)} AS path, {sql_part('url', 4)} AS q, 0 AS plain FROM pages
                    UNION ALL SELECT page_id + 1000000, url, {_ROOT}, {sql_part('url', 3)}, {sql_part('url', 4)}, 1 FROM pages),

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftweb.catalog import audit as audit_catalog
+from siftweb.catalog import graphs as graphs_catalog
 from siftweb.catalog import media as media_catalog
+from siftweb.catalog import pages as pages_catalog
 from siftweb.catalog import risk as risk_catalog
 from siftweb.catalog.inputs import load, pages, sql_part
 from siftweb.functions import urls
 from siftweb.operators import graph, media
 from siftweb.plans import jobs
 from siftweb.sources import exports
-from siftweb.sources.pages import decode_bodies
+from siftweb.sources.pages import as_pages, decode_bodies
 
 
 def risk_scan_job(spark, folder):
@@ -71,12 +73,55 @@ def paginate_rules(spark, folder):
     return graph.next_pages(p.withColumn("page_index", F.lit(3)), rule=rule).select("page_id", F.col("rank").cast("long").alias("rank"), "next_url")
 
 
-QUERIES = {"risk_scan_job": risk_scan_job, "download_audit_job": download_audit_job, "playlist_job": playlist_job, "merged_stats": merged_stats,
+def crawl_audit_job(spark, folder):
+    """The link graph of all pages from every fortieth on, three steps deep, with the pages' figures."""
+    p = pages(spark, folder)
+    levels = jobs.crawl_audit(p, p.filter(F.col("page_id") % 40 == 0).select(F.col("base_url").alias("url")), 3)["levels"]
+    return levels.select("url", F.col("depth").cast("long").alias("depth"), "chars", "links", "media")
+
+
+def _book_site(spark, folder):
+    """A page of markup per order; a customer's orders are a book, a quarter of the books lead back to their first page."""
+    c = graphs_catalog._chain(spark, folder)
+    name = lambda n: F.concat(F.col(n).cast("string"), F.lit(".html"))
+    body = F.when(F.col("o_orderkey") % 5 == 0, F.concat("o_orderpriority", F.lit(" first line"))).otherwise(
+        F.concat(F.lit("total "), F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
+    link = F.when(F.col("next").isNotNull(), F.concat(F.lit('<a id="next" href="'), name("next"), F.lit('">on</a>'))).otherwise("")
+    html = F.concat(F.lit("<html><head><title>Shop</title></head><body><h1>"), "o_orderpriority", F.lit('</h1><nav><a href="/">home</a></nav><div id="content"><p>'),
+                    body, F.lit("</p></div>"), link, F.lit("</body></html>"))
+    site = c.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("http://b.example.com/"), name("o_orderkey")).alias("url"), html.alias("html"), "first")
+    return as_pages(site.drop("first")), site.filter(F.col("page_id") == F.col("first")).select(F.col("url").alias("node"))
+
+
+def book_job(spark, folder):
+    """Whole books from raw pages: content, titles and next links read from the markup, pages followed and joined."""
+    out = jobs.assemble_books(*_book_site(spark, folder))
+    return out["texts"].join(out["stops"], F.col("book") == F.col("start")).select("book", "text", "pages", "stop_reason")
+
+
+QUERIES = {"crawl_audit_job": crawl_audit_job, "book_job": book_job, "risk_scan_job": risk_scan_job, "download_audit_job": download_audit_job, "playlist_job": playlist_job, "merged_stats": merged_stats,
            "new_media": new_media, "decoded_bodies": decoded_bodies, "task_export": task_export, "paginate_rules": paginate_rules}
 
 _ROOT = f"({sql_part('url', 1)} || '://' || {sql_part('url', 2)})"
 
+_STEPS = ", ".join(f"""l{d} AS MATERIALIZED (SELECT DISTINCT dst AS url, {d} AS depth FROM e JOIN l{d - 1} ON src = url WHERE dst NOT IN (SELECT url FROM v{d - 1})),
+    v{d} AS MATERIALIZED (FROM v{d - 1} UNION ALL FROM l{d})""" for d in (1, 2, 3))
+_BOOKS = graphs_catalog._CHAIN.replace("CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN", "CASE WHEN")
+
+
+
+def _book_sql() -> str:
+    texts = graphs_catalog.SQL["assemble_book"].replace(graphs_catalog._CHAIN, _BOOKS)
+    return f"""SELECT 'http://b.example.com/' || t.book || '.html' AS book, t.text, count(*) AS pages, CASE WHEN any_value(c.o_custkey) % 4 = 0 THEN 'loop' ELSE 'end' END AS stop_reason
+        FROM ({texts}) t JOIN (SELECT o_custkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS book FROM orders) c ON c.book = t.book GROUP BY t.book, t.text"""
+
+
 SQL = {
+    "crawl_audit_job": f"""WITH e AS (SELECT DISTINCT p.url AS src, l.link AS dst FROM ({pages_catalog._LINKS}) l JOIN pages p USING (page_id)),
+        l0 AS MATERIALIZED (SELECT DISTINCT url, 0 AS depth FROM pages WHERE page_id % 40 = 0), v0 AS (FROM l0), {_STEPS}
+        SELECT v.url, v.depth::BIGINT AS depth, s.chars, s.links, s.media FROM v3 v LEFT JOIN (
+            SELECT url, chars, links, media FROM ({pages_catalog.SQL["crawl_stats"]}) JOIN pages USING (page_id)) s ON s.url = v.url""",
+    "book_job": _book_sql(),
     "risk_scan_job": risk_catalog.SQL["risk_findings"],
     "download_audit_job": audit_catalog.SQL["download_verdict"],
     "playlist_job": audit_catalog.SQL["hls_segments"],
