@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pages", "media", "risk", "policy", "graphs", "audit", "streams", "jobs"]
+MODULES = ["pages", "media", "risk", "policy", "graphs", "audit", "streams", "jobs", "records"]
 
 
 def _collect(attribute: str) -> dict:
