@@ -101,7 +101,20 @@ def same_site_links(spark, folder):
     return extract.site_links(pages(spark, folder)).select("page_id", "link")
 
 
-QUERIES = {"sitemap_addresses": sitemap_addresses, "direct_media": direct_media, "download_records": download_records, "report_table": report_table,
+def compacted_items(spark, folder):
+    """Three writes with a snapshot after the second: one task's items, of which the last write takes some away."""
+    at = _scratch(spark)
+    e = load(spark, folder, "events").select((F.col("user_id") % 3).alias("task_id"), F.concat(F.lit("http://h/"), F.col("event_id").cast("string")).alias("url"),
+                                             F.col("event_type").alias("kind"), F.col("event_id").alias("index"), "event_id", F.lit("a").alias("album"))
+    tables.upsert_media_items(e, at, 1)
+    tables.upsert_media_items(e.filter(F.col("event_id") % 2 == 0).withColumn("album", F.lit("b")), at, 2)
+    tables.compact_media_items(spark, at)
+    moved = e.filter(F.col("event_id") % 5 == 0).withColumns({"album": F.lit("c"), "task_id": (F.col("task_id") + 1) % 3})
+    tables.upsert_media_items(moved, at, 3)
+    return tables.read_media_items(spark, at, 1).select("url", "kind", "album", "index")
+
+
+QUERIES = {"compacted_items": compacted_items, "sitemap_addresses": sitemap_addresses, "direct_media": direct_media, "download_records": download_records, "report_table": report_table,
            "filter_file": filter_file, "queue_file": queue_file, "download_order": download_order, "heading_lines": heading_lines, "same_site_links": same_site_links}
 
 _KIND_LIST = ", ".join(f"'{k}'" for k in KINDS)
@@ -111,6 +124,8 @@ _BLANK = r"'^[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 _CUT = "coalesce(" + ", ".join(f"CASE WHEN instr(line, '{m}') BETWEEN 2 AND {policy.PREFIX_MAX + 1} THEN instr(line, '{m}') END" for m in ("：", ":", "—", "-", "－")) + ", 0)"
 
 SQL = {
+    "compacted_items": """SELECT 'http://h/' || event_id AS url, event_type AS kind, CASE WHEN event_id % 5 = 0 THEN 'c' WHEN event_id % 2 = 0 THEN 'b' ELSE 'a' END AS album, event_id AS "index"
+        FROM events WHERE (user_id % 3 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) % 3 = 1""",
     "sitemap_addresses": f"""
         WITH p AS (SELECT {_SITE} AS site, url, page_id % 3 AS k FROM pages),
              m AS (SELECT site, k, row_number() OVER (PARTITION BY site ORDER BY k) AS pos, count(*) OVER (PARTITION BY site) AS maps FROM (SELECT DISTINCT site, k FROM p))

@@ -30,6 +30,45 @@ def current(spark: SparkSession, path: str, keys: Sequence[str], first: bool = F
     return last_write_wins(rows.withColumn("_order", order), keys, ["_order"]).drop("write_seq", "_order")
 
 
+def _snapshot(spark: SparkSession, path: str) -> int | None:
+    """The write up to which the newest finished snapshot of a table goes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_snapshots/upto=*/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found or []), default=None)
+
+
+def _rows_since(spark: SparkSession, path: str, snapshot: int | None) -> DataFrame:
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    return rows if snapshot is None else rows.filter(F.col("write_seq") > snapshot)
+
+
+def _with_snapshot(spark: SparkSession, path: str, keep=None) -> DataFrame:
+    """Rows of the newest snapshot (those that ``keep`` wants) and of all later writes."""
+    snapshot = _snapshot(spark, path)
+    later = _rows_since(spark, path, snapshot)
+    if snapshot is None:
+        return later
+    old = spark.read.parquet(f"{path}/_snapshots/upto={snapshot}")
+    return (old if keep is None else old.filter(keep)).unionByName(later, allowMissingColumns=True)
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], partitions: Sequence[str] = ()) -> int:
+    """Write the current row of every key, by ``partitions``, as a snapshot beside the writes; returns the write up to which it goes.
+
+    A snapshot counts from the moment its folder is finished, and no file that a reader may have open is touched: readers that
+    planned before go on with what they planned. The next compaction starts from the last one. Writes up to a snapshot may be repeated, not changed.
+    """
+    upto = spark.read.parquet(path).agg(F.max("write_seq")).first()[0]
+    if upto is not None and _snapshot(spark, path) != upto:
+        newest = last_write_wins(_with_snapshot(spark, path).filter(F.col("write_seq") <= upto), keys, ["write_seq"])
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partitions).parquet(f"{path}/_snapshots/upto={upto}")
+    return upto
+
+
+def compact_media_items(spark: SparkSession, path: str) -> int:
+    return compact(spark, path, ["url_hash"], ["task_id"])
+
+
 def upsert_media_items(items: DataFrame, path: str, write_seq: int) -> None:
     """Replace by address; rows without one are dropped, gaps become '' and 0."""
     rows = items.filter(F.coalesce("url", F.lit("")) != "").withColumnRenamed("index", "seq")
@@ -42,8 +81,10 @@ def upsert_media_items(items: DataFrame, path: str, write_seq: int) -> None:
 
 
 def read_media_items(spark: SparkSession, path: str, task_id: int | None = None, limit: int = 0) -> DataFrame:
-    rows = current(spark, path, ["url_hash"])
-    rows = rows if task_id is None else rows.filter(F.col("task_id") == task_id)
+    """Current items of all tasks or of one, whose own folder of the snapshot is read, and the writes since: an address may have moved on to another task there."""
+    own = None if task_id is None else F.col("task_id") == task_id
+    rows = last_write_wins(_with_snapshot(spark, path, own), ["url_hash"], ["write_seq"]).drop("write_seq")
+    rows = rows if own is None else rows.filter(own)
     rows = rows.withColumnRenamed("seq", "index").orderBy("album", "index", "url")
     return rows.limit(limit) if limit else rows
 
