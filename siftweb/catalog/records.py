@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftweb.catalog import streams
 from siftweb.catalog.inputs import load, pages, sql_host, sql_part
-from siftweb.catalog.streams import _scratch
+from siftweb.catalog.streams import _events, _scratch
 from siftweb.functions import fixed
 from siftweb.operators import extract, filters, media, policy
 from siftweb.scale import unnest
 from siftweb.sources import rules as rule_files
 from siftweb.sources import tables
 from siftweb.sources.pages import read_sitemaps
+from siftweb.streaming import jobs as streaming
 
 KINDS = ["image/png", "video/mp4", "audio/mpeg", "application/x-mpegurl", "text/html"]
 
@@ -114,7 +116,15 @@ def compacted_items(spark, folder):
     return tables.read_media_items(spark, at, 1).select("url", "kind", "album", "index")
 
 
-QUERIES = {"compacted_items": compacted_items, "sitemap_addresses": sitemap_addresses, "direct_media": direct_media, "download_records": download_records, "report_table": report_table,
+def stream_first_seen(spark, folder):
+    """Addresses of the event stream, each once, remembered in the table itself."""
+    at = _scratch(spark)
+    named = _events(spark, folder).select(F.concat(F.lit("http://h"), F.col("user_id").cast("string"), F.lit(".example.com/"), "event_type").alias("url"))
+    streaming.run_first_seen(named, f"{at}/out", f"{at}/mark")
+    return spark.read.parquet(f"{at}/out").select("url", "url_hash")
+
+
+QUERIES = {"stream_first_seen": stream_first_seen, "compacted_items": compacted_items, "sitemap_addresses": sitemap_addresses, "direct_media": direct_media, "download_records": download_records, "report_table": report_table,
            "filter_file": filter_file, "queue_file": queue_file, "download_order": download_order, "heading_lines": heading_lines, "same_site_links": same_site_links}
 
 _KIND_LIST = ", ".join(f"'{k}'" for k in KINDS)
@@ -124,6 +134,7 @@ _BLANK = r"'^[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 _CUT = "coalesce(" + ", ".join(f"CASE WHEN instr(line, '{m}') BETWEEN 2 AND {policy.PREFIX_MAX + 1} THEN instr(line, '{m}') END" for m in ("：", ":", "—", "-", "－")) + ", 0)"
 
 SQL = {
+    "stream_first_seen": streams.SQL["stream_new_urls"],
     "compacted_items": """SELECT 'http://h/' || event_id AS url, event_type AS kind, CASE WHEN event_id % 5 = 0 THEN 'c' WHEN event_id % 2 = 0 THEN 'b' ELSE 'a' END AS album, event_id AS "index"
         FROM events WHERE (user_id % 3 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) % 3 = 1""",
     "sitemap_addresses": f"""

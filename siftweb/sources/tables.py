@@ -23,6 +23,11 @@ def append(df: DataFrame, path: str, write_seq: int, partitions: Sequence[str] =
      .partitionBy("write_seq", *partitions).parquet(path))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def current(spark: SparkSession, path: str, keys: Sequence[str], first: bool = False) -> DataFrame:
     """Newest row per key, or the first one ever written."""
     rows = spark.read.option("mergeSchema", "true").parquet(path)

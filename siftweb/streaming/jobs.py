@@ -41,6 +41,22 @@ def new_urls(stream: DataFrame, url: str = "url", watermark: str | None = None,
     return thin.dropDuplicates(["url_hash"])
 
 
+def run_first_seen(stream: DataFrame, path: str, checkpoint: str, url: str = "url") -> None:
+    """Each address once, ever, with the table at ``path`` as memory: the stream itself keeps no state and needs no Python.
+
+    A batch's distinct addresses are those that no earlier batch has written; of the table only the hashes are read. A batch repeated
+    after a restart leaves its own earlier result out of account and replaces it.
+    """
+    def sink(batch: DataFrame, number: int) -> None:
+        fresh = batch.select(url).withColumn("url_hash", urls.url_hash_raw(F.col(url))).groupBy("url_hash").agg(F.min(url).alias(url))
+        if tables.exists(batch.sparkSession, path):
+            known = batch.sparkSession.read.parquet(path).filter(F.col("write_seq") < number).select("url_hash")
+            fresh = fresh.join(known, "url_hash", "left_anti")
+        tables.append(fresh, path, number)
+
+    _run(stream, sink, checkpoint, "append")
+
+
 def media_events(stream: DataFrame) -> DataFrame:
     """Stateless: the source offsets are the marks."""
     return extract_media_network(stream)
@@ -58,12 +74,13 @@ def rate_windows(stream: DataFrame, per_minute: int, ts: str = "ts", host: str =
             .select(host, F.col("window.start").alias("window_start"), "requests"))
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there, then stop; another call goes on from the checkpoint."""
-    def sink(batch: DataFrame, number: int) -> None:
-        tables.append(batch, path, number)
-
+def _run(stream: DataFrame, sink, checkpoint: str, mode: str) -> None:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Process what is there, then stop; another call goes on from the checkpoint."""
+    _run(stream, lambda batch, number: tables.append(batch, path, number), checkpoint, mode)

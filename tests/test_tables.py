@@ -39,3 +39,20 @@ def test_an_unfinished_snapshot_does_not_count(spark, tmp_path):
     _write(spark, str(at), 1, [(1, "http://h/a", "x")])
     (at / "_snapshots" / "upto=1" / "task_id=1").mkdir(parents=True)
     assert _read(spark, str(at), 1) == [("http://h/a", "x")]
+
+
+def test_addresses_are_remembered_over_restarts(spark, tmp_path):
+    from siftweb.streaming import jobs
+
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    seen = []
+    for run, names in enumerate((["a", "b", "a"], ["b", "c"], ["c", "a"], [None, "d"])):
+        spark.createDataFrame([(n,) for n in names], "url string").coalesce(1).write.mode("append").parquet(source)
+        jobs.run_first_seen(jobs.read_event_stream(spark, source, "url string"), out, mark)
+        seen.append(sorted(r["url"] for r in spark.read.parquet(out).filter(f"write_seq = {run} AND url IS NOT NULL").collect()))
+    assert seen == [["a", "b"], ["c"], [], ["d"]]
+    # a batch that is run again gives the same
+    query = jobs.read_event_stream(spark, source, "url string")
+    jobs.run_first_seen(query, str(tmp_path / "again"), str(tmp_path / "mark2"))
+    jobs.run_first_seen(jobs.read_event_stream(spark, source, "url string"), str(tmp_path / "again"), str(tmp_path / "mark3"))
+    assert sorted(r["url"] or "" for r in spark.read.parquet(str(tmp_path / "again")).collect()) == ["", "a", "b", "c", "d"]
