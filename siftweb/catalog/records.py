@@ -160,7 +160,7 @@ SQL = {
                      nullif(regexp_replace(CASE WHEN {_CUT} > 0 THEN substr(line, 1, {_CUT} - 1) ELSE left(line, {policy.PREFIX_MAX}) END, {_BLANK}, '', 'g'), '') END AS own FROM m)
         SELECT doc_id, n, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, alone,
                md5(coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '')) AS heading_md5 FROM o""",
-    "same_site_links": f"""
+    "same_site_links": rf"""
         WITH h AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)["'']', 1))) AS href FROM pages),
              a AS (SELECT DISTINCT page_id, url, regexp_replace(CASE WHEN starts_with(href, '/') THEN {sql_part('url', 1)} || '://' || {sql_part('url', 2)} || href ELSE href END, '#.*$', '') AS link FROM h)
         SELECT page_id, link FROM a WHERE regexp_matches(link, '^https?://') AND {sql_host('link')} = {sql_host('url')}""",
