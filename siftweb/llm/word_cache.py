@@ -7,17 +7,22 @@ import re
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: pieces remembered per generation and Python worker (two generations at most), and the longest piece that is remembered
 REMEMBERED = 500_000
 LONGEST = 48
 #: characters of text whose pieces are looked up together
-TOGETHER = 400_000
+TOGETHER = 2_000_000
 
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: a word of western letters, with or without a mark behind it: two matches of either tokenizer's splitting pattern
 _PLAIN = re.compile(r"(\n?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,]?)")
+#: a mark that ends a word of such letters: it is cut off too, so that a word is remembered once with and without it
+_MARK = re.compile(r"[.,](?=[ \n]|\Z)(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF][.,])")
+_BEHIND = "\0"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -59,16 +64,16 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _cut(self, text: str) -> list[str] | None:
-        """Pieces, or None for a text with white space that needs the library's own eye.
+    def _ready(self, text: str) -> str | None:
+        """The text with one blank between its pieces, or None where white space needs the library's own eye.
 
-        With ``keep_blank`` the first piece of every line starts with a line end, the others lack their blank.
+        With ``keep_blank`` the first piece of every line starts with a line end, marks behind a word with ``_BEHIND``, the others lack their blank.
         """
         if not self._keep_blank:
-            return (self._lower(text) if text.isascii() else text).replace("\n", " ").split(" ")
-        odd = ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
-               or _OTHER_SPACE.search(text))
-        return None if odd else ("\n" + text.replace("\n", " \n")).split(" ")
+            return _MARK.sub(r" \g<0>", (self._lower(text) if text.isascii() else text).replace("\n", " "))
+        odd = ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text or text[0] in " \n" or text[-1] in " \n"
+               or _BEHIND in text or _OTHER_SPACE.search(text))
+        return None if odd else "\n" + _MARK.sub(r" \0\g<0>", text).replace("\n", " \n")
 
     def _spelled(self, piece: str) -> str:
         """A piece as it stands behind a mark."""
@@ -111,7 +116,9 @@ class Encoder:
         return {p: raw[4 * a:4 * b] for p, a, b in zip(plain, ends, ends[1:])}, others
 
     def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        found, pieces = self._encode_plain(pieces)
+        behind = [p for p in pieces if p[:1] == _BEHIND] if self._keep_blank else []  # a handful at most
+        found, pieces = self._encode_plain([p for p in pieces if p[:1] != _BEHIND] if behind else pieces)
+        found |= {p: self._ids(p[1:]).tobytes() for p in behind}
         apart = [p for p in pieces if self._mark_id is None or len(p) > LONGEST or "\0" in p]
         found |= {p: self._alone(p) for p in apart}
         together = [p for p in pieces if p not in found] if apart else pieces
@@ -136,20 +143,34 @@ class Encoder:
     def _alone(self, piece: str) -> bytes:
         return self._ids(self._spelled(piece)).tobytes()
 
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Make the young generation hold all ``pieces``; returns those too long to stay."""
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those that aren't too long stay in the young generation."""
         if len(self._young) > REMEMBERED:
             self._old, self._young = self._young, {}
-        new = pieces.difference(self._young)
+        found = list(map(self._young.get, pieces))
+        new = [p for p, ids in zip(pieces, found) if ids is None]
         if not new:
-            return []
-        if self._old:
-            back = {p: self._old[p] for p in new if p in self._old}
-            self._young.update(back)
-            new.difference_update(back)
-        fresh = self._encode_new(list(new))
+            return found
+        fresh = {p: ids for p in new if (ids := self._old.get(p)) is not None} if self._old else {}
+        fresh |= self._encode_new([p for p in new if p not in fresh] if fresh else new)
+        following = map(fresh.__getitem__, new)
+        found = [next(following) if ids is None else ids for ids in found]
+        for piece in [p for p in new if len(p) > LONGEST]:
+            del fresh[piece]
         self._young.update(fresh)
-        return [p for p in fresh if len(p) > LONGEST]
+        return found
+
+    def _encode_together(self, texts: list[str]) -> list[bytes]:
+        """Split in one go, each distinct piece looked up once, the ids laid out in text order by one gather."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        laid = pa.array(self._look_up(distinct), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)[pieces.offsets.to_numpy()]
+        skip = 4 if self._keep_blank else 0  # the line end put before the text
+        raw = laid.buffers()[2].to_pybytes() if ends[-1] else b""
+        bounds = ends.tolist()
+        return [raw[a + skip:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
@@ -160,14 +181,9 @@ class Encoder:
             while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
                 size += len(texts[end])
                 end += 1
-            cut = [self._cut(t) if t else [] for t in texts[at:end]]
-            long = self._learn(set().union(*[c for c in cut if c]))
-            get = self._young.__getitem__
-            skip = 4 if self._keep_blank else 0  # the line end put before the text
-            for text, pieces in zip(texts[at:end], cut):
-                out.append(self._ids(text).tobytes() if pieces is None else b"".join(map(get, pieces))[skip:])
-            for piece in long:
-                del self._young[piece]
+            ready = [self._ready(t) for t in texts[at:end]]
+            found = iter(self._encode_together([r for r in ready if r is not None]))
+            out += [self._ids(t).tobytes() if r is None else next(found) for t, r in zip(texts[at:end], ready)]
             at = end
         return out
 
