@@ -29,6 +29,29 @@ def test_encoder_gives_the_ids_of_one_call():
             assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in direct.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_marks_behind_words_are_cut_off_only_where_a_match_ends():
+    texts = ["one, two. three", "one ,two .three", "é, é. é,", "a.b, 1. 2, x), ..., a,, a.,", ", a", "a,\nb.\nc,", "a\x00, b\x00. \x00,", "ﬁ, ª. Ω, Ж.", "a' b's, c'.", "ab. ab"]
+    for path, keep_blank in ((WORD, False), (BYTE, True)):
+        direct = Tokenizer.from_file(path)
+        direct.encode_special_tokens = True
+        got = Encoder(path, keep_blank).encode_all(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in direct.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_forgotten_pieces_come_back(monkeypatch):
+    from siftweb.llm import word_cache
+
+    monkeypatch.setattr(word_cache, "REMEMBERED", 40)
+    monkeypatch.setattr(word_cache, "TOGETHER", 300)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(200)] + ["y" * 60]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(120)]
+    encoder, direct = Encoder(BYTE, True), Tokenizer.from_file(BYTE)
+    got = encoder.encode_all(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in direct.encode_batch(texts, add_special_tokens=False)]
+    assert "y" * 60 not in encoder._young
+
+
 @pytest.mark.parametrize("shards", [1, 5])
 def test_round_trip(spark, tmp_path, shards):
     texts = ["one two", None, "", "Ünïcode, text.\nline", "long " * 9000] * 30
