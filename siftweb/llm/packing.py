@@ -6,7 +6,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -143,8 +142,7 @@ def _cut(path: str, end_id: int, keep_blank: bool, capacity: int, with_ids: bool
             columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)]
             names = [c.split()[0] for c in _PIECES.split(", ")]
             if with_ids:
-                bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in ids])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+                columns.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -155,10 +153,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_blank: bool =
     """The encoded documents, each with ``end_id`` behind it, cut into pieces of at most ``capacity`` tokens; a written table.
 
     Only documents longer than ``capacity`` are cut; their first piece takes what is over, the others are full.
-    ``rank`` numbers the pieces of one length within one task's output (``shard``).
+    ``rank`` numbers the pieces of one length within one task's output (``shard``). ``ids`` are little-endian unsigned 32-bit integers
+    in one binary value, which Spark moves as a block; ``pack`` turns them into arrays.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
-    schema = _PIECES + (", ids array<int>" if with_ids else "")
+    schema = _PIECES + (", ids binary" if with_ids else "")
     return keep(rows.mapInArrow(_cut(tokenizer, end_id, keep_blank, capacity, with_ids), schema), "pieces")
 
 
@@ -176,6 +175,16 @@ def _numbered(cut: DataFrame, capacity: int, most: int) -> DataFrame:
     return marked.join(blocks, ["shard", "length", "_block"]).withColumn("_number", F.col("base") + F.col("rank")).drop("_block", "base")
 
 
+def _as_lists(ids: pa.Array) -> pa.Array:
+    """Binary values of 32-bit integers as lists of them, over the same memory."""
+    if not len(ids):
+        return pa.array([], pa.list_(pa.int32()))
+    ids = ids.cast(pa.binary())
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1]
+    values = np.frombuffer(ids.buffers()[2] or b"", np.int32, (ends[-1] - ends[0]) // 4, ends[0])
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 4, pa.int32()), pa.array(values))
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY, most: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a written table of pieces, in as few sequences as best-fit decreasing needs.
 
@@ -187,12 +196,18 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, most: int = BROADCAST_BYTES)
     plan = best_fit({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)
     names = [c for c in cut.columns if c not in ("shard", "rank")]
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
-        sequence, offset = plan.place(length.to_numpy(), number.to_numpy())
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
-
-    return _numbered(cut, capacity, most).select(*names, place("length", "_number").alias("_place")).select(*names, "_place.sequence_id", "_place.offset")
+    def run(batches):
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            number = columns.pop("_number")
+            sequence, offset = plan.place(columns["length"].to_numpy(), number.to_numpy())
+            if "ids" in columns:
+                columns["ids"] = _as_lists(columns["ids"])
+            yield pa.RecordBatch.from_pydict({**columns, "sequence_id": pa.array(sequence), "offset": pa.array(offset)})
+
+    kinds = [f"{c} {'array<int>' if c == 'ids' else kind}" for c, kind in cut.select(*names).dtypes]
+    placed = _numbered(cut, capacity, most).select(*names, F.col("_number").cast("long").alias("_number"))
+    return placed.mapInArrow(run, ", ".join([*kinds, "sequence_id long", "offset long"]))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
